@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from basalt.llm.html_text import op10_html_text
 from basalt.llm.mixing import OP4_SQL, op4_mix_sources
 from basalt.llm.sharding import op9_ring_shards
+from basalt.llm.tiff import op6_tiff_media
 
 QUERIES = {
     "op4_mix_sources": op4_mix_sources,
+    "op6_tiff_media": op6_tiff_media,
     "op9_ring_shards": op9_ring_shards,
+    "op10_html_text": op10_html_text,
 }
 
 ORACLE_SQL = {"op4_mix_sources": OP4_SQL}
