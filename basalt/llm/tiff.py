@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basalt.llm.common import materialise
+
 # Fixed values of the format: compression codes, and tag numbers.
 PLAIN, LZW, DEFLATE, DEFLATE_OLD, PACKBITS = 1, 5, 8, 32946, 32773
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
@@ -305,4 +307,4 @@ def media_digest(media: DataFrame) -> DataFrame:
 
 
 def op6_tiff_media(spark, sf_dir: str) -> DataFrame:
-    return media_digest(text_media(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return media_digest(materialise(text_media(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media"))
