@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from basalt.llm.embedding_dedup import op8_embedding_dedup
 from basalt.llm.html_text import op10_html_text
 from basalt.llm.language_id import op2_language_id
 from basalt.llm.mixing import OP4_SQL, op4_mix_sources
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_tiff_media": op6_tiff_media,
     "op7_shingle_join": op7_shingle_join,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_ring_shards": op9_ring_shards,
     "op10_html_text": op10_html_text,
 }
