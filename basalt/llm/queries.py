@@ -7,12 +7,14 @@ from basalt.llm.html_text import op10_html_text
 from basalt.llm.language_id import op2_language_id
 from basalt.llm.mixing import OP4_SQL, op4_mix_sources
 from basalt.llm.ngram_join import op7_shingle_join
+from basalt.llm.sentence_pieces import op3_sentence_pieces
 from basalt.llm.sharding import op9_ring_shards
 from basalt.llm.tiff import op6_tiff_media
 from basalt.llm.toxicity import op5_toxicity
 
 QUERIES = {
     "op2_language_id": op2_language_id,
+    "op3_sentence_pieces": op3_sentence_pieces,
     "op4_mix_sources": op4_mix_sources,
     "op5_toxicity": op5_toxicity,
     "op6_tiff_media": op6_tiff_media,
