@@ -11,8 +11,10 @@ from basalt.llm.sentence_pieces import op3_sentence_pieces
 from basalt.llm.sharding import op9_ring_shards
 from basalt.llm.tiff import op6_tiff_media
 from basalt.llm.toxicity import op5_toxicity
+from basalt.llm.warc import OP1_SQL, op1_warc
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_language_id": op2_language_id,
     "op3_sentence_pieces": op3_sentence_pieces,
     "op4_mix_sources": op4_mix_sources,
@@ -24,4 +26,4 @@ QUERIES = {
     "op10_html_text": op10_html_text,
 }
 
-ORACLE_SQL = {"op4_mix_sources": OP4_SQL}
+ORACLE_SQL = {"op1_warc": OP1_SQL, "op4_mix_sources": OP4_SQL}
