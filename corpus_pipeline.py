@@ -1,14 +1,80 @@
-"""A corpus pipeline of the training-data operators (see STAGES)."""
+"""A corpus pipeline: toxicity, language, near-duplicates, mixing, encoding.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; `docs` has the columns of documents and
+is what the stage before kept. run() writes each stage's result as Parquet in the shared folder and reads
+it again for the next, so a lost executor never costs more than one stage.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from basalt.llm.common import drop, materialise
+from basalt.llm.language_id import fit_languages, identify
+from basalt.llm.mixing import mix_sources
+from basalt.llm.ngram_join import shingle_components
+from basalt.llm.sentence_pieces import encode
+from basalt.llm.toxicity import fit_toxicity, score_toxicity
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Near-duplicates: words of a shingle, and percent of Jaccard similarity.
+SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go; the model learns from the labels of the documents given."""
+    model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_toxicity(docs.select(*COLUMNS), model, keep=tuple(COLUMNS)).where("predicted = 0").select(*COLUMNS)
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, and those unlike any learned language, go."""
+    return identify(docs.select(*COLUMNS), fit_languages(docs), keep=tuple(COLUMNS)).where("accepted").select(*COLUMNS)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document of the smallest doc_id stays, one row of it if it is repeated."""
+    groups = shingle_components(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
+    alone = groups.where("n_shingles = 0").select("doc_id", F.lit(True).alias("bare"))
+    kept = groups.where("n_shingles > 0 and doc_id <=> component_id").select("doc_id", F.lit(False).alias("bare"))
+    kept = kept.union(alone).groupBy("doc_id").agg(F.max("bare").alias("bare"))
+    d = docs.select(*COLUMNS).alias("d")
+    rows = d.join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))).select("d.*", "bare")
+    copies = rows.where(~F.col("bare")).dropDuplicates(["doc_id"])
+    return copies.union(rows.where("bare")).select(*COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A document appears as often as the mix takes it, in whole times; one that isn't taken goes."""
+    mixed = mix_sources(docs, keep=("text", "lang", "n_chars"))
+    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+    return mixed.withColumn("times", times).where("times > 0").withColumn("copy", F.explode(F.expr("sequence(1, times)"))).select(*COLUMNS)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, n_pieces, n_byte_pieces, ids_crc32, round_trip and the piece ids of every document."""
+    return encode(docs, keep=("doc_id", "source"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language ID", keep_known_languages),
+    ("n-gram Jaccard join", keep_one_of_each),
+    ("mixing sources", mix),
+    ("SentencePiece encoding", encode_pieces),
+]
 
+#: The models of the stages can't be expressed in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
+    before = None
+    for k, (_, stage) in enumerate(STAGES):
+        docs = materialise(stage(spark, docs, sf_dir), f"stage{k}")
+        if before is not None:
+            drop(before)
+        before = docs
     return docs
