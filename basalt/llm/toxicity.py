@@ -72,8 +72,8 @@ def worst(parts: list[str], table: np.ndarray) -> np.ndarray:
 def train(texts: list[str], labels: np.ndarray, epochs: int = 16, seed: int = 7, batch: int = 512) -> dict:
     """The model: table (a logit a bucket), scale and shift that make a text's worst logit a probability.
 
-    Each epoch takes the worst window of each toxic text, and of each clean text its two worst and some
-    drawn at random (the first epochs draw for toxic texts too). A fifth of the texts is left for calibration.
+    Each epoch takes the two worst windows of each text, and of clean ones some drawn at random; the first
+    epochs only draw for toxic texts, to find what sets them apart. A fifth of the texts is left for calibration.
     """
     rng = np.random.default_rng(seed)
     positive, n = int(labels.sum()), len(labels)
@@ -120,7 +120,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 16, seed: int = 7,
             a, b = first[doc], first[doc + 1]
             worst_two = a + np.argsort(logit[a:b])[-2:]
             drawn = rng.integers(a, b, 3)
-            picked = set(drawn if epoch < 2 else worst_two[-1:]) if labels[doc] else {*worst_two, *drawn}
+            picked = set(rng.integers(a, b, 10) if epoch < 6 else worst_two) if labels[doc] else {*worst_two, *drawn}
             chosen += picked
             of += [doc] * len(picked)
         chosen, of = np.array(chosen), np.array(of)
