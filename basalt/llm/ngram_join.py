@@ -1,13 +1,14 @@
 """Exact Jaccard self-join of word shingles by a token-group matrix.
 
-Texts with equal shingle sets are one node. Nodes are partitioned into groups: nodes that share a band
-of minhashes are compared with the first of them, and linked nodes form a group, so that families of
-near copies are joined by stars and never pair by pair. The matrix then holds, for each group, the union
-of its members' tokens, of which the rarest few of each member are enough: two sets with an overlap of
-at least o share `DEPTH` of the n - o + DEPTH tokens that come first in any common order. A node is
-compared with a group only if its tokens meet the group's union often enough, and then with those
-members whose size allows a link, so no link between groups is lost. Tokens in one group only leave the
-matrix at once.
+Texts with equal shingle sets are one node. Nodes are partitioned into groups of similar ones: nodes that
+share a band of minhashes are compared with the most typical of them, its head, and go to its group.
+The matrix then holds, for each group, the union of its members' tokens, of which the rarest few of each
+member are enough: two sets with an overlap of at least o share `DEPTH` of the n - o + DEPTH tokens that
+come first in any common order. A node is compared with another group only if its tokens meet the group's
+union often enough; tokens in one group only leave the matrix at once. Opened groups are compared by
+exact overlap: small ones by pairs of allowed sizes, large ones block against block, which passes on only
+links that connect something new. Within a group, members not linked with the head are compared with
+all. So no link that components depend on is lost, and families of near copies are never paired off.
 
 The common order puts frequent tokens last, so that a passage shared by many texts makes no candidates.
 It is counted over all texts; it decides how much work there is, never what is linked.
@@ -29,7 +30,9 @@ from basalt.llm.shingles import mix, shingle_sets
 
 BANDS, ROWS, DEPTH = 8, 3, 3
 #: Frequent tokens whose order is told apart: the number bounds what is broadcast.
-FREQUENT = 100_000
+FREQUENT = 400_000
+#: Groups of more members are opened block by block, BLOCK queries against BLOCK members.
+SMALL, BLOCK = 16, 256
 #: Texts hashed at a time.
 TEXTS = 256
 SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -53,7 +56,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     """A row a text: doc_id, n (set size), sid (set id), bands. Besides, rows with n null: tok and times, tokens frequent in a task."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, held = [], 0
+        seen, held, met = [], 0, set()
         tokens, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
         def gather():
@@ -74,8 +77,10 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                         bands.append(mix(low[:, 0] ^ mix(low[:, 1] ^ mix(low[:, 2] + np.arange(BANDS, dtype=np.uint64)))).view(np.int64))
                     else:
                         bands.append(np.zeros(0, np.int64))
-                    seen.append(tok)
-                    held += len(tok)
+                    if sid[-1] not in met:  # copies don't make a token frequent
+                        met.add(sid[-1])
+                        seen.append(tok)
+                        held += len(tok)
                 if held > 2_000_000:
                     gather()
             nothing = pa.nulls(len(n), pa.int64())
@@ -90,10 +95,10 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
 
 def frequent_tokens(marks: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The (at most FREQUENT) most frequent tokens, sorted, and their counts."""
-    rows = marks.groupBy("tok").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "tok").limit(FREQUENT).collect()
-    tok = np.array([r[0] for r in rows], np.int64).view(np.uint64)
+    rows = marks.groupBy("tok").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "tok").limit(FREQUENT).toArrow()
+    tok = rows.column("tok").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(tok)
-    return tok[order], np.array([r[1] for r in rows], np.int64)[order]
+    return tok[order], rows.column("times").to_numpy().astype(np.int64)[order]
 
 
 def prefixes(docs: DataFrame, width: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -166,6 +171,50 @@ def linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     return pairs.join(x, "a").join(y, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def linked_blocks(queries: DataFrame, members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) that connect queries (other, sid) and members (other, sid) of a group as all their links do.
+
+    Rows are dealt to blocks by hash, so that no task holds a group. Every query of a block meets every
+    member, but only links that join what the block hadn't joined yet are passed on, fewer than it has rows.
+    """
+    asked, told = queries.groupBy("other").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("rows")), members.groupBy("other").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("columns"))
+    plan = asked.join(told, "other")
+    spot = F.xxhash64("sid")
+    q = queries.join(plan, "other").select("sid", "other", F.pmod(spot, F.col("rows")).cast("int").alias("i"), F.explode(F.expr("sequence(0, columns - 1)")).alias("j"), F.lit(True).alias("asks"))
+    m = members.join(plan, "other").select("sid", "other", F.explode(F.expr("sequence(0, rows - 1)")).alias("i"), F.pmod(spot, F.col("columns")).cast("int").alias("j"), F.lit(False).alias("asks"))
+
+    def run(table: pa.Table) -> pa.Table:
+        asks, sid = np.array(table.column("asks").to_pylist(), bool), table.column("sid").to_numpy()
+        sets = shingle_sets(table.column("text").to_pylist(), width)
+        inside = np.flatnonzero(~asks)
+        size = np.array([len(sets[k]) for k in inside])
+        tokens, owner = np.concatenate([sets[k] for k in inside]), np.repeat(np.arange(len(inside)), size)
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[order], owner[order]
+        up = {x: x for x in sid.tolist()}
+        a, b = [], []
+
+        def top(x: int) -> int:
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        for k in np.flatnonzero(asks):
+            low, high = np.searchsorted(tokens, sets[k]), np.searchsorted(tokens, sets[k], side="right")
+            runs = high - low
+            ends = np.cumsum(runs)
+            both = np.bincount(owner[np.arange(ends[-1]) + np.repeat(low - (ends - runs), runs)], minlength=len(inside))
+            for other in sid[inside[100 * both >= percent * (len(sets[k]) + size - both)]].tolist():
+                x, y = top(int(sid[k])), top(other)
+                if x != y:
+                    up[x] = y
+                    a.append(int(sid[k]))
+                    b.append(other)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return q.union(m).join(texts, "sid").groupBy("other", "i", "j").applyInArrow(run, "a bigint, b bigint")
+
+
 def sizes_allow(a: str, b: str, percent: int):
     return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
@@ -179,6 +228,21 @@ def check_pairs(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int,
     return found
 
 
+def open_groups(queries: DataFrame, placed: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links that connect queries (sid, n, other) with members of the groups `other`. Materialised."""
+    members = placed.join(queries.select(F.col("other").alias("grp")).distinct(), "grp").select(F.col("grp").alias("other"), F.col("sid").alias("b"), F.col("n").alias("m"))
+    members = materialise(members, "members")
+    large = members.groupBy("other").count().where(F.col("count") > SMALL).select("other")
+    small = members.join(large, "other", "left_anti")
+    pairs = materialise(queries.join(small, "other").where(F.col("sid") != F.col("b")).where(sizes_allow("n", "m", percent)).select(F.col("sid").alias("a"), "b").distinct(), "opened")
+    asking, inside = queries.select("other", "sid").join(large, "other"), members.join(large, "other").select("other", F.col("b").alias("sid"))
+    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).union(asking.select("sid")).union(inside.select("sid")).distinct()
+    texts = materialise(texts_of(docs, nodes, wanted, width), "texts")
+    found = materialise(linked(pairs, texts, width, percent).union(linked_blocks(asking, inside, texts, width, percent)), "linked")
+    drop(members, pairs, texts)
+    return found
+
+
 def shingle_components(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: every document with the smallest doc_id that links lead to.
 
@@ -194,34 +258,41 @@ def shingle_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     rows = found.where("n is not null").select("doc_id", "n", "sid", "bands")
     nodes = materialise(rows.where("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "nodes")
 
-    # groups: stars around the first node of each band
-    banded = nodes.select("sid", "n", F.posexplode("bands").alias("band", "key"))
-    heads = banded.groupBy("band", "key").agg(F.min(F.struct("sid", "n")).alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    stars = banded.join(heads, ["band", "key"]).where(F.col("sid") != F.col("head.sid")).where(sizes_allow("n", "head.n", percent))
-    stars = materialise(stars.select(F.col("sid").alias("a"), F.col("head.sid").alias("b")).distinct(), "stars")
-    star_links = check_pairs(stars, docs, nodes, width, percent)
-    drop(stars)
-    groups = components(star_links)
+    # groups: stars around the node of each band that shares most bands with others, the likely original
+    banded = materialise(nodes.select("sid", "n", F.posexplode("bands").alias("band", "key")), "bands")
+    crowds = banded.groupBy("band", "key").count().where("count > 1")
+    crowded = materialise(banded.join(crowds, ["band", "key"]), "crowds")
+    weights = crowded.groupBy("sid").agg(F.sum("count").alias("weight"))
+    heads = crowded.join(weights, "sid").groupBy("band", "key").agg(F.max(F.struct("weight", "sid", "n")).alias("head"))
+    stars = crowded.join(heads, ["band", "key"]).where(F.col("sid") != F.col("head.sid")).where(sizes_allow("n", "head.n", percent))
+    stars = materialise(stars.groupBy(F.col("sid").alias("a"), F.col("head.sid").alias("b")).agg(F.max("head.weight").alias("weight")), "stars")
+    star_links = check_pairs(stars.select("a", "b"), docs, nodes, width, percent)
+    linked_sets = components(star_links)
+    hubs = stars.groupBy(F.col("a").alias("component")).agg(F.max(F.struct("weight", "b")).alias("hub"))
+    placed = nodes.join(linked_sets.withColumnRenamed("id", "sid"), "sid", "left").select("sid", "n", F.col("rep").alias("doc_id"), F.coalesce("component", "sid").alias("component"))
+    placed = materialise(placed.join(hubs, "component", "left").select("sid", "n", "doc_id", "component", F.coalesce("hub.b", "component").alias("grp")), "placed")
+    drop(stars, banded, crowded)
+
+    # within a group: whatever isn't linked to its head yet against all members
+    head_sets = placed.where("sid = grp").select("grp", F.col("component").alias("head_set"))
+    apart = placed.join(head_sets, "grp", "left").where(F.coalesce(F.col("component") != F.col("head_set"), F.col("component") != F.col("grp")))
+    inner_links = open_groups(apart.select("sid", "n", F.col("grp").alias("other")), placed, docs, nodes, width, percent)
 
     # the matrix of tokens and groups, without tokens of a single group
-    first = prefixes(docs, width, percent, frequent).join(nodes.select("sid", F.col("rep").alias("doc_id")), ["sid", "doc_id"]).dropDuplicates(["sid"])
-    first = first.join(groups.withColumnRenamed("id", "sid"), "sid", "left").select(F.explode("toks").alias("tok"), "sid", "n", "need", F.coalesce("component", "sid").alias("grp"))
-    first = materialise(first, "tokens")
+    first = prefixes(docs, width, percent, frequent).join(placed, ["sid", "n", "doc_id"]).dropDuplicates(["sid"])
+    first = materialise(first.select(F.explode("toks").alias("tok"), "sid", "n", "need", "grp"), "tokens")
     several = first.groupBy("tok").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).where("x < y").select("tok")
     cells = materialise(first.join(several, "tok"), "matrix")
     drop(first)
     matrix = cells.select("tok", F.col("grp").alias("other")).distinct()
-    bound = cells.join(matrix, "tok").where("grp > other").groupBy("sid", "n", "need", "other").count().where(F.col("count") >= F.col("need"))
-    members = cells.select(F.col("grp").alias("other"), F.col("sid").alias("b"), F.col("n").alias("m")).distinct()
-    opened = bound.join(members, "other").where(sizes_allow("n", "m", percent))
-    opened = materialise(opened.select(F.col("sid").alias("a"), "b").distinct(), "opened")
+    bound = materialise(cells.join(matrix, "tok").where("grp > other").groupBy("sid", "n", "need", "other").count().where(F.col("count") >= F.col("need")).select("sid", "n", "other"), "bound")
     drop(cells)
-    cross_links = check_pairs(opened, docs, nodes, width, percent)
-    drop(opened)
+    cross_links = open_groups(bound, placed, docs, nodes, width, percent)
+    drop(bound, placed)
 
     # components of nodes, then the smallest document of each
-    whole = components(star_links.union(cross_links)).withColumnRenamed("id", "sid")
-    drop(star_links, cross_links)
+    whole = components(star_links.union(inner_links).union(cross_links)).withColumnRenamed("id", "sid")
+    drop(star_links, inner_links, cross_links)
     named = materialise(nodes.select("sid", "rep").join(whole, "sid", "left").select("sid", "rep", F.coalesce("component", "sid").alias("component")), "named")
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = named.join(smallest, "component").select("sid", "component_id")
