@@ -5,7 +5,8 @@ share a band of minhashes are compared with the most typical of them, its head,
 The matrix then holds, for each group, the union of its members' tokens, of which the rarest few of each
 member are enough: two sets with an overlap of at least o share `DEPTH` of the n - o + DEPTH tokens that
 come first in any common order. A node is compared with another group only if its tokens meet the group's
-union often enough; tokens in one group only leave the matrix at once. Opened groups are compared by
+union often enough, counting tokens of members whose size allows a link; tokens in one group only leave the
+matrix at once. Opened groups are compared by
 exact overlap: small ones by pairs of allowed sizes, large ones block against block, which passes on only
 links that connect something new. Within a group, members not linked with the head are compared with
 all. So no link that components depend on is lost, and families of near copies are never paired off.
@@ -284,8 +285,9 @@ def shingle_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     several = first.groupBy("tok").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).where("x < y").select("tok")
     cells = materialise(first.join(several, "tok"), "matrix")
     drop(first)
-    matrix = cells.select("tok", F.col("grp").alias("other")).distinct()
-    bound = materialise(cells.join(matrix, "tok").where("grp > other").groupBy("sid", "n", "need", "other").count().where(F.col("count") >= F.col("need")).select("sid", "n", "other"), "bound")
+    matrix = cells.groupBy("tok", F.col("grp").alias("other")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    fits = (F.col("n") * 100 >= F.col("least") * percent) & (F.col("most") * 100 >= F.col("n") * percent)  # some member with the token has a size that allows a link
+    bound = materialise(cells.join(matrix, "tok").where("grp > other").where(fits).groupBy("sid", "n", "need", "other").count().where(F.col("count") >= F.col("need")).select("sid", "n", "other"), "bound")
     drop(cells)
     cross_links = open_groups(bound, placed, docs, nodes, width, percent)
     drop(bound, placed)
