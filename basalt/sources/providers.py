@@ -7,8 +7,10 @@ in for a default by mapInPandas, with one client for each partition.
 from __future__ import annotations
 
 import importlib.util
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,11 +65,18 @@ def extract_requirements(chunks: DataFrame) -> DataFrame:
 
 def embed(rows: DataFrame, text: str = "text", dim: int = 64) -> DataFrame:
     """rows with embedding: words hashed with signs into `dim` places, scaled to length one. Blank texts embed as null."""
-    words = F.filter(F.split(F.lower(normalise(F.col(text))), " "), lambda w: w != "")
-    placed = F.transform(words, lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(dim)).cast("int").alias("at"), F.when(F.crc32(w.cast("binary")) % 2 == 0, 1.0).otherwise(-1.0).alias("sign")))
-    sums = F.aggregate(placed, F.array_repeat(F.lit(0.0), dim), lambda acc, p: F.transform(acc, lambda x, i: F.when(i == p["at"], x + p["sign"]).otherwise(x)))
-    out = rows.withColumn("__v", sums).withColumn("__n", F.sqrt(F.aggregate("__v", F.lit(0.0), lambda s, x: s + x * x)))
-    return out.withColumn("embedding", F.when(F.col("__n") > 0, F.transform("__v", lambda x: (x / F.col("__n")).cast("float")))).drop("__v", "__n")
+
+    @F.pandas_udf("array<float>")
+    def hashed(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            codes = np.fromiter((zlib.crc32(w.encode()) for w in t.split(" ")), np.int64) if t else np.zeros(0, np.int64)
+            v = np.bincount(codes % dim, np.where(codes >> 16 & 1, 1.0, -1.0), dim)
+            n = np.sqrt(v @ v)
+            out.append((v / n).astype(np.float32) if n else None)
+        return pd.Series(out)
+
+    return rows.withColumn("embedding", hashed(F.coalesce(F.lower(normalise(F.col(text))), F.lit(""))))
 
 
 PAGE_SCHEMA = "path string, page_number int, text string, error string"
