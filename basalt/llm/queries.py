@@ -26,4 +26,32 @@ QUERIES = {
     "op10_html_text": op10_html_text,
 }
 
-ORACLE_SQL = {"op1_warc": OP1_SQL, "op4_mix_sources": OP4_SQL}
+#: All pairs are met here, so this is for small tables.
+OP7_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w
+), t AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s
+), l AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), r AS (
+  SELECT doc_id, doc_id AS c FROM s UNION SELECT l.a, r.c FROM l JOIN r ON r.doc_id = l.b
+)
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, m.c AS component_id FROM s JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY 1) m ON m.doc_id = s.doc_id
+"""
+OP8_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93
+), r AS (
+  SELECT vec_id, vec_id AS c FROM embeddings UNION SELECT l.a, r.c FROM l JOIN r ON r.vec_id = l.b
+), m AS (
+  SELECT vec_id, min(c) AS c FROM r GROUP BY 1
+)
+SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id) AS n_links, m.c AS component_id, m.c = e.vec_id AS kept FROM embeddings e JOIN m ON m.vec_id = e.vec_id
+"""
+
+ORACLE_SQL = {"op1_warc": OP1_SQL, "op4_mix_sources": OP4_SQL, "op7_shingle_join": OP7_SQL, "op8_embedding_dedup": OP8_SQL}
