@@ -23,21 +23,22 @@ def top_k(chunks: DataFrame, query: list[float], k: int = 5, source_document: st
     return rows.withColumn("distance", squared_distance("embedding", "__q")).drop("__q").orderBy("distance", "chunk_id").limit(k)
 
 
-#: Query vectors that meet all chunks at once: what is broadcast stays below this many.
+#: Query vectors broadcast at a time, about.
 BLOCK = 1000
 
 
 def top_k_many(chunks: DataFrame, queries: DataFrame, k: int = 5, columns: tuple[str, ...] = ()) -> DataFrame:
     """query_id, chunk_id, distance, rank for each query (query_id, query_vector): blocks of queries against all chunks.
 
-    Within a task only the k nearest of each query go on, before anything is shuffled.
+    Queries are counted and dealt to blocks by hash, so what is broadcast doesn't grow with them. Within a
+    task only the k nearest of each query go on, before anything is shuffled.
     """
-    ids = [r[0] for r in queries.select("query_id").orderBy("query_id").collect()]
-    out = None
+    blocks = -(-queries.count() // BLOCK)
     nearest = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
-    for at in range(0, max(1, len(ids)), BLOCK):
-        block = F.broadcast(queries.where(F.col("query_id").isin(ids[at : at + BLOCK]))) if len(ids) > BLOCK else F.broadcast(queries)
-        near = chunks.crossJoin(block).withColumn("distance", squared_distance("embedding", "query_vector")).withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
+    out = None
+    for n in range(max(1, blocks)):
+        block = queries if blocks <= 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)
+        near = chunks.crossJoin(F.broadcast(block)).withColumn("distance", squared_distance("embedding", "query_vector")).withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
         near = near.select("query_id", "chunk_id", *columns, "distance", "rank")
         out = near if out is None else out.union(near)
     return out

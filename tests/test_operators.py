@@ -123,7 +123,7 @@ def test_upsert_and_delete(spark):
     assert ve.upsert_chunks(old, new.limit(0)).count() == 2
 
 
-def test_top_k(spark):
+def test_top_k(spark, monkeypatch):
     rng = random.Random(2)
     rows = [(f"c{k}", "s" if k % 2 else "t", [rng.random() for _ in range(4)]) for k in range(50)]
     df = spark.createDataFrame(rows, "chunk_id string, source_document string, embedding array<double>")
@@ -132,6 +132,7 @@ def test_top_k(spark):
     want = [c for c, _, _ in sorted(rows, key=lambda r: (dist(r[2]), r[0]))]
     assert [r.chunk_id for r in ve.top_k(df, q, 7).collect()] == want[:7]
     assert [r.chunk_id for r in ve.top_k(df, q, 99, "s").collect()] == [c for c in want if int(c[1:]) % 2]
+    monkeypatch.setattr(ve, "BLOCK", 1)
     many = ve.top_k_many(df, spark.createDataFrame([(1, q), (2, rows[3][2])], "query_id int, query_vector array<double>"), 7)
     assert [r.chunk_id for r in many.where("query_id = 1").orderBy("rank").collect()] == want[:7]
     assert many.where("query_id = 2 and rank = 1").first().chunk_id == "c3"
