@@ -98,3 +98,10 @@ def cross_verify(rows: DataFrame, columns: list[str]) -> DataFrame:
     """match: MATCH if all values are there and equal, INCOMPLETE if one is missing and the rest agree, else MISMATCH."""
     values = F.array_compact(F.array(*[F.nullif(F.col(c), F.lit("")) for c in columns]))
     return rows.withColumn("match", F.when(F.size(F.array_distinct(values)) > 1, "MISMATCH").when(F.size(values) == len(columns), "MATCH").otherwise("INCOMPLETE"))
+
+
+def update_latest(rows: DataFrame, values: DataFrame, key: str, column: str, at: str = "created_at", tie: str = "id") -> DataFrame:
+    """rows with `column` of each key's newest row set from values (key, column); other rows stay."""
+    fresh = values.select(key, F.col(column).alias("__value"), F.lit(True).alias("__has"))
+    out = history(rows, key, at, tie).join(fresh, key, "left")
+    return out.withColumn(column, F.when((F.col("nth") == 1) & F.col("__has"), F.col("__value")).otherwise(F.col(column))).select(*rows.columns)

@@ -488,3 +488,49 @@ def bidder_response(spark, sf_dir):
     """Bidders as callers see them: defaults filled, columns kept back left out."""
     rows = schemas.response(schemas.with_defaults(dm.sql(spark, sf_dir, dm.BIDDERS), "bidders"), "bidders")
     return rows.select(F.col("id").cast("long").alias("id"), "company_name", "gstin")
+
+
+# --- pipelines -------------------------------------------------------------------------------------
+
+
+@query()
+def retrieve_requirements(spark, sf_dir):
+    """Questions to the chunks of all documents, and what the hits oblige to."""
+    from basalt.plans import pipelines as pl
+
+    docs = noted(spark, sf_dir).select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("source_document"), F.concat(F.lit("The bidder must have GST registration. "), "text").alias("text"))
+    questions = spark.createDataFrame([(1, 42, "GST registration", None), (2, 43, "enterprise name", "doc1")], "query_id int, tender_id int, text string, source_document string")
+    hits = pl.retrieve(pl.ingest(None, docs), questions)
+    found, fresh = pl.add_requirements(dm.sql(spark, sf_dir, dm.REQUIREMENTS).withColumn("source_document", F.lit("x")), questions, hits)
+    return fresh.select("tender_id", "requirement_type", "requirement_name", "source_document", "is_required")
+
+
+@query()
+def process_documents(spark, sf_dir):
+    from basalt.plans import pipelines as pl
+
+    pages = dm.sql(spark, sf_dir, dm.PAGES)
+    line = F.when(F.col("document_id") % 2 == 0, "Permanent Account Number ABCDE1234F ").otherwise("")
+    return pl.process_documents(pages.withColumn("text", F.concat(line, "text")), pages.withColumn("document_id", F.col("document_id") + 5))
+
+
+@query(f"""
+WITH i AS ({dm.CHECK_INPUTS}), s AS ({dm.SUBMISSIONS}), r AS ({dm.REQUIREMENTS}), e AS ({ALL_SQL}),
+c AS (SELECT e.bid_submission_id, e.status FROM e JOIN s ON s.id = e.bid_submission_id JOIN r ON r.id = e.tender_requirement_id AND r.tender_id = s.tender_id),
+t AS (SELECT bid_submission_id, count(*) AS n, count(*) FILTER (status = 'FAIL') AS f, count(*) FILTER (status = 'REVIEW') AS v, count(*) FILTER (status = 'PASS') AS p FROM c GROUP BY 1)
+SELECT s.id AS bid_submission_id, CASE WHEN n IS NULL THEN 'PENDING' WHEN f > 0 THEN 'NON_COMPLIANT' WHEN v > 0 THEN 'REVIEW' ELSE 'COMPLIANT' END AS status,
+  CASE WHEN f > 0 THEN '{asm.DO_NOT_PROCEED}' WHEN v > 0 THEN '{asm.MANUAL_REVIEW}' WHEN n = p THEN '{asm.MAY_PROCEED}' ELSE '{asm.FURTHER_REVIEW}' END AS recommendation
+FROM s LEFT JOIN t ON t.bid_submission_id = s.id
+""")
+def decide_submissions(spark, sf_dir):
+    from basalt.plans import pipelines as pl
+
+    _, out = pl.decide(dm.check_inputs(spark, sf_dir), dm.sql(spark, sf_dir, dm.SUBMISSIONS), dm.sql(spark, sf_dir, dm.REQUIREMENTS))
+    return out.select("bid_submission_id", "status", "recommendation")
+
+
+@query(f"SELECT id, bid_document_id, CASE WHEN row_number() OVER (PARTITION BY bid_document_id ORDER BY created_at DESC, id DESC) = 1 AND bid_document_id % 2 = 0 THEN 'CHECKED' ELSE extraction_status END AS extraction_status FROM ({dm.EXTRACTIONS})")
+def update_latest(spark, sf_dir):
+    rows = dm.sql(spark, sf_dir, dm.EXTRACTIONS)
+    values = rows.where("bid_document_id % 2 = 0").select("bid_document_id").distinct().withColumn("extraction_status", F.lit("CHECKED"))
+    return lk.update_latest(rows, values, "bid_document_id", "extraction_status").select("id", "bid_document_id", "extraction_status")

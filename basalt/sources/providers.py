@@ -64,14 +64,14 @@ def extract_requirements(chunks: DataFrame) -> DataFrame:
 
 
 def embed(rows: DataFrame, text: str = "text", dim: int = 64) -> DataFrame:
-    """rows with embedding: words hashed with signs into `dim` places, scaled to length one. Blank texts embed as null."""
+    """rows with embedding: words hashed with signs into three of `dim` places each, scaled to length one. Blank texts embed as null."""
 
     @F.pandas_udf("array<float>")
     def hashed(texts: pd.Series) -> pd.Series:
         out = []
         for t in texts:
             codes = np.fromiter((zlib.crc32(w.encode()) for w in t.split(" ")), np.int64) if t else np.zeros(0, np.int64)
-            v = np.bincount(codes % dim, np.where(codes >> 16 & 1, 1.0, -1.0), dim)
+            v = sum(np.bincount((codes >> k) % dim, np.where(codes >> k + 9 & 1, 1.0, -1.0), dim) for k in (0, 10, 20))
             n = np.sqrt(v @ v)
             out.append((v / n).astype(np.float32) if n else None)
         return pd.Series(out)
