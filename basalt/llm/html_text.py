@@ -34,6 +34,8 @@ NAMES = frozenset(
     " subscription signup share sharing social comment comments discussion disqus respond reply replies related recommended recommendations"
     " pagination pager toolbar skip login search alert".split()
 )
+#: Names of boilerplate that wrappers of a whole page bear too, as in "has-sidebar".
+LAYOUT = frozenset("sidebar rail aside nav navbar menu toolbar overlay modal widget search share social".split())
 HEADS = frozenset("header masthead topbar".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 GOOD = frozenset("article main content body entry post story text hentry".split())
@@ -104,6 +106,12 @@ def parse(html: str) -> Node:
         child = Node(tag, node)
         mark(child, m[3], articles > 0)
         node.inside.append(child)
+        if tag in ("article", "main") and not child.drop:
+            up = node
+            while up:  # a wrapper that holds the article is no sidebar, whatever its name
+                if up.drop and up.tag not in DROPPED and up.names & NAMES <= LAYOUT:
+                    up.drop = False
+                up = up.parent
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
             continue
         if tag in RAW:

@@ -103,6 +103,7 @@ def test_main_text_of_a_page_without_article():
 @pytest.mark.parametrize(("html", "text"), [
     (None, ""), ("", ""), ("just text", "just text"), ("<p>a<p>b", "a\nb"), ("<p>a &lt b &nbsp; c &unknown; &#x41;</p>", "a < b c &unknown; A"), ("<!-- <p>no</p> --><p>yes", "yes"),
     ("<div><p>x</div></p></span><p>y", "x\ny"), ("<p>a<br>b<br><br>c</p>", "a b\nc"), ("<nav>menu</nav>", ""), ("<p>2 < 3 and <3</p>", "2 < 3 and <3"), ("<p hidden>no</p><p>yes</p>", "yes"), ("<script>x", ""),
+    ("<div class='layout has-sidebar'><article><p>in</p></article><div class=sidebar>out</div></div>", "in"), ("<div id=comments><article><p>A reply, it is.</p></article></div><p>Text, really.</p>", "Text, really."),
 ])
 def test_main_text_cases(html, text):
     assert main_text(html) == text
