@@ -109,7 +109,7 @@ def parse(html: str) -> Node:
         if tag in ("article", "main") and not child.drop:
             up = node
             while up:  # a wrapper that holds the article is no sidebar, whatever its name
-                if up.drop and up.tag not in DROPPED and up.names & NAMES <= LAYOUT:
+                if up.drop and up.tag not in DROPPED and up.names & (NAMES | HEADS) and up.names & NAMES <= LAYOUT:
                     up.drop = False
                 up = up.parent
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
