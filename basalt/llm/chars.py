@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Characters per step: bounds the memory of array work. A longer text is read in pieces cut at white space.
-STEP = 1 << 20
+STEP = 1 << 17
 
 
 @functools.cache

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,11 +35,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    give_back()
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop(*frames: DataFrame) -> None:
-    """Delete the files behind materialised frames that nothing reads any more."""
+    """Delete the files behind materialised frames that nothing reads any more, and shuffles that nothing holds."""
     for df in frames:
         sc = df.sparkSession.sparkContext
         for file in df.inputFiles():
@@ -45,6 +49,8 @@ def drop(*frames: DataFrame) -> None:
                 with contextlib.suppress(Exception):  # cleaning is optional
                     folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
                 break
+    for df in frames[:1]:  # the cleaner goes by the driver's garbage collection, which may be long in coming
+        df.sparkSession.sparkContext._jvm.System.gc()
 
 
 def number_equal_rows(df: DataFrame, name: str = "copy") -> DataFrame:
@@ -64,3 +70,20 @@ def number_equal_rows(df: DataFrame, name: str = "copy") -> DataFrame:
 def hash_fold(id_col: str = "doc_id", folds: int = 5):
     """crc32 of the id as text, modulo folds; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
+
+
+def give_back() -> None:
+    """Hand memory that this process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def frugal(run: Callable) -> Callable:
+    """A function of batches that gives its worker's free memory back at the end: workers idle on between stages."""
+
+    def and_give_back(batches):
+        yield from run(batches)
+        give_back()
+
+    return and_give_back

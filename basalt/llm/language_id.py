@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basalt.llm.chars import runs, steps
-from basalt.llm.common import hash_fold
+from basalt.llm.common import frugal, hash_fold
 
 ORDER = 4
 #: Labelled rows of each language that training reads at most.
@@ -212,7 +212,7 @@ def fit_languages(docs: DataFrame, rows: int = TRAIN_ROWS) -> dict:
         rows = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: (r[0], r[2], r[3]))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([r[1] for r in rows], [r[0] for r in rows]))], pa.binary())], names=["model"])
 
-    found = sample.coalesce(1).mapInArrow(fit, "model binary").collect()  # one row; n-grams of a bounded sample
+    found = sample.coalesce(1).mapInArrow(frugal(fit), "model binary").collect()  # one row; n-grams of a bounded sample
     return pickle.loads(found[0][0]) if found else train([], [])
 
 
@@ -241,7 +241,7 @@ def identify(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",))
 
     kept = docs.select(*keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", lang_pred string, score double, entropy double, accepted boolean"
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(frugal(run), schema)
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import drop, materialise
+from basalt.llm.common import drop, frugal, materialise
 from basalt.llm.components import components
 from basalt.llm.shingles import mix, shingle_sets
 
@@ -35,7 +35,7 @@ FREQUENT = 400_000
 #: Groups of more members are opened block by block, BLOCK queries against BLOCK members.
 SMALL, BLOCK = 16, 256
 #: Texts hashed at a time.
-TEXTS = 256
+TEXTS = 64
 SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -91,7 +91,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
         nothing = pa.nulls(len(top), pa.int64())
         yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, pa.nulls(len(top), pa.list_(pa.int64())), signed(tokens[top]), pa.array(times[top])], names=["doc_id", "n", "sid", "bands", "tok", "times"])
 
-    return docs.mapInArrow(sketch, "doc_id bigint, n bigint, sid bigint, bands array<bigint>, tok bigint, times bigint")
+    return docs.mapInArrow(frugal(sketch), "doc_id bigint, n bigint, sid bigint, bands array<bigint>, tok bigint, times bigint")
 
 
 def frequent_tokens(marks: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +127,7 @@ def prefixes(docs: DataFrame, width: int, percent: int, frequent: tuple[np.ndarr
                     toks.append(first.view(np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, TEXTS), signed(np.array(sid, np.uint64)), pa.array(n, pa.int64()), pa.array(need, pa.int64()), pa.array(toks, pa.list_(pa.int64()))], names=["doc_id", "sid", "n", "need", "toks"])
 
-    return docs.mapInArrow(run, "doc_id bigint, sid bigint, n bigint, need bigint, toks array<bigint>")
+    return docs.mapInArrow(frugal(run), "doc_id bigint, sid bigint, n bigint, need bigint, toks array<bigint>")
 
 
 def texts_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -169,7 +169,7 @@ def linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     x, y = texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "text_a", "text_b").mapInArrow(frugal(run), "a bigint, b bigint")
 
 
 def linked_blocks(queries: DataFrame, members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:

@@ -7,7 +7,7 @@ import functools
 import numpy as np
 
 #: Bytes hashed at a time; a longer text is hashed in pieces cut at white space.
-PIECE = 1 << 20
+PIECE = 1 << 17
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True

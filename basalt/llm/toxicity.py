@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basalt.llm.chars import runs, steps
-from basalt.llm.common import hash_fold
+from basalt.llm.common import frugal, hash_fold
 
 BUCKET_BITS, DIM, WINDOW, GRAMS = 20, 8, 3, (3, 4, 5, 6)
 #: Learning rate, and what each bucket's sum of squared gradients begins with: rare n-grams move little.
 RATE, DAMP = 1.0, 1e-3
 #: Labelled rows that training reads at most: toxic, clean.
-TRAIN_ROWS = (1500, 4000)
+TRAIN_ROWS = (1200, 2400)
 P, MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -82,25 +82,34 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 16, seed: int = 7,
         model["shift"] = 4.0 if positive else -4.0
         return model
     ids: dict[str, int] = {}
-    windows, part = [], []
+    windows, sizes, part = [], [], []
     for doc, text in enumerate(texts):
         codes, _, _ = runs([text], digits=True, lead=1)
         words = [ids.setdefault(w, len(ids)) for w in codes.astype(np.uint32).tobytes().decode("utf-32-le").replace("\0", " ").split()]
-        for k in range(0, len(words), WINDOW):
-            windows.append(words[k : k + WINDOW])
-            part.append(doc)
-    part = np.array(part, int)
-    word = np.concatenate([np.array(w, np.int32) for w in windows])
-    size = np.array([len(w) for w in windows])
+        windows.append(np.array(words, np.int32))
+        full, rest = divmod(len(words), WINDOW)
+        sizes.append(np.array([WINDOW] * full + [rest] * (rest > 0), np.int32))
+        part.append(np.full(len(sizes[-1]), doc, np.int32))
+    word, size, part = (np.concatenate(x) for x in (windows, sizes, part))
     begin = np.append(0, np.cumsum(size))
-    bucket, of_word, _, _ = grams(list(ids))
-    order = np.argsort(of_word, kind="stable")
-    bucket, of_word = bucket[order], of_word[order]
+    vocabulary, found = list(ids), []
+    for k in range(0, len(vocabulary), 4096):
+        b, w, _, _ = grams(vocabulary[k : k + 4096])
+        order = np.argsort(w, kind="stable")
+        found.append((b[order], w[order] + np.int32(k)))
+    bucket, of_word = (np.concatenate(x) for x in zip(*found, strict=True))
     count = np.bincount(of_word, minlength=len(ids))
     at = np.append(0, np.cumsum(count))
 
+    n_words = len(ids)
+    del ids, vocabulary, found
+
     def logits(table: np.ndarray) -> np.ndarray:
-        per_word = np.bincount(of_word, table[bucket], len(ids)) / np.maximum(count, 1)
+        per_word = np.zeros(n_words)
+        for k in range(0, n_words, 1 << 16):  # in parts, for the memory
+            a, b = at[k], at[min(k + (1 << 16), n_words)]
+            per_word[k : k + (1 << 16)] = np.bincount(of_word[a:b] - k, table[bucket[a:b]], min(1 << 16, n_words - k))
+        per_word /= np.maximum(count, 1)
         return np.add.reduceat(per_word[word], begin[:-1]) / size
 
     first = np.searchsorted(part, np.arange(n + 1))
@@ -197,7 +206,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = TRA
             marks += batch.column(1).to_pylist()
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, np.array(marks, int)))], pa.binary())], names=["model"])
 
-    found = sample.coalesce(1).mapInArrow(fit, "model binary").collect()  # one row of fixed size
+    found = sample.coalesce(1).mapInArrow(frugal(fit), "model binary").collect()  # one row of fixed size
     return pickle.loads(found[0][0]) if found else train([], np.zeros(0, int))
 
 
@@ -222,7 +231,7 @@ def score_toxicity(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_i
 
     kept = docs.select(*keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", score double, predicted int"
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(score, schema)
+    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(frugal(score), schema)
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
