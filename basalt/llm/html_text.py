@@ -1,6 +1,8 @@
 """Main text of web pages by tree scoring.
 
-The page becomes a tree. Subtrees that are boilerplate by tag, role or name go. Each paragraph left
+The page becomes a tree. Subtrees that are boilerplate by tag, role or name go. A name counts only as a
+whole class or id, or with the usual words around it ("site-footer", not "tag-privacy"), and never against
+an article, what holds most of the page's text, or all that is left of a page. Each paragraph left
 passes points, for its length and its commas, to its parent in full, to its grandparent in half and
 less to further ancestors; a container's points are discounted by its link density. The best container
 is kept whole, with those of its siblings that score near it or read like paragraphs.
@@ -8,6 +10,7 @@ is kept whole, with those of its siblings that score near it or read like paragr
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from html import unescape
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 # Elements of HTML by how they are treated, and names that mark boilerplate.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-DROPPED = frozenset("head script style noscript template nav footer aside form button select option input textarea iframe object svg canvas dialog menu title audio video map".split())
+DROPPED = frozenset("head script style noscript template nav footer aside button select option input textarea iframe object svg canvas dialog menu title audio video map".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
@@ -34,46 +37,104 @@ NAMES = frozenset(
     " subscription signup share sharing social comment comments discussion disqus respond reply replies related recommended recommendations"
     " pagination pager toolbar skip login search alert".split()
 )
-#: Names of boilerplate that wrappers of a whole page bear too, as in "has-sidebar".
+#: Words that may stand before and behind a name of boilerplate, and further compounds.
+BEFORE = frozenset("site page main primary secondary top bottom left right global mobile post article entry header google sticky".split())
+BEHIND = frozenset(
+    "area bar block bottom box btn button buttons column container count form group holder icon icons inner left link links list media module"
+    " outer panel post posts article articles primary right row secondary section slot stories thread title top unit wrap wrapper zone".split()
+)
+COMPOUNDS = frozenset("related-content recommended-content sponsored-content promoted-content".split())
+#: Names that are never the main text, however much of the page they hold.
+BESIDE = frozenset("comment comments discussion disqus respond reply replies cookie cookies consent gdpr ad ads advert advertisement advertising adsense sponsor sponsored".split())
+#: Names that ids made from headings bear too, and elements whose ids say nothing.
+TOPICS = frozenset("discussion privacy notice search alert social menu banner navigation advertising advertisement consent comment reply recommended recommendations cookie cookies gdpr sponsored subscription login promotion share sharing".split())
+SLUGS = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd blockquote pre table figure a span b i em strong".split())
+#: Names of boilerplate that wrappers of an article bear too.
 LAYOUT = frozenset("sidebar rail aside nav navbar menu toolbar overlay modal widget search share social".split())
 HEADS = frozenset("header masthead topbar".split())
+#: Before "header", these make it the head of the text.
+TITLED = frozenset("page post article entry".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 GOOD = frozenset("article main content body entry post story text hentry".split())
 
 TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 PARTS = re.compile(r"[^a-z0-9]+")
+SIZE = re.compile(r"\d+(x\d+)?")
 
 
 class Node:
-    __slots__ = ("tag", "names", "drop", "parent", "inside", "score")
+    __slots__ = ("tag", "names", "bad", "drop", "named", "parent", "inside", "score", "size", "linked")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.inside = tag, parent, []
-        self.names, self.drop, self.score = frozenset(), False, 0.0
+        self.names, self.bad, self.drop, self.named, self.score = frozenset(), frozenset(), False, False, 0.0
+        self.size = self.linked = 0
+
+
+@functools.lru_cache(1 << 14)
+def boilerplate(token: str) -> tuple[frozenset, bool]:
+    """The names of boilerplate that a class or id consists of, and whether it is one of them alone."""
+    parts = [x for x in PARTS.split(token) if x]
+    if "-".join(parts) in COMPOUNDS:
+        return frozenset(parts[:1]), False
+    a, b = 0, len(parts)
+    while b > 1 and (parts[b - 1] in BEHIND or SIZE.fullmatch(parts[b - 1])):
+        b -= 1
+    while a < b - 1 and parts[a] in BEFORE:
+        a += 1
+    found = frozenset(parts[a:b])
+    title = found <= HEADS and not TITLED.isdisjoint(parts[:a])
+    return (found, len(parts) == 1) if found and found <= NAMES | HEADS and not title else (frozenset(), False)
 
 
 def mark(node: Node, attributes: str, in_article: bool) -> None:
-    """Set names and drop from tag and attributes."""
+    """Set names, drop (by tag, role or style) and named (by class or id) from tag and attributes."""
     found = {}
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         found.setdefault(name.lower(), unescape(a or b or c))
-    node.names = frozenset(PARTS.split(f"{found.get('class', '')} {found.get('id', '')}".lower())) - {""}
+    classes, ids = found.get("class", "").lower().split(), found.get("id", "").lower().split()
+    node.names = frozenset(PARTS.split(" ".join(classes + ids))) - {""}
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-    head = node.tag == "header" or bool(node.names & HEADS)
-    bad = bool(node.names & NAMES) and node.tag not in ("html", "body", "main")
-    node.drop = node.tag in DROPPED or hidden or found.get("role", "").lower() in ROLES or bad or head and not in_article
+    bad = {name for x in classes for name in boilerplate(x)[0]}
+    if node.tag not in SLUGS:
+        topical = node.tag == "section" or node.tag == "div" and (in_article or "section" in classes)
+        bad |= {name for x in ids for names, alone in (boilerplate(x),) if not (topical and alone and names <= TOPICS) for name in names}
+    if in_article or node.tag in SLUGS:
+        bad -= HEADS
+    role = found.get("role", "").lower()
+    node.drop = node.tag in DROPPED or hidden or role in ROLES and (role, node.tag) != ("form", "form") or node.tag == "header" and not in_article
+    node.bad = frozenset(bad)
+    node.named = bool(bad) and not node.drop and node.tag not in ("html", "body", "main", "form") and (node.tag != "article" or in_article and bool(bad & BESIDE))
 
 
-def parse(html: str) -> Node:
-    """The tree of a page. Unclosed, stray and misnested tags are taken as browsers roughly do."""
+
+def settle(nodes: list[Node]) -> None:
+    """Drop what is boilerplate by name, and forms; what holds most of the page's text stays.
+
+    `nodes` are in page order. What is mostly links or bears a name of things beside the text always goes.
+    """
+    for x in reversed(nodes):
+        if x.parent and not (x.drop or x.named and x.bad & BESIDE):
+            x.parent.size += x.size
+            x.parent.linked += x.size if x.tag == "a" else x.linked
+    for x in nodes:
+        if (x.named or x.tag == "form") and not x.drop:
+            most = 2 * x.size > nodes[0].size and 2 * x.linked < x.size and not x.bad & BESIDE
+            x.drop, x.named = not most, x.named and not most
+
+
+
+def parse(html: str) -> list[Node]:
+    """The tree of a page, as its elements in page order. Unclosed, stray and misnested tags are taken as browsers roughly do."""
     root = node = Node("html", None)
-    at, articles = 0, 0
+    nodes, at, articles = [root], 0, 0
     while at < len(html):
         m = TOKEN.search(html, at)
         end = m.start() if m else len(html)
         if end > at:
             node.inside.append(html[at:end])
+            node.size += len(html[at:end].strip())
         if not m:
             break
         at = m.end()
@@ -81,6 +142,7 @@ def parse(html: str) -> Node:
         if tag is None:
             if m[0].startswith("<![CDATA["):
                 node.inside.append(m[0][9:-3])
+                node.size += len(m[0][9:-3].strip())
             continue
         tag = tag.lower()
         if m[1]:
@@ -106,11 +168,12 @@ def parse(html: str) -> Node:
         child = Node(tag, node)
         mark(child, m[3], articles > 0)
         node.inside.append(child)
+        nodes.append(child)
         if tag in ("article", "main") and not child.drop:
             up = node
             while up:  # a wrapper that holds the article is no sidebar, whatever its name
-                if up.drop and up.tag not in DROPPED and up.names & (NAMES | HEADS) and up.names & NAMES <= LAYOUT:
-                    up.drop = False
+                if up.named and up.bad <= LAYOUT | HEADS:
+                    up.named = False
                 up = up.parent
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
             continue
@@ -121,7 +184,8 @@ def parse(html: str) -> Node:
             continue
         articles += tag in ("article", "main")
         node = child
-    return root
+    settle(nodes)
+    return nodes
 
 
 def walk(node: Node) -> Iterator[tuple[Node, str | Node, bool]]:
@@ -183,7 +247,18 @@ def main_text(html: str | None) -> str:
     """The main text, blocks joined by a newline; empty for null, empty or textless pages."""
     if not html:
         return ""
-    root = parse(html)
+    nodes = parse(html)
+    text = best_text(nodes[0])
+    if not text and any(x.named for x in nodes):
+        for x in nodes:
+            x.drop = x.drop and not x.named
+            x.score = 0.0
+        text = best_text(nodes[0])
+    return text
+
+
+def best_text(root: Node) -> str:
+    """The text of the best container under root and of the siblings that belong to it."""
     link, length = {}, {}
     for parent, x, _ in walk(root):
         if isinstance(x, str) and (n := len(x.strip())):

@@ -118,3 +118,19 @@ def test_op10_edges(spark):
     pages = spark.createDataFrame([(None, None, None, "q"), (1, "u", "<p>a</p>", "q"), (1, "u", "<p>a</p>", "q")], "page_id long, url string, html string, text string")
     assert sorted(r.n_chars for r in extract_main_text(pages).collect()) == [0, 1, 1]
     assert extract_main_text(pages.limit(0)).count() == 0
+
+
+TEXT = "<p>A long paragraph, with commas, that says something of the matter at hand.</p>" * 3
+
+
+@pytest.mark.parametrize(("html", "after"), [
+    ("<article class='post hentry category-social tag-privacy'>{}</article>", 0),
+    ("<div id=content class='has-sidebar'>{}</div><div class=sidebar><a href=/>Links</a></div>", 0),
+    ("<article>{}<h2 id='related-work'>Related work</h2><section id=discussion><p>So we say.</p></section></article>", 2),
+    ("<form id=aspnetForm><div class=search>{}</div><input></form><p class=cookie-notice>Cookies, more and more of them.</p>", 0),
+    ("<nav class=menu>menu</nav><div class=comments>{}</div>", 0),
+    ("<div id=page>{}<div id=comments class=comments-area>{}{}</div><div class=share-buttons>Share it, now.</div></div>", 0),
+])
+def test_names_cost_no_text(html, after):
+    lines = main_text(html.replace("{}", TEXT)).split("\n")
+    assert len(lines) == 3 + after and all(x.startswith("A long paragraph") for x in lines[:3])
