@@ -4,8 +4,10 @@ The page becomes a tree. Subtrees that are boilerplate by tag, role or name go.
 whole class or id, or with the usual words around it ("site-footer", not "tag-privacy"), and never against
 an article, what holds most of the page's text, or all that is left of a page. Each paragraph left
 passes points, for its length and its commas, to its parent in full, to its grandparent in half and
-less to further ancestors; a container's points are discounted by its link density. The best container
-is kept whole, with those of its siblings that score near it or read like paragraphs.
+less to further ancestors; a container's points are discounted by its link density. The article or main
+part that holds the best container is kept whole, or the least container of nearly all the text if it adds
+few links; else the best container. Siblings come along that score near it, read like paragraphs, are its
+title, or are articles or sections as it is.
 """
 
 from __future__ import annotations
@@ -61,6 +63,8 @@ TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 PARTS = re.compile(r"[^a-z0-9]+")
 SIZE = re.compile(r"\d+(x\d+)?")
+#: The share of a page's text that is nearly all, the share of links among text that is few, and the length of a title.
+NEARLY_ALL, FEW_LINKS, TITLE = 0.9, 0.25, 300
 
 
 class Node:
@@ -285,6 +289,19 @@ def best_text(root: Node) -> str:
     for x in scored:
         x.score *= 1 - density(x)
     best = max(scored, key=lambda x: x.score)
+    up, whole = best, None
+    while up:
+        if up.tag in ("article", "main"):
+            whole = up
+        up = up.parent
+    up = best
+    while not whole and up.tag not in ("body", "html"):
+        if length.get(up, 0) >= NEARLY_ALL * length[root]:
+            if link.get(up, 0) - link.get(best, 0) <= FEW_LINKS * (length[up] - length.get(best, 0)):
+                best = up
+            break
+        up = up.parent
+    best = whole or best
     kept = [best]
     if best.parent:
         kept = []
@@ -292,10 +309,12 @@ def best_text(root: Node) -> str:
             if x is best:
                 kept.append(x)
             elif isinstance(x, Node) and not x.drop and length.get(x):
+                title = x.tag == "h1" or x.tag in BLOCK and length[x] <= TITLE and not density(x) and any(isinstance(y, Node) and y.tag == "h1" for _, y, _ in walk(x))
+                part = x.tag == best.tag and x.tag in ("article", "section") and density(x) <= FEW_LINKS
                 same = 0.2 * best.score if x.names and x.names & best.names else 0
                 text = " ".join(t for _, t in blocks(x)) if x.tag in BLOCK else ""
                 reads = x.tag in ("p", "h1", "h2", "h3", "blockquote", "pre") and (density(x) < 0.25 and len(text) > 80 or density(x) == 0 and re.search(r"[.!?](\s|$)", text))
-                if x.score + same >= max(10, 0.2 * best.score) or reads:
+                if x.score + same >= max(10, 0.2 * best.score) or reads or title or part:
                     kept.append(x)
     return "\n".join(text for x in kept for _, text in blocks(x))
 

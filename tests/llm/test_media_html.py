@@ -134,3 +134,17 @@ TEXT = "<p>A long paragraph, with commas, that says something of the matter at h
 def test_names_cost_no_text(html, after):
     lines = main_text(html.replace("{}", TEXT)).split("\n")
     assert len(lines) == 3 + after and all(x.startswith("A long paragraph") for x in lines[:3])
+
+
+@pytest.mark.parametrize("html", [
+    "<article><h1>Title</h1><div class=body>{}</div></article>",
+    "<main><h1>Title</h1><div class=body>{}</div></main>",
+    "<body><h1>Title</h1><div class=body>{}</div></body>",
+    "<article><section><h2>Title</h2>{}</section><section><p>short</p></section><section><p>Short, too</p></section></article>",
+    "<div><article><h1>Title</h1>{}</article><article><p>short</p></article><article><p>Short, too</p></article></div>",
+    "<div id=content><section><h2>Title</h2>{}</section><section><p>short</p></section><section><p>Short, too</p></section></div><p>(c)</p>",
+])
+def test_long_parts_cost_no_short_ones(html):
+    for times in (1, 40):
+        lines = main_text(f"<ul><li><a href=/>Home</a></ul>{html.replace('{}', TEXT * times)}").split("\n")
+        assert lines[0] == "Title" and len(lines) == 1 + 3 * times + 2 * html.count("<p>Short")
