@@ -34,14 +34,16 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest doc_id stays, one row of it if it is repeated."""
-    groups = shingle_components(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
-    alone = groups.where("n_shingles = 0").select("doc_id", F.lit(True).alias("bare"))
-    kept = groups.where("n_shingles > 0 and doc_id <=> component_id").select("doc_id", F.lit(False).alias("bare"))
-    kept = kept.union(alone).groupBy("doc_id").agg(F.max("bare").alias("bare"))
-    d = docs.select(*COLUMNS).alias("d")
-    rows = d.join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))).select("d.*", "bare")
-    copies = rows.where(~F.col("bare")).dropDuplicates(["doc_id"])
+    """Of each group of near-duplicates one row stays, one of the smallest doc_id, null last; of texts without words all.
+
+    Rows are told apart by a 64-bit hash of id and text, so neither null nor repeated ids tie texts together.
+    """
+    keyed = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("key"))
+    groups = shingle_components(keyed, SHINGLE_WORDS, SIMILAR_PERCENT, id_col="key").withColumnRenamed("doc_id", "key").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first")
+    kept = groups.join(keyed.select("key", "doc_id").distinct(), "key").groupBy("component_id").agg(first, F.max(F.col("n_shingles") == 0).alias("bare"))
+    rows = keyed.join(kept.select("first.key", "bare"), "key")
+    copies = rows.where(~F.col("bare")).dropDuplicates(["doc_id", "key"])
     return copies.union(rows.where("bare")).select(*COLUMNS)
 
 
