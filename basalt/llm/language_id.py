@@ -28,6 +28,8 @@ MIX = np.uint64(0x9E3779B97F4A7C15)  # odd, so that the hash of a packed n-gram
 SHARPNESS = 20.0
 #: Rejection lies this many times beyond the spread seen in calibration, plus a margin in nats a character.
 REJECT_TIMES, REJECT_MARGIN = 2.0, 0.35
+#: The share of held-back texts taken as usual ones, and of texts of other languages at which they are said to begin.
+USUAL, FOREIGN = 0.9, 0.1
 
 
 def spell(codes: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
@@ -168,14 +170,20 @@ def train(texts: list[str], langs: list[str]) -> dict:
         streams[lang] = grams[own]
     model = kneser_ney(streams, len(letters) + 2) | {"alphabet": letters}
     centre, reach = [], []
-    for j, lang in enumerate(model["langs"]):
-        total, n, _ = sums(model, each[lang][2])
+    held = [sums(model, each[lang][2])[:2] for lang in model["langs"]]
+    for j, (total, n) in enumerate(held):
         some = n > 0
         h = -total[some, j] / n[some] if some.any() else np.array([np.log(model["size"])])
         weight = n[some] if some.any() else np.ones(1)
         centre.append(np.average(h, weights=weight))
-        reach.append(np.max((h - centre[-1]) * np.sqrt(weight / (weight + 50.0)), initial=0.0))
-    return model | {"centre": np.array(centre), "reach": np.array(reach) * REJECT_TIMES + REJECT_MARGIN}
+        own = (h - centre[-1]) * np.sqrt(weight / (weight + 50.0))
+        limit = lambda x: max(0.0, x) * REJECT_TIMES + REJECT_MARGIN
+        # a held-back text may be junk or mislabelled, so the worst of them counts only up to where texts of other languages begin
+        foreign = [(-t[m > 0, j] / m[m > 0] - centre[-1]) * np.sqrt(m[m > 0] / (m[m > 0] + 50.0)) for k, (t, m) in enumerate(held) if k != j]
+        foreign = np.concatenate(foreign) if foreign else np.zeros(0)
+        unlike = np.quantile(foreign, FOREIGN) if len(foreign) else np.log(model["size"]) - centre[-1]
+        reach.append(min(limit(own.max()), max(limit(np.quantile(own, USUAL)), unlike)))
+    return model | {"centre": np.array(centre), "reach": np.array(reach)}
 
 
 def decide(model: dict, total: np.ndarray, n: np.ndarray, letters: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:

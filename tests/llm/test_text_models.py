@@ -32,6 +32,18 @@ def test_kneser_ney_sums_to_one():
         assert np.allclose(p, 1, atol=1e-5)
 
 
+def test_junk_held_back_opens_no_gate():
+    words = {"en": "the and with house from weather children water there going because morning small street found their", "fr": "les avec maison pour enfants matin petite rue trouver leur parce que nous allons dans toujours", "de": "und mit haus wetter kinder wasser gehen weil morgen kleine strasse finden ihre nicht immer durch"}
+    rng = np.random.default_rng(2)
+    texts = {k: [" ".join(rng.choice(w.split(), 40)) for _ in range(60)] for k, w in words.items()}
+    for k in texts:
+        texts[k][14] = "xq zkvjw qqxz wvkx jzzq " * 3  # the fifth of each five is held back
+    model = li.train([t for k in texts for t in texts[k]], [k for k in texts for _ in texts[k]])
+    foreign = ["bugün hava çok güzel ve çocuklarla birlikte yüzmek için plaja gidiyoruz çünkü parlıyor", "dzisiaj jest piekna pogoda idziemy na plaze zeby poplywac swieci slonce"]
+    asked = [" ".join(rng.choice(f.split(), 40)) for f in foreign] + [" ".join(rng.choice(w.split(), 40)) for w in words.values()]
+    assert li.decide(model, *li.sums(model, asked))[3].tolist() == [False, False, True, True, True]
+
+
 def test_language_edges(spark):
     text = ["the cat sat on the mat and it was there", "le chat est sur la table et il dort"]
     rows = [(i, text[i % 2] + " x" * (i % 3), ("en", "fr")[i % 2], "a") for i in range(200)]
