@@ -46,6 +46,6 @@ def test_edges(spark):
 
 def test_null_and_repeated_ids_keep_their_texts(spark):
     texts = [f"text number {w} says that {w} and nothing but {w} is what it is about" for w in ("one", "two", "three", "four", "five")]
-    rows = [(i, t, "en", "a", len(t or "")) for i, t in [(None, texts[0]), (None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[2]), (7, texts[3]), (3, texts[4]), (7, texts[4]), (None, None), (None, ""), (7, " ")]]
+    rows = [(i, t, "en", "a", len(t or "")) for i, t in [(None, texts[0]), (None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[2]), (7, texts[3]), (3, texts[4]), (7, texts[4]), (8, None), (8, ""), (9, " ")]]
     kept = cp.keep_one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), SF).collect()
-    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (3, texts[4]), (None, None), (None, ""), (7, " ")], key=str)
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (3, texts[4]), (8, None), (8, ""), (9, " ")], key=str)
