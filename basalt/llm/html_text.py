@@ -3,11 +3,14 @@
 The page becomes a tree. Subtrees that are boilerplate by tag, role or name go. A name counts only as a
 whole class or id, or with the usual words around it ("site-footer", not "tag-privacy"), and never against
 an article, what holds most of the page's text, or all that is left of a page. Each paragraph left
-passes points, for its length and its commas, to its parent in full, to its grandparent in half and
-less to further ancestors; a container's points are discounted by its link density. The article or main
+passes points, for its length and its commas, to its parent in full, to its grandparent in half, and half
+again at each step up; a container's points are discounted by its link density. The article or main
 part that holds the best container is kept whole, or the least container of nearly all the text if it adds
 few links; else the best container. Siblings come along that score near it, read like paragraphs, are its
 title, or are articles or sections as it is.
+
+Lengths, links and points are added up once, from the last element to the first, so time grows with the page
+however deep it is. A quoted attribute that doesn't end where an attribute may end is taken as unclosed.
 """
 
 from __future__ import annotations
@@ -51,6 +54,8 @@ BESIDE = frozenset("comment comments discussion disqus respond reply replies coo
 #: Names that ids made from headings bear too, and elements whose ids say nothing.
 TOPICS = frozenset("discussion privacy notice search alert social menu banner navigation advertising advertisement consent comment reply recommended recommendations cookie cookies gdpr sponsored subscription login promotion share sharing".split())
 SLUGS = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd blockquote pre table figure a span b i em strong".split())
+#: Names that boxes of an article's own bear.
+BOXES = frozenset("alert privacy".split())
 #: Names of boilerplate that wrappers of an article bear too.
 LAYOUT = frozenset("sidebar rail aside nav navbar menu toolbar overlay modal widget search share social".split())
 HEADS = frozenset("header masthead topbar".split())
@@ -59,7 +64,9 @@ TITLED = frozenset("page post article entry".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 GOOD = frozenset("article main content body entry post story text hentry".split())
 
-TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TOKEN = re.compile(
+    r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|"
+    r"<(/?)([a-zA-Z][^\s/<>]*+)((?:=\s*+\"[^\"]*+\"(?=[\s/>])|=\s*+'[^']*+'(?=[\s/>])|[^<>])*+)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 PARTS = re.compile(r"[^a-z0-9]+")
 SIZE = re.compile(r"\d+(x\d+)?")
@@ -67,13 +74,22 @@ SIZE = re.compile(r"\d+(x\d+)?")
 NEARLY_ALL, FEW_LINKS, TITLE = 0.9, 0.25, 300
 
 
+#: Elements that an open tag's implied end doesn't go beyond.
+WALLS = frozenset("html article div section main table ul ol dl body".split())
+
+
 class Node:
-    __slots__ = ("tag", "names", "bad", "drop", "named", "parent", "inside", "score", "size", "linked")
+    """An element. block: the nearest block element, itself included; near: likewise of those with implied ends or walls."""
+
+    __slots__ = ("tag", "names", "bad", "drop", "named", "parent", "inside", "score", "size", "linked", "depth", "block", "near", "holds", "length", "links")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.inside = tag, parent, []
         self.names, self.bad, self.drop, self.named, self.score = frozenset(), frozenset(), False, False, 0.0
-        self.size = self.linked = 0
+        self.size = self.linked = self.length = self.links = 0
+        self.depth, self.holds = parent.depth + 1 if parent else 0, False
+        self.block = self if tag in BLOCK or not parent else parent.block
+        self.near = self if tag in CLOSED_BY or tag in WALLS or not parent else parent.near
 
 
 @functools.lru_cache(1 << 14)
@@ -106,13 +122,14 @@ def mark(node: Node, attributes: str, in_article: bool) -> None:
         bad |= {name for x in ids for names, alone in (boilerplate(x),) if not (topical and alone and names <= TOPICS) for name in names}
     if in_article or node.tag in SLUGS:
         bad -= HEADS
+    if in_article:
+        bad -= BOXES
     role = found.get("role", "").lower()
     node.drop = node.tag in DROPPED or hidden or role in ROLES and (role, node.tag) != ("form", "form") or node.tag == "header" and not in_article
     node.bad = frozenset(bad)
     node.named = bool(bad) and not node.drop and node.tag not in ("html", "body", "main", "form") and (node.tag != "article" or in_article and bool(bad & BESIDE))
 
 
-
 def settle(nodes: list[Node]) -> None:
     """Drop what is boilerplate by name, and forms; what holds most of the page's text stays.
 
@@ -128,65 +145,74 @@ def settle(nodes: list[Node]) -> None:
             x.drop, x.named = not most, x.named and not most
 
 
-
 def parse(html: str) -> list[Node]:
     """The tree of a page, as its elements in page order. Unclosed, stray and misnested tags are taken as browsers roughly do."""
     root = node = Node("html", None)
     nodes, at, articles = [root], 0, 0
+    standing: dict[str, list[Node]] = {}  # open elements by tag
+    once = set()
+
+    def close(to: Node) -> None:
+        """Leave everything below `to`."""
+        nonlocal node, articles
+        while node is not to:
+            articles -= node.tag in ("article", "main")
+            standing[node.tag].pop()
+            node = node.parent
+
+    def put(text: str) -> None:
+        node.inside.append(text)
+        node.size += len(text.strip())
+
     while at < len(html):
         m = TOKEN.search(html, at)
         end = m.start() if m else len(html)
         if end > at:
-            node.inside.append(html[at:end])
-            node.size += len(html[at:end].strip())
+            put(html[at:end])
         if not m:
             break
         at = m.end()
         tag = m[2]
         if tag is None:
             if m[0].startswith("<![CDATA["):
-                node.inside.append(m[0][9:-3])
-                node.size += len(m[0][9:-3].strip())
+                put(m[0][9:-3])
             continue
         tag = tag.lower()
         if m[1]:
-            up = node
-            while up is not root and up.tag != tag:
-                if tag not in BLOCK and up.tag in BLOCK:
-                    up = root  # an inline end tag doesn't close the blocks around it
-                else:
-                    up = up.parent
-            if up is not root:
-                while node is not up.parent:
-                    articles -= node.tag in ("article", "main")
-                    node = node.parent
+            found = standing.get(tag)
+            if found and (tag in BLOCK or found[-1].depth > node.block.depth):  # an inline end tag doesn't close the blocks around it
+                close(found[-1].parent)
             continue
-        if tag in ("html", "body") and any(isinstance(x, Node) and x.tag == tag for x in root.inside):
-            continue
-        up = node
-        while up is not root and up.tag not in ("article", "div", "section", "main", "table", "ul", "ol", "dl", "body"):
-            if tag in CLOSED_BY.get(up.tag, ()):
-                node = up.parent
+        if tag in ("html", "body"):
+            if tag in once:
+                continue
+            once.add(tag)
+        up = node.near
+        while up.tag not in WALLS:
+            if tag in CLOSED_BY[up.tag]:
+                close(up.parent)
                 break
-            up = up.parent
+            up = up.parent.near
         child = Node(tag, node)
         mark(child, m[3], articles > 0)
         node.inside.append(child)
         nodes.append(child)
         if tag in ("article", "main") and not child.drop:
             up = node
-            while up:  # a wrapper that holds the article is no sidebar, whatever its name
+            while up and not up.holds:  # a wrapper that holds the article is no sidebar, whatever its name
+                up.holds = True
                 if up.named and up.bad <= LAYOUT | HEADS:
                     up.named = False
                 up = up.parent
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
             continue
         if tag in RAW:
-            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I).search(html, at)
-            child.inside.append(html[at : close.start()])
-            at = close.end()
+            close_tag = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I).search(html, at)
+            child.inside.append(html[at : close_tag.start()])
+            at = close_tag.end()
             continue
         articles += tag in ("article", "main")
+        standing.setdefault(tag, []).append(child)
         node = child
     settle(nodes)
     return nodes
@@ -240,53 +266,41 @@ def blocks(node: Node) -> Iterator[tuple[Node, str]]:
         yield owner, found
 
 
-def holder(node: Node) -> Node:
-    """The nearest block element around node, itself included."""
-    while node.tag not in BLOCK and node.parent:
-        node = node.parent
-    return node
-
-
 def main_text(html: str | None) -> str:
     """The main text, blocks joined by a newline; empty for null, empty or textless pages."""
     if not html:
         return ""
     nodes = parse(html)
-    text = best_text(nodes[0])
+    text = best_text(nodes)
     if not text and any(x.named for x in nodes):
         for x in nodes:
             x.drop = x.drop and not x.named
-            x.score = 0.0
-        text = best_text(nodes[0])
+            x.score, x.length, x.links = 0.0, 0, 0
+        text = best_text(nodes)
     return text
 
 
-def best_text(root: Node) -> str:
-    """The text of the best container under root and of the siblings that belong to it."""
-    link, length = {}, {}
+def best_text(nodes: list[Node]) -> str:
+    """The text of the best container of a page and of the siblings that belong to it."""
+    root = nodes[0]
     for parent, x, _ in walk(root):
-        if isinstance(x, str) and (n := len(x.strip())):
-            up, linked = parent, False
-            while up:
-                linked = linked or up.tag == "a"
-                length[up] = length.get(up, 0) + n
-                link[up] = link.get(up, 0) + n * linked
-                up = up.parent
-    scored = []
+        if isinstance(x, str):
+            parent.length += len(x.strip())
     for owner, text in blocks(root):
-        paragraph = holder(owner)
-        points = 1 + text.count(",") + min(len(text) / 100, 3)
-        up, depth = paragraph if paragraph.tag in ("div", "section", "article", "main", "body", "td", "html") else paragraph.parent or paragraph, 0
-        while up:
-            if not up.score:
-                scored.append(up)
-                up.score = (25 if up.tag in ("article", "main") else 5 if up.tag in ("div", "section") and up.names & GOOD else 0) + 1e-9
-            up.score += points / (1 if depth == 0 else 2 if depth == 1 else 3 * depth)
-            up, depth = up.parent, depth + 1
+        paragraph = owner.block
+        up = paragraph if paragraph.tag in ("div", "section", "article", "main", "body", "td", "html") else paragraph.parent or paragraph
+        up.score += 1 + text.count(",") + min(len(text) / 100, 3)
+    for x in reversed(nodes):
+        if x.parent and not x.drop:
+            x.parent.length += x.length
+            x.parent.links += x.length if x.tag == "a" else x.links
+            x.parent.score += x.score / 2
+    scored = [x for x in nodes if x.score and not x.drop]
     if not scored:
         return ""
-    density = lambda x: link.get(x, 0) / max(1, length.get(x, 0))
+    density = lambda x: x.links / max(1, x.length)
     for x in scored:
+        x.score += 25 if x.tag in ("article", "main") else 5 if x.tag in ("div", "section") and x.names & GOOD else 0
         x.score *= 1 - density(x)
     best = max(scored, key=lambda x: x.score)
     up, whole = best, None
@@ -296,8 +310,8 @@ def best_text(root: Node) -> str:
         up = up.parent
     up = best
     while not whole and up.tag not in ("body", "html"):
-        if length.get(up, 0) >= NEARLY_ALL * length[root]:
-            if link.get(up, 0) - link.get(best, 0) <= FEW_LINKS * (length[up] - length.get(best, 0)):
+        if up.length >= NEARLY_ALL * root.length:
+            if up.links - best.links <= FEW_LINKS * (up.length - best.length):
                 best = up
             break
         up = up.parent
@@ -308,13 +322,13 @@ def best_text(root: Node) -> str:
         for x in best.parent.inside:
             if x is best:
                 kept.append(x)
-            elif isinstance(x, Node) and not x.drop and length.get(x):
-                title = x.tag == "h1" or x.tag in BLOCK and length[x] <= TITLE and not density(x) and any(isinstance(y, Node) and y.tag == "h1" for _, y, _ in walk(x))
+            elif isinstance(x, Node) and not x.drop and x.length:
+                title = x.tag == "h1" or x.tag in BLOCK and x.length <= TITLE and not density(x) and any(isinstance(y, Node) and y.tag == "h1" for _, y, _ in walk(x))
                 part = x.tag == best.tag and x.tag in ("article", "section") and density(x) <= FEW_LINKS
                 same = 0.2 * best.score if x.names and x.names & best.names else 0
                 text = " ".join(t for _, t in blocks(x)) if x.tag in BLOCK else ""
                 reads = x.tag in ("p", "h1", "h2", "h3", "blockquote", "pre") and (density(x) < 0.25 and len(text) > 80 or density(x) == 0 and re.search(r"[.!?](\s|$)", text))
-                if x.score + same >= max(10, 0.2 * best.score) or reads or title or part:
+                if x.score + same >= 0.2 * best.score or reads or title or part:
                     kept.append(x)
     return "\n".join(text for x in kept for _, text in blocks(x))
 
@@ -337,4 +351,5 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
 
 def op10_html_text(spark, sf_dir: str) -> DataFrame:
+    """extract_main_text over all pages; its cases hold."""
     return extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from html import unescape
 
@@ -148,3 +149,47 @@ def test_long_parts_cost_no_short_ones(html):
     for times in (1, 40):
         lines = main_text(f"<ul><li><a href=/>Home</a></ul>{html.replace('{}', TEXT * times)}").split("\n")
         assert lines[0] == "Title" and len(lines) == 1 + 3 * times + 2 * html.count("<p>Short")
+
+
+@pytest.mark.parametrize("html", [
+    "<body><form id='aspnetForm'>{nav}<div>{}</div></form></body>",
+    "<div class='content with-sidebar'>{}</div>{nav}",
+    "<div class='post comments-closed'>{}</div>{nav}",
+    "<article><p class='alert'>Take care, of this.</p>{}<div class='privacy'><p>Privacy, as a topic.</p></div></article>{nav}",
+    "<div><section>{}</section><section>{}</section></div>{nav}",
+    "<div><p title=\"oops>Hello, said the world.</p>{}</div>",
+    "<div>{nav}<div>{}</div><div>{}</div></div>",
+])
+def test_articles_of_many_shapes(html):
+    nav = "<nav><a href=/>Home</a></nav><div class=sidebar><a href=/y>Side</a></div><footer>Footer</footer>"
+    lines = main_text(html.replace("{nav}", nav).replace("{}", TEXT)).split("\n")
+    extra = [t for t in ("Take care, of this.", "Privacy, as a topic.", "Hello, said the world.") if t in html]
+    assert sorted(lines) == sorted([re.sub("<[^>]*>", "", TEXT.split("</p>")[0])] * (3 * html.count("{}")) + extra)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_made_pages(seed):
+    """Pages built from known parts, against the parts."""
+    rng = random.Random(seed)
+    words = "river stone cloud light house water grass small early north green paper".split()
+    sentence = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(6, 30))).capitalize() + ", " + rng.choice(words) + "."
+    said, body = [], []
+    for _ in range(rng.randrange(5, 40)):
+        kind, text = rng.choice(["p", "p", "p", "p", "blockquote", "h2", "li"]), sentence()
+        said.append(text)
+        inner = text.replace(" ", "\n  ", 1).replace(rng.choice(words), "<b>\\g</b>", 0)
+        body.append(f"<ul><li>{inner}</li></ul>" if kind == "li" else f"<{kind}>{inner}</{kind}>")
+        if rng.random() < 0.2:
+            body.append(rng.choice(["<script>var a = '<p>no</p>';</script>", "<style>p { }</style>", "<form><input><label>Mail</label></form>", "<div class='share-buttons'><a href=/>Share</a></div>", "<!-- <p>no</p> -->", "<aside><p>Beside, the text.</p></aside>"]))
+    open_, shut = rng.choice([("<article>", "</article>"), ("<main><div>", "</div></main>"), ("<div class='post-body'>", "</div>"), ("<div id=content><div>", "</div></div>")])
+    menu = "<nav><ul><li><a href=/>Home</a></li><li><a href=/a>About, us</a></li></ul></nav>"
+    junk = "<div class=sidebar><p>Other, things, to read, here.</p></div><section class=comments><p>I, for one, disagree, with it.</p></section><footer><p>(c) us, and others.</p></footer>"
+    html = f"<html><head><title>T</title></head><body><header><h1>Site</h1></header>{menu}<div class=wrap>{open_}{''.join(body)}{shut}</div>{junk}</body></html>"
+    assert main_text(html).split("\n") == said
+
+
+@pytest.mark.parametrize("part", ["<div>text here, ", "<b>text ", "<p title=\"oops>text", "</i><i><b>text", "<article>text", "<ul><li>text"])
+def test_time_grows_with_the_page(part):
+    began = time.process_time()
+    assert main_text(part * 50_000).count("text") == 50_000
+    assert time.process_time() - began < 20
