@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -17,9 +18,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share. Where none is set, one of our own in local mode, else an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="basalt-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -49,7 +52,7 @@ def drop(*frames: DataFrame) -> None:
                 with contextlib.suppress(Exception):  # cleaning is optional
                     folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
                 break
-    for df in frames[:1]:  # the cleaner goes by the driver's garbage collection, which may be long in coming
+    for df in frames[:1]:  # shuffle files go only when the driver collects its garbage, which on a large heap may take hours while disks fill
         df.sparkSession.sparkContext._jvm.System.gc()
 
 
@@ -67,13 +70,23 @@ def number_equal_rows(df: DataFrame, name: str = "copy") -> DataFrame:
     )
 
 
+def known(keep: tuple[str, ...], *made: str) -> None:
+    """Columns to carry may not bear the name of one that is made."""
+    if clash := sorted({x.lower() for x in keep} & {x.lower() for x in made}):
+        raise ValueError(f"columns to keep are named like results: {', '.join(clash)}")
+
+
 def hash_fold(id_col: str = "doc_id", folds: int = 5):
     """crc32 of the id as text, modulo folds; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
 
 
 def give_back() -> None:
-    """Hand memory that this process has freed back to the system."""
+    """Hand memory that this process has freed back to the system.
+
+    Python workers live on between stages, several beside each executor, and the C library keeps what they freed:
+    on executors of small memory that sum, not what a task needs, is what runs out.
+    """
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only some C libraries can
         ctypes.CDLL(None).malloc_trim(0)

@@ -18,11 +18,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basalt.llm.chars import runs, steps
-from basalt.llm.common import frugal, hash_fold
+from basalt.llm.common import frugal, hash_fold, known
 
 ORDER = 4
-#: Labelled rows of each language that training reads at most.
-TRAIN_ROWS = 600
+#: Labelled rows of each language that training reads at most, rows of all languages together, and languages: those of most rows.
+TRAIN_ROWS, TRAIN_TOTAL, LANGUAGES = 600, 20_000, 200
+#: Letters told apart, the most frequent ones of the training texts; an n-gram is packed 16 bits a letter.
+LETTERS = (1 << 16) - 2
 MIX = np.uint64(0x9E3779B97F4A7C15)  # odd, so that the hash of a packed n-gram is one to one
 #: How sharply differences of cross-entropy (nats a character) turn into a score.
 SHARPNESS = 20.0
@@ -129,9 +131,9 @@ def log_probs(model: dict, grams: np.ndarray, k: int = ORDER) -> np.ndarray:
     return out
 
 
-def sums(model: dict, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sum of log probabilities by language, characters, letters) of each part."""
-    codes, part, first = runs(parts, digits=False, lead=ORDER - 1)
+def sums(model: dict, parts: list[str], before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sum of log probabilities by language, characters, letters) of each part, and the last codes, for a part that goes on."""
+    codes, part, first = runs(parts, digits=False, lead=ORDER - 1, before=before)
     symbols = spell(codes, model["alphabet"])
     logp = log_probs(model, packed(symbols, ORDER))
     # the symbol at place i + ORDER - 1 has row i; the lead-in of each part isn't predicted
@@ -141,7 +143,7 @@ def sums(model: dict, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndar
         at = first + j - (ORDER - 1)
         own[at[at >= 0]] = False
     total = np.stack([np.bincount(part[own], logp[own, j], len(parts)) for j in range(logp.shape[1])], 1)
-    return total, np.bincount(part[own], minlength=len(parts)), np.bincount(part[symbols[ORDER - 1 :] > 0], minlength=len(parts))
+    return total, np.bincount(part[own], minlength=len(parts)), np.bincount(part[own & (symbols[ORDER - 1 :] > 0)], minlength=len(parts)), codes[1 - ORDER :]
 
 
 def train(texts: list[str], langs: list[str]) -> dict:
@@ -156,11 +158,12 @@ def train(texts: list[str], langs: list[str]) -> dict:
         fit = [texts[i] for n, i in enumerate(own) if n % 5 != 4 or len(own) < 10]
         codes, _, first = runs(fit, digits=False, lead=ORDER - 1)
         each[lang] = (codes, first, [texts[i] for n, i in enumerate(own) if n % 5 == 4] or fit)
-        alphabet.append(np.unique(codes[codes > 0]))
-    letters = np.unique(np.concatenate(alphabet)).astype(np.uint64)
+        alphabet.append(np.unique(codes[codes > 0], return_counts=True))
+    letters, of = np.unique(np.concatenate([a for a, _ in alphabet]), return_inverse=True)
     if not len(letters):
         return {"langs": []}
-    letters = letters[: (1 << 16) - 2]
+    times = np.bincount(of, np.concatenate([n for _, n in alphabet]))
+    letters = np.sort(letters[np.argsort(-times, kind="stable")[:LETTERS]]).astype(np.uint64)
     for lang, (codes, first, _) in each.items():
         grams = packed(spell(codes, letters), ORDER)
         own = np.ones(len(grams), bool)
@@ -205,13 +208,17 @@ def fit_languages(docs: DataFrame, rows: int = TRAIN_ROWS) -> dict:
 
     Rows of the held-out fold, null languages and null texts are never read. Languages are counted over
     all rows; a threshold on the hash then leaves about `rows` of each, and a window cuts to the bound.
+    Training is bounded: the LANGUAGES languages of most rows, and of each at most TRAIN_TOTAL over their number.
+    Ties of that order go by name. Repeated rows count as often; texts of a hash go by their own. No rows: no languages.
     """
-    known = docs.where((hash_fold() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    labelled = docs.where((hash_fold() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     spot = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1) / F.lit(float(1 << 63))
-    shares = known.groupBy("lang").count().select("lang", (1.3 * rows / F.col("count")).alias("share"))
+    common = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    rows = min(rows, max(10, TRAIN_TOTAL // max(1, common.count())))
+    shares = common.select("lang", (1.3 * rows / F.col("count")).alias("share"))
     in_lang = Window.partitionBy("lang").orderBy("spot", "doc_id", "key")
     sample = (
-        known.select("doc_id", "lang", "text", spot.alias("spot")).join(F.broadcast(shares), "lang").where("spot < share or share >= 1")
+        labelled.select("doc_id", "lang", "text", spot.alias("spot")).join(F.broadcast(shares), "lang").where("spot < share or share >= 1")
         .withColumn("key", F.xxhash64("text")).withColumn("nth", F.row_number().over(in_lang)).where(F.col("nth") <= rows)
         .select("lang", "text", "spot", "key")
     )
@@ -229,8 +236,10 @@ def identify(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",))
 
     Null texts and texts without letters: `und`, score 0, not accepted. Only the text is read. Ties go to
     the language first in order. Repeated rows come out alike. Empty table: no rows. If nothing could be
-    learned, all are `und`.
+    learned, all are `und`. A long text is read in pieces, the context of each carried from the one before, which
+    gives what the whole would. `keep` must not name an output column.
     """
+    known(keep, "lang_pred", "score", "entropy", "accepted")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,8 +248,9 @@ def identify(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",))
             size = batch.num_rows
             total, n, letters = np.zeros((size, max(1, len(m["langs"])))), np.zeros(size), np.zeros(size)
             if m["langs"]:
-                for rows, parts in steps(batch.column(batch.num_columns - 1)):
-                    a, b, c = sums(m, parts)
+                last = None
+                for rows, parts, goes_on in steps(batch.column(batch.num_columns - 1)):
+                    a, b, c, last = sums(m, parts, last if goes_on else None)
                     np.add.at(total, rows, a)
                     np.add.at(n, rows, b)
                     np.add.at(letters, rows, c)
@@ -253,5 +263,6 @@ def identify(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",))
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:
+    """identify over all documents, learned from those not held out; its cases hold. Null ids are a fold of their own."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return identify(docs, fit_languages(docs)).select("doc_id", (hash_fold() == 0).alias("held_out"), "lang_pred", "score", "accepted")

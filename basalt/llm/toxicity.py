@@ -2,8 +2,9 @@
 
 A word is the bag of its character 3- to 6-grams, its ends marked, hashed into buckets; each bucket has
 an embedding. Words average their buckets, windows of `WINDOW` words average their words, and a softmax
-of two classes reads that average. A text is as toxic as its worst window, so a few words in a long
-text count in full, and a misspelling never seen shares most of its n-grams with the word it hides.
+of two classes reads that average. A window begins at every word, and a text is as toxic as its worst one,
+so a few words in a long text count in full wherever they stand, and a misspelling never seen shares most
+of its n-grams with the word it hides. The last windows of a text hold the words that are left.
 Training follows the worst window of each text, embeddings and softmax together.
 
 Since the softmax is linear, scoring needs one number a bucket, the difference of its two logits.
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basalt.llm.chars import runs, steps
-from basalt.llm.common import frugal, hash_fold
+from basalt.llm.common import frugal, hash_fold, known
 
 BUCKET_BITS, DIM, WINDOW, GRAMS = 20, 8, 3, (3, 4, 5, 6)
 #: Learning rate, and what each bucket's sum of squared gradients begins with: rare n-grams move little.
@@ -30,8 +31,8 @@ TRAIN_ROWS = (1200, 2400)
 P, MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
 
-def grams(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, word) of each n-gram, (window of each word), (part of each window)."""
+def grams(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, word) of each n-gram, (part of each word)."""
     codes, part, _ = runs(parts, digits=True, lead=1)
     n = len(codes)
     zero = codes == 0
@@ -49,30 +50,51 @@ def grams(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
             fits = np.flatnonzero((np.arange(n - k) + k <= after[: n - k]) & filled[word[: n - k]])
             buckets.append((((h[fits] ^ np.uint64(k)) * MIX) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32))
             words.append(number[word[fits]].astype(np.int32))
-    word_part = part[np.flatnonzero(zero)][filled]
-    first = np.searchsorted(word_part, np.arange(len(parts)))
-    within = (np.arange(len(word_part)) - first[word_part]) // WINDOW
-    fresh = np.ones(len(word_part), bool)
-    fresh[1:] = (word_part[1:] != word_part[:-1]) | (within[1:] != within[:-1])
-    return np.concatenate(buckets), np.concatenate(words), np.cumsum(fresh) - 1, word_part[fresh]
+    return np.concatenate(buckets), np.concatenate(words), part[np.flatnonzero(zero)][filled]
+
+
+def word_logits(parts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(logit, part) of each word."""
+    bucket, word, part = grams(parts)
+    return np.bincount(word, table[bucket], len(part)) / np.maximum(1, np.bincount(word, minlength=len(part))), part
+
+
+class Worst:
+    """The largest window logit of each row of a batch, fed with parts of texts; -inf without words."""
+
+    def __init__(self, rows: int, table: np.ndarray):
+        self.table, self.top, self.last = table, np.full(rows, -np.inf), [np.zeros(0)] * rows
+
+    def feed(self, rows: list[int], parts: list[str], goes_on: bool) -> None:
+        rows = np.array(rows)
+        logit, part = word_logits(parts, self.table)
+        own = rows[part]
+        if goes_on:  # windows that began in the piece before
+            tail = self.last[rows[0]]
+            logit, own = np.append(tail, logit), np.append(np.full(len(tail), rows[0]), own)
+        if len(logit) >= WINDOW:
+            full = own[WINDOW - 1 :] == own[: 1 - WINDOW]
+            mean = sum(logit[k : len(logit) - WINDOW + 1 + k] for k in range(WINDOW)) / WINDOW
+            np.maximum.at(self.top, own[: 1 - WINDOW][full], mean[full])
+        first, end = np.searchsorted(own, rows), np.searchsorted(own, rows, side="right")
+        for row, a, b in zip(rows.tolist(), first.tolist(), end.tolist(), strict=True):
+            self.last[row] = logit[max(a, b - WINDOW + 1) : b]
+
+    def result(self) -> np.ndarray:
+        rest = [max((x[k:].mean() for k in range(len(x))), default=-np.inf) for x in self.last]
+        return np.maximum(self.top, rest)
 
 
 def worst(parts: list[str], table: np.ndarray) -> np.ndarray:
-    """The largest window logit of each part, -inf without words."""
-    bucket, word, window, part = grams(parts)
-    out = np.full(len(parts), -np.inf)
-    if len(window):
-        per_word = np.bincount(word, table[bucket], len(window)) / np.maximum(1, np.bincount(word, minlength=len(window)))
-        first = np.flatnonzero(np.append(True, window[1:] != window[:-1]))
-        logit = np.add.reduceat(per_word, first) / np.diff(np.append(first, len(window)))
-        np.maximum.at(out, part, logit)
-    return out
+    found = Worst(len(parts), table)
+    found.feed(list(range(len(parts))), parts, False)
+    return found.result()
 
 
 def train(texts: list[str], labels: np.ndarray, epochs: int = 16, seed: int = 7, batch: int = 512) -> dict:
     """The model: table (a logit a bucket), scale and shift that make a text's worst logit a probability.
 
-    Each epoch takes the two worst windows of each text, and of clean ones some drawn at random; the first
+    Windows are laid end to end for training. Each epoch takes the two worst of each text, and of clean ones some drawn at random; the first
     epochs only draw for toxic texts, to find what sets them apart. A fifth of the texts is left for calibration.
     """
     rng = np.random.default_rng(seed)
@@ -81,20 +103,24 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 16, seed: int = 7,
     if not positive or positive == n:
         model["shift"] = 4.0 if positive else -4.0
         return model
+    texts = [t or "" for t in texts]
     ids: dict[str, int] = {}
-    windows, sizes, part = [], [], []
+    spelt, begin, size, part, at_word = [], [], [], [], 0
     for doc, text in enumerate(texts):
         codes, _, _ = runs([text], digits=True, lead=1)
         words = [ids.setdefault(w, len(ids)) for w in codes.astype(np.uint32).tobytes().decode("utf-32-le").replace("\0", " ").split()]
-        windows.append(np.array(words, np.int32))
-        full, rest = divmod(len(words), WINDOW)
-        sizes.append(np.array([WINDOW] * full + [rest] * (rest > 0), np.int32))
-        part.append(np.full(len(sizes[-1]), doc, np.int32))
-    word, size, part = (np.concatenate(x) for x in (windows, sizes, part))
-    begin = np.append(0, np.cumsum(size))
+        spelt.append(np.array(words, np.int32))
+        laid = np.arange(0, len(words), WINDOW)
+        begin.append(at_word + laid)
+        size.append(np.minimum(WINDOW, len(words) - laid).astype(np.int32))
+        part.append(np.full(len(laid), doc, np.int32))
+        at_word += len(words)
+    word, begin, size, part = (np.concatenate(x) for x in (spelt, begin, size, part))
+    if len(set(labels[np.unique(part)].tolist())) < 2:  # words on one side at most: nothing to learn from
+        return model
     vocabulary, found = list(ids), []
     for k in range(0, len(vocabulary), 4096):
-        b, w, _, _ = grams(vocabulary[k : k + 4096])
+        b, w, _ = grams(vocabulary[k : k + 4096])
         order = np.argsort(w, kind="stable")
         found.append((b[order], w[order] + np.int32(k)))
     bucket, of_word = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -110,7 +136,8 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 16, seed: int = 7,
             a, b = at[k], at[min(k + (1 << 16), n_words)]
             per_word[k : k + (1 << 16)] = np.bincount(of_word[a:b] - k, table[bucket[a:b]], min(1 << 16, n_words - k))
         per_word /= np.maximum(count, 1)
-        return np.add.reduceat(per_word[word], begin[:-1]) / size
+        total = np.append(0, np.cumsum(per_word[word]))
+        return (total[begin + size] - total[begin]) / size
 
     first = np.searchsorted(part, np.arange(n + 1))
     has = np.flatnonzero(first[1:] > first[:-1])
@@ -137,7 +164,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 16, seed: int = 7,
         for k in range(0, len(chosen), batch):
             ws, docs = chosen[k : k + batch], of[k : k + batch]
             y = labels[docs]
-            places = np.concatenate([np.arange(begin[w], begin[w + 1]) for w in ws])
+            places = np.concatenate([np.arange(begin[w], begin[w] + size[w]) for w in ws])
             row, words = np.repeat(np.arange(len(ws)), size[ws]), word[places]
             spans = count[words]
             v = np.repeat(1.0 / (np.maximum(spans, 1) * size[ws][row]), spans)
@@ -159,9 +186,8 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 16, seed: int = 7,
             u -= 0.05 * du / np.sqrt(seen_u)
             bias -= 0.02 * g.mean(0)
     model["table"] = e @ (u[:, 1] - u[:, 0]).astype(np.float32)
-    logit = logits(model["table"])
     doc = np.flatnonzero(first[1:] > first[:-1])
-    top = np.maximum.reduceat(logit, first[doc])
+    top = np.concatenate([worst([texts[i] for i in doc[k : k + 64]], model["table"]) for k in range(0, len(doc), 64)])
     model["floor"] = float(np.median(top[labels[doc] == 0]))
     fit = np.isin(doc, held) if min(labels[held].sum(), len(held) - labels[held].sum()) >= 10 else np.ones(len(doc), bool)
     model["scale"], model["shift"] = calibrate(top[fit], labels[doc][fit])
@@ -189,9 +215,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = TRA
     counts as toxic if any is. Training runs in one task over that bounded sample.
     """
     spark = docs.sparkSession
-    known = labels.where((hash_fold() != 0) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    marked = labels.where((hash_fold() != 0) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     order = [F.xxhash64("doc_id"), "doc_id"]
-    picked = known.where("toxic = 0").orderBy(*order).limit(rows[1]).union(known.where("toxic = 1").orderBy(*order).limit(rows[0]))
+    picked = marked.where("toxic = 0").orderBy(*order).limit(rows[1]).union(marked.where("toxic = 1").orderBy(*order).limit(rows[0]))
     sample = (
         docs.select("doc_id", "text").where(F.col("text").isNotNull())
         .join(F.broadcast(picked), "doc_id")  # at most sum(rows) ids
@@ -214,17 +240,20 @@ def score_toxicity(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_i
     """The `keep` columns, score (0 to 1) and predicted (1 if score >= 0.5) for every whole text.
 
     Null texts and texts without words score as an ordinary clean text. Nothing but the text is read.
-    Repeated rows score alike. Empty table: no rows.
+    Repeated rows score alike. Empty table: no rows. A long text is read in pieces, whose windows go on over the
+    cuts, so it scores as the whole would. `keep` must not name an output column.
     """
+    known(keep, "score", "predicted")
     spark: SparkSession = docs.sparkSession
     shared = spark.sparkContext.broadcast({**model, "table": model["table"].astype(np.float32)})
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            top = np.full(batch.num_rows, -np.inf)
-            for rows, parts in steps(batch.column(batch.num_columns - 1)):
-                np.maximum.at(top, rows, worst(parts, m["table"]))
+            found = Worst(batch.num_rows, m["table"])
+            for rows, parts, goes_on in steps(batch.column(batch.num_columns - 1)):
+                found.feed(rows, parts, goes_on)
+            top = found.result()
             top[np.isneginf(top)] = m["floor"]
             s = 1 / (1 + np.exp(-np.clip(m["scale"] * top + m["shift"], -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
@@ -235,6 +264,7 @@ def score_toxicity(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_i
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
+    """score_toxicity over all documents, learned from labels not held out; its cases hold. Null ids are a fold of their own."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score_toxicity(docs, model).select("doc_id", (hash_fold() == 0).alias("held_out"), "score", "predicted")

@@ -1,7 +1,11 @@
+import collections
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
+from basalt.llm import chars
 from basalt.llm import language_id as li
 from basalt.llm import toxicity as tox
 from basalt.llm.language_id import fit_languages, identify, op2_language_id
@@ -41,7 +45,7 @@ def test_junk_held_back_opens_no_gate():
     model = li.train([t for k in texts for t in texts[k]], [k for k in texts for _ in texts[k]])
     foreign = ["bugün hava çok güzel ve çocuklarla birlikte yüzmek için plaja gidiyoruz çünkü parlıyor", "dzisiaj jest piekna pogoda idziemy na plaze zeby poplywac swieci slonce"]
     asked = [" ".join(rng.choice(f.split(), 40)) for f in foreign] + [" ".join(rng.choice(w.split(), 40)) for w in words.values()]
-    assert li.decide(model, *li.sums(model, asked))[3].tolist() == [False, False, True, True, True]
+    assert li.decide(model, *li.sums(model, asked)[:3])[3].tolist() == [False, False, True, True, True]
 
 
 def test_language_edges(spark):
@@ -82,7 +86,7 @@ def worst_slowly(text: str, table: np.ndarray) -> float:
                     h = c if j == 0 else (h * int(tox.P) + c) & 0xFFFFFFFFFFFFFFFF
                 total.append(table[((h ^ (k - 1)) * int(tox.MIX) & 0xFFFFFFFFFFFFFFFF) >> (64 - tox.BUCKET_BITS)])
         logits.append(sum(total) / len(total) if total else 0.0)
-    windows = [logits[i : i + tox.WINDOW] for i in range(0, len(logits), tox.WINDOW)]
+    windows = [logits[i : i + tox.WINDOW] for i in range(len(logits))]
     return max((sum(w) / len(w) for w in windows), default=-np.inf)
 
 
@@ -106,3 +110,95 @@ def test_toxicity_edges(spark):
     empty = fit_toxicity(docs, labels.limit(0))
     assert {r.predicted for r in score_toxicity(docs, empty).collect()} == {0}
     assert score_toxicity(docs.limit(0), model).count() == 0
+
+
+LONG = ["A bad, bad cat! " * 40, "word", "", "ab1cd2 ef_gh  \n ij-kl " * 30 + "tail", None, "x" * 500 + " yes no", "éa b " * 99, "one two three four", "\t \n" * 300 + "z"]
+
+
+@pytest.mark.parametrize("size", [7, 50, 333])
+def test_pieces_read_like_the_whole(size):
+    table = np.random.default_rng(1).normal(size=1 << tox.BUCKET_BITS)
+    model = li.train(["the bad cat sat on a mat"] * 12 + ["le chat est sur la table"] * 12, ["en"] * 12 + ["fr"] * 12)
+    whole, found, last = tox.worst([x or "" for x in LONG], table), tox.Worst(len(LONG), table), None
+    sums = [np.zeros((len(LONG), 2)), np.zeros(len(LONG)), np.zeros(len(LONG))]
+    steps = list(chars.steps(pa.array(LONG), size))
+    assert len(steps) > 10 and ["".join(p for r, ps, _ in steps for r, p in zip(r, ps, strict=True) if r == k) for k in range(len(LONG))] == [x or "" for x in LONG]
+    for rows, parts, goes_on in steps:
+        found.feed(rows, parts, goes_on)
+        *out, last = li.sums(model, parts, last if goes_on else None)
+        for a, b in zip(sums, out, strict=True):
+            np.add.at(a, rows, b)
+    assert np.allclose(found.result(), whole)
+    for a, b in zip(sums, li.sums(model, [x or "" for x in LONG]), strict=False):
+        assert np.allclose(a, b, rtol=1e-5)
+
+
+def test_a_word_before_changes_no_window():
+    table = np.random.default_rng(5).normal(size=1 << tox.BUCKET_BITS)
+    scores = tox.worst(["vile nasty scum good", "good vile nasty scum good", "good good vile nasty scum good"], table)
+    alone = tox.worst(["vile nasty scum"], table)[0]
+    assert (scores >= alone - 1e-9).all()
+
+
+@pytest.mark.parametrize(("texts", "labels"), [(["", " "], [0, 1]), (["", "word"], [1, 0]), ([], []), (["a", "b"], [1, 1]), (["a b c d", "e"], [0, 1]), (["?", "!", "a"], [0, 1, 1])])
+def test_training_rows_without_words(texts, labels):
+    model = tox.train(texts, np.array(labels, int))
+    assert np.isfinite([model["scale"], model["shift"], model["floor"]]).all()
+
+
+def kneser_ney_slowly(texts: dict, alphabet: list[int]) -> dict:
+    """Probability of (history, symbol) by language, with dictionaries."""
+    number = {c: i + 2 for i, c in enumerate(alphabet)}
+    counts = {}
+    for lang, own in texts.items():
+        top = collections.Counter()
+        for t in own:
+            s = [0, 0, 0] + [number.get(ord(c), 1) if c.isalpha() else 0 for c in " ".join("".join(c if c.isalpha() else " " for c in t.lower()).split())] + [0]
+            top.update(tuple(s[i - 3 : i + 1]) for i in range(3, len(s)))
+        counts[lang] = {4: top}
+        for k in (3, 2, 1):
+            counts[lang][k] = collections.Counter(g[1:] for g in counts[lang][k + 1])
+    seen = {k: {g for c in counts.values() for g in c[k]} for k in (1, 2, 3)}
+
+    def p(lang, history, w):
+        k, c = len(history) + 1, counts[lang][len(history) + 1]
+        low = 1 / (len(alphabet) + 2) if k == 1 else p(lang, history[1:], w)
+        if k > 1 and history not in seen[k - 1]:
+            return low
+        of = [n for g, n in c.items() if g[:-1] == history]
+        if not of:
+            return low
+        n1, n2 = (sum(n == x for n in c.values()) for x in (1, 2))
+        d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+        return max(0, c[(*history, w)] - d) / sum(of) + d * len(of) / sum(of) * low
+
+    return p
+
+
+def test_kneser_ney_is_that_of_dictionaries():
+    texts = {"en": ["the cat sat on the mat, and the hat", "a rat"] * 4 + ["that is that"], "fr": ["le chat est sur la table", "le rat"] * 4 + ["où est le"]}
+    model = li.train([t for own in texts.values() for t in own], [k for k, own in texts.items() for _ in own])
+    p = kneser_ney_slowly({k: own for k, own in texts.items()}, [int(x) for x in model["alphabet"]])
+    size = len(model["alphabet"]) + 2
+    rng = np.random.default_rng(0)
+    for _ in range(300):
+        g = rng.integers(0, size, 4) if rng.random() < 0.3 else np.array([0, 0, *rng.integers(0, size, 2)])
+        packed = np.zeros(1, np.uint64)
+        for x in g:
+            packed = (packed << np.uint64(16)) | np.uint64(x)
+        got = np.exp(li.log_probs(model, packed).astype(float))[0]
+        assert np.allclose(got, [p(lang, tuple(int(x) for x in g[:3]), int(g[3])) for lang in model["langs"]], rtol=1e-4)
+
+
+def test_languages_tie_by_name():
+    text = ["same words here and there again"] * 10
+    model = li.train(text + text, ["b"] * 10 + ["a"] * 10)
+    assert li.decide(model, *li.sums(model, text[:1])[:3])[0] == ["a"]
+
+
+def test_columns_kept_may_not_clash(spark):
+    docs = spark.createDataFrame([(1, "text", 0.5)], "doc_id long, text string, score double")
+    with pytest.raises(ValueError, match="score"):
+        score_toxicity(docs, tox.train([], np.zeros(0, int)), keep=("doc_id", "score"))
+    with pytest.raises(ValueError, match="score"):
+        identify(docs, li.train([], []), keep=("Score",))
