@@ -44,13 +44,14 @@ def grams(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     filled[word[~zero]] = True
     number = np.cumsum(filled) - 1
     h, buckets, words = codes.copy(), [], []
-    for k in range(1, max(GRAMS)):
+    for k in range(1, min(max(GRAMS), n)):
         h = h[: n - k] * P + codes[k:]
         if k + 1 in GRAMS:
             fits = np.flatnonzero((np.arange(n - k) + k <= after[: n - k]) & filled[word[: n - k]])
             buckets.append((((h[fits] ^ np.uint64(k)) * MIX) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32))
             words.append(number[word[fits]].astype(np.int32))
-    return np.concatenate(buckets), np.concatenate(words), part[np.flatnonzero(zero)][filled]
+    nothing = [np.zeros(0, np.int32)]
+    return np.concatenate(buckets or nothing), np.concatenate(words or nothing), part[np.flatnonzero(zero)][filled]
 
 
 def word_logits(parts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
