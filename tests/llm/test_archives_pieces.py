@@ -110,13 +110,15 @@ def test_encoding_is_the_best_path(spark):
         assert r.ids == ids or math.isclose(path_score(r.ids, v), score, rel_tol=1e-12)
 
 
-@pytest.mark.parametrize("words", [sp.BROADCAST_WORDS, 0])
+@pytest.mark.parametrize("words", [sp.BROADCAST_BYTES, 0])
 def test_pieces_edges(spark, monkeypatch, words):
+    monkeypatch.setattr(sp, "ROW_LETTERS", 5)
+    monkeypatch.setattr(sp, "FOLD_BLOCK", 3)
     monkeypatch.setattr(sp, "STEP", 2000)
     v = sp.Vocabulary.load()
     texts = {1: "", 2: None, 3: "☃ snow 😀 \t", 4: "\n\n a\n", 5: "  two  spaces ", 6: "x" * 300, 7: "word, " * 3000, 8: "a ▁b", 9: "été\x00"}
     docs = spark.createDataFrame([*[(k, t, "n") for k, t in texts.items()], (9, texts[9], "n"), (None, "a", "n")], "doc_id long, text string, n_pieces string")
-    out = sp.encode(docs, broadcast_words=words)
+    out = sp.encode(docs, broadcast_bytes=words)
     rows = out.collect()
     assert len(rows) == 11
     for r in rows:
@@ -125,6 +127,34 @@ def test_pieces_edges(spark, monkeypatch, words):
         assert r.round_trip and r.n_pieces == len(r.ids)
     back = {r.doc_id: r.text for r in sp.decode(out).collect()}
     assert all(back[k] == (t or "").replace("▁", " ") for k, t in texts.items())
-    assert sp.encode(docs.limit(0), broadcast_words=words).count() == 0
+    assert sp.encode(docs.limit(0), broadcast_bytes=words).count() == 0
     odd = spark.createDataFrame([(1, None), (2, [0, 1, -5, 10**6, 3 + 0xFF])], "doc_id long, ids array<int>")
     assert {r.doc_id: r.text for r in sp.decode(odd).collect()} == {1: None, 2: "�"}
+
+
+LONG_WORDS = ["a" * 200_000, "the" * 20_000, "-=" * 20_000, "日本語の文章" * 3000, "Zm9vYmFyIGJheg" * 4000, "\U0001f600é" * 5000]
+
+
+@pytest.mark.parametrize("text", LONG_WORDS, ids=range(len(LONG_WORDS)))
+def test_very_long_words(spark, text):
+    v = sp.Vocabulary.load()
+    row = sp.encode(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.round_trip and row.ids == best_ids(text, v)
+
+
+def best_ids(text: str, v: sp.Vocabulary) -> list[int]:
+    """As viterbi(), with back pointers instead of whole paths, for long texts."""
+    s = " " + text
+    ids = {p: i for i, (p, u) in enumerate(zip(v.pieces, v.usable, strict=True)) if u}
+    best, back = [0.0] + [-math.inf] * len(s), [0] * (len(s) + 1)
+    for end in range(1, len(s) + 1):
+        for start in range(max(0, end - v.longest), end):
+            score = v.scores[ids[s[start:end]]] if s[start:end] in ids else v.unknown_score if end == start + 1 else -math.inf
+            if best[start] + score > best[end]:
+                best[end], back[end] = best[start] + score, start
+    out, end = [], len(s)
+    while end:
+        piece = s[back[end] : end]
+        out.append([ids[piece]] if piece in ids else [v.first_byte + b for b in piece.encode()])
+        end = back[end]
+    return [i for part in reversed(out) for i in part]
