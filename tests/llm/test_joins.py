@@ -155,3 +155,29 @@ def test_op8_edges(spark):
     got = sorted((r.vec_id, r.n_links, r.component_id) for r in dedup_vectors(df).collect())
     assert got == [(1, 0, 1), (2, 3, 2), (3, 0, 3), (4, 3, 2), (4, 3, 2), (5, 0, 5), (6, 0, 6), (7, 0, 7), (8, 0, 8), (9, 0, 9), (10, 0, 10), (11, 3, 2), (12, 0, 12)]
     assert dedup_vectors(df.limit(0)).count() == 0
+
+
+def test_op8_deep_trees(spark, monkeypatch):
+    """Branches of at most 9 of 1200 vectors: seven levels and more above, in several rounds."""
+    monkeypatch.setattr(ed, "BRANCH", 9)
+    monkeypatch.setattr(ed, "LEVELS", 3)
+    monkeypatch.setattr(ed, "ROUTED", 300)
+    rng = np.random.default_rng(9)
+    rows = [(0, v, 1) for c in rng.normal(size=(600, 24)) for v in (c, c + rng.normal(size=24) * 0.25)]
+    rows = [(i, np.float32(v).astype(float).tolist(), lab) for i, (_, v, lab) in enumerate(rows)]
+    want = vectors_by_brute_force(rows, 0.93)
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in dedup_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), leaf=6).collect())
+    true, found = sum(x[1] for x in want), sum(x[1] for x in got)
+    assert true > 500 and found >= 0.9 * true and all(a[1] <= b[1] for a, b in zip(got, want, strict=True))
+
+
+def test_op8_sizes_of_doubles_and_branches_that_nothing_parts(spark, monkeypatch):
+    monkeypatch.setattr(ed, "BRANCH", 16)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=8)
+    rows = [(i, (base * s).tolist(), 1) for i, s in enumerate([1e-200, 1e200, 1.0, 5e-324 * 2**40])]
+    rows += [(10 + i, (base + np.where(np.arange(8) == i % 8, 1e-14 * (i // 8), 0)).tolist(), 1) for i in range(60)]
+    rows += [(100 + i, v.tolist(), 1) for i, v in enumerate(rng.normal(size=(40, 8)))]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in dedup_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), leaf=8).collect())
+    assert [g for g in got if g[0] < 100] == [(i, 63, 0) for i, _, _ in rows[:64]]
+    assert len(got) == 104
