@@ -1,18 +1,21 @@
 """Exact Jaccard self-join of word shingles by a token-group matrix.
 
-Texts with equal shingle sets are one node. Nodes are partitioned into groups of similar ones: nodes that
-share a band of minhashes are compared with the most typical of them, its head, and go to its group.
+Texts with equal shingle sets are one node. Nodes that share a band of minhashes are compared with the most
+typical of them, its head; what links connect is a group. So a family of near copies is one group, and texts
+that are merely alike are groups of their own.
 The matrix then holds, for each group, the union of its members' tokens, of which the rarest few of each
 member are enough: two sets with an overlap of at least o share `DEPTH` of the n - o + DEPTH tokens that
-come first in any common order. A node is compared with another group only if its tokens meet the group's
-union often enough, counting tokens of members whose size allows a link; tokens in one group only leave the
-matrix at once. Opened groups are compared by
-exact overlap: small ones by pairs of allowed sizes, large ones block against block, which passes on only
-links that connect something new. Within a group, members not linked with the head are compared with
-all. So no link that components depend on is lost, and families of near copies are never paired off.
-
-The common order puts frequent tokens last, so that a passage shared by many texts makes no candidates.
-It is counted over all texts; it decides how much work there is, never what is linked.
+come first in any common order. The larger of two sets looks for any partner, so its o is the least one; the
+smaller is in the matrix for partners at least as large, with a larger o and fewer tokens. A node is compared
+with a group only if its tokens meet the group's union often enough, counting members whose size allows a
+link; tokens in one group only leave the matrix at once. Opened groups are compared by exact overlap: small
+ones by pairs of allowed sizes, large ones block against block, which passes on only links that connect
+something new. So no link that components depend on is lost, and families of near copies are never paired off.
+
+The common order puts frequent tokens last, so that a passage or template shared by many texts makes no
+candidates. The most frequent ones aren't counted: a node needs as many fewer tokens as it has of them. They
+are only met where sets hold so many that one of them is among the n - o + 1 first tokens of both. The order is
+counted over all texts; it decides how much work there is, never what is linked.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ from basalt.llm.shingles import mix, shingle_sets
 BANDS, ROWS, DEPTH = 8, 3, 3
 #: Frequent tokens whose order is told apart: the number bounds what is broadcast.
 FREQUENT = 400_000
+#: Texts of a token beyond which it isn't counted, and parts that the members of a group are dealt to for a join.
+HOT, SALTS = 2000, 16
 #: Groups of more members are opened block by block, BLOCK queries against BLOCK members.
 SMALL, BLOCK = 16, 256
 #: Texts hashed at a time.
@@ -103,31 +108,38 @@ def frequent_tokens(marks: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(docs: DataFrame, width: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """sid, n, need (how many tokens a partner must share), toks: each set's first tokens, rarest first."""
+    """doc_id, sid, n, need (how many tokens that aren't hot a partner must share), toks: each set's first tokens, rarest first.
+
+    kinds tells of each token: 1 for one by which larger sets find this one, plus 2 for a hot one.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, times = shared.value
         for batch in batches:
             for at, texts in slices(batch, 1):
-                sid, n, need, toks = [], [], [], []
+                sid, size, need, toks, kinds = [], [], [], [], []
                 for tok in shingle_sets(texts, width):
-                    least = -(-percent * len(tok) // 100)
-                    deep = min(DEPTH, least)
-                    length = len(tok) - least + deep
-                    if len(often) and len(tok):
+                    n = len(tok)
+                    least, least_smaller = -(-percent * n // 100), -(-2 * percent * n // (100 + percent))
+                    first, cold = tok[: n - least + DEPTH], n
+                    if len(often) and n:
                         place = np.minimum(np.searchsorted(often, tok), len(often) - 1)
                         count = np.where(often[place] == tok, times[place], 0)
-                        first = tok[np.argsort(count, kind="stable")[:length]]
-                    else:
-                        first = tok[:length]
+                        first, cold = tok[np.argsort(count, kind="stable")[: n - least + DEPTH]], int((count <= HOT).sum())
+                    place = np.arange(len(first))
+                    hot = place >= cold
+                    found = np.where(hot, place < n - least_smaller + 1, place < n - least_smaller + DEPTH) + 2 * hot
+                    kept = ~hot | (place < n - least + 1)
                     sid.append(set_id(tok))
-                    n.append(len(tok))
-                    need.append(deep)
-                    toks.append(first.view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, TEXTS), signed(np.array(sid, np.uint64)), pa.array(n, pa.int64()), pa.array(need, pa.int64()), pa.array(toks, pa.list_(pa.int64()))], names=["doc_id", "sid", "n", "need", "toks"])
+                    size.append(n)
+                    need.append(max(1, min(DEPTH, least) - int(hot.sum())))
+                    toks.append(first[kept].view(np.int64))
+                    kinds.append(found[kept].astype(np.int8))
+                columns = [signed(np.array(sid, np.uint64)), pa.array(size, pa.int64()), pa.array(need, pa.int64()), pa.array(toks, pa.list_(pa.int64())), pa.array(kinds, pa.list_(pa.int8()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, TEXTS), *columns], names=["doc_id", "sid", "n", "need", "toks", "kinds"])
 
-    return docs.mapInArrow(frugal(run), "doc_id bigint, sid bigint, n bigint, need bigint, toks array<bigint>")
+    return docs.mapInArrow(frugal(run), "doc_id bigint, sid bigint, n bigint, need bigint, toks array<bigint>, kinds array<tinyint>")
 
 
 def texts_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -172,17 +184,27 @@ def linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     return pairs.join(x, "a").join(y, "b").select("a", "b", "text_a", "text_b").mapInArrow(frugal(run), "a bigint, b bigint")
 
 
+def salt(sid: str):
+    return F.pmod(F.xxhash64(F.lit("salt"), sid), F.lit(SALTS)).cast("int")
+
+
+def salted(keys: DataFrame) -> DataFrame:
+    """Each row once for every salt: what it is joined with may have a third of its rows under one key."""
+    return keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def linked_blocks(queries: DataFrame, members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) that connect queries (other, sid) and members (other, sid) of a group as all their links do.
 
     Rows are dealt to blocks by hash, so that no task holds a group. Every query of a block meets every
     member, but only links that join what the block hadn't joined yet are passed on, fewer than it has rows.
     """
+    queries, members = queries.withColumn("salt", salt("sid")), members.withColumn("salt", salt("sid"))
     asked, told = queries.groupBy("other").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("rows")), members.groupBy("other").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("columns"))
-    plan = asked.join(told, "other")
+    plan = salted(asked.join(told, "other"))
     spot = F.xxhash64("sid")
-    q = queries.join(plan, "other").select("sid", "other", F.pmod(spot, F.col("rows")).cast("int").alias("i"), F.explode(F.expr("sequence(0, columns - 1)")).alias("j"), F.lit(True).alias("asks"))
-    m = members.join(plan, "other").select("sid", "other", F.explode(F.expr("sequence(0, rows - 1)")).alias("i"), F.pmod(spot, F.col("columns")).cast("int").alias("j"), F.lit(False).alias("asks"))
+    q = queries.join(plan, ["other", "salt"]).select("sid", "other", F.pmod(spot, F.col("rows")).cast("int").alias("i"), F.explode(F.expr("sequence(0, columns - 1)")).alias("j"), F.lit(True).alias("asks"))
+    m = members.join(plan, ["other", "salt"]).select("sid", "other", F.explode(F.expr("sequence(0, rows - 1)")).alias("i"), F.pmod(spot, F.col("columns")).cast("int").alias("j"), F.lit(False).alias("asks"))
 
     def run(table: pa.Table) -> pa.Table:
         asks, sid = np.array(table.column("asks").to_pylist(), bool), table.column("sid").to_numpy()
@@ -231,12 +253,14 @@ def check_pairs(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int,
 
 def open_groups(queries: DataFrame, placed: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
     """Links that connect queries (sid, n, other) with members of the groups `other`. Materialised."""
-    members = placed.join(queries.select(F.col("other").alias("grp")).distinct(), "grp").select(F.col("grp").alias("other"), F.col("sid").alias("b"), F.col("n").alias("m"))
-    members = materialise(members, "members")
+    by = ["other", "salt"]
+    queries = queries.withColumn("salt", salt("sid"))
+    members = placed.select(F.col("grp").alias("other"), F.col("sid").alias("b"), F.col("n").alias("m"), salt("sid").alias("salt"))
+    members = materialise(members.join(salted(queries.select("other").distinct()), by), "members")
     large = members.groupBy("other").count().where(F.col("count") > SMALL).select("other")
-    small = members.join(large, "other", "left_anti")
+    small = members.join(salted(large), by, "left_anti").drop("salt")
     pairs = materialise(queries.join(small, "other").where(F.col("sid") != F.col("b")).where(sizes_allow("n", "m", percent)).select(F.col("sid").alias("a"), "b").distinct(), "opened")
-    asking, inside = queries.select("other", "sid").join(large, "other"), members.join(large, "other").select("other", F.col("b").alias("sid"))
+    asking, inside = queries.join(salted(large), by).select("other", "sid"), members.join(salted(large), by).select("other", F.col("b").alias("sid"))
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).union(asking.select("sid")).union(inside.select("sid")).distinct()
     texts = materialise(texts_of(docs, nodes, wanted, width), "texts")
     found = materialise(linked(pairs, texts, width, percent).union(linked_blocks(asking, inside, texts, width, percent)), "linked")
@@ -269,32 +293,27 @@ def shingle_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     stars = materialise(stars.groupBy(F.col("sid").alias("a"), F.col("head.sid").alias("b")).agg(F.max("head.weight").alias("weight")), "stars")
     star_links = check_pairs(stars.select("a", "b"), docs, nodes, width, percent)
     linked_sets = components(star_links)
-    hubs = stars.groupBy(F.col("a").alias("component")).agg(F.max(F.struct("weight", "b")).alias("hub"))
-    placed = nodes.join(linked_sets.withColumnRenamed("id", "sid"), "sid", "left").select("sid", "n", F.col("rep").alias("doc_id"), F.coalesce("component", "sid").alias("component"))
-    placed = materialise(placed.join(hubs, "component", "left").select("sid", "n", "doc_id", "component", F.coalesce("hub.b", "component").alias("grp")), "placed")
-    drop(stars, banded, crowded)
-
-    # within a group: whatever isn't linked to its head yet against all members
-    head_sets = placed.where("sid = grp").select("grp", F.col("component").alias("head_set"))
-    apart = placed.join(head_sets, "grp", "left").where(F.coalesce(F.col("component") != F.col("head_set"), F.col("component") != F.col("grp")))
-    inner_links = open_groups(apart.select("sid", "n", F.col("grp").alias("other")), placed, docs, nodes, width, percent)
+    placed = nodes.join(linked_sets.withColumnRenamed("id", "sid"), "sid", "left").select("sid", "n", F.col("rep").alias("doc_id"), F.coalesce("component", "sid").alias("grp"))
+    placed = materialise(placed, "placed")
+    drop(stars, banded, crowded, linked_sets)
 
     # the matrix of tokens and groups, without tokens of a single group
     first = prefixes(docs, width, percent, frequent).join(placed, ["sid", "n", "doc_id"]).dropDuplicates(["sid"])
-    first = materialise(first.select(F.explode("toks").alias("tok"), "sid", "n", "need", "grp"), "tokens")
+    first = materialise(first.select(F.explode(F.arrays_zip("toks", "kinds")).alias("t"), "sid", "n", "need", "grp").select(F.col("t.toks").alias("tok"), F.col("t.kinds").alias("kind"), "sid", "n", "need", "grp"), "tokens")
     several = first.groupBy("tok").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).where("x < y").select("tok")
     cells = materialise(first.join(several, "tok"), "matrix")
     drop(first)
-    matrix = cells.groupBy("tok", F.col("grp").alias("other")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    fits = (F.col("n") * 100 >= F.col("least") * percent) & (F.col("most") * 100 >= F.col("n") * percent)  # some member with the token has a size that allows a link
-    bound = materialise(cells.join(matrix, "tok").where("grp > other").where(fits).groupBy("sid", "n", "need", "other").count().where(F.col("count") >= F.col("need")).select("sid", "n", "other"), "bound")
+    matrix = cells.where("kind % 2 = 1").groupBy("tok", F.col("grp").alias("other")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    fits = (F.col("least") <= F.col("n")) & (F.col("most") * 100 >= F.col("n") * percent)  # some member with the token has a size that allows a link
+    met = cells.join(matrix, "tok").where("grp <> other").where(fits).groupBy("sid", "n", "need", "other").agg(F.count_if(F.col("kind") < 2).alias("shared"), F.bool_or(F.col("kind") > 1).alias("hot"))
+    bound = materialise(met.where("hot or shared >= need").select("sid", "n", "other"), "bound")
     drop(cells)
     cross_links = open_groups(bound, placed, docs, nodes, width, percent)
     drop(bound, placed)
 
     # components of nodes, then the smallest document of each
-    whole = components(star_links.union(inner_links).union(cross_links)).withColumnRenamed("id", "sid")
-    drop(star_links, inner_links, cross_links)
+    whole = components(star_links.union(cross_links)).withColumnRenamed("id", "sid")
+    drop(star_links, cross_links)
     named = materialise(nodes.select("sid", "rep").join(whole, "sid", "left").select("sid", "rep", F.coalesce("component", "sid").alias("component")), "named")
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = named.join(smallest, "component").select("sid", "component_id")
@@ -306,4 +325,5 @@ def shingle_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
 
 
 def op7_shingle_join(spark, sf_dir: str) -> DataFrame:
+    """shingle_components over all documents; its cases hold."""
     return shingle_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -69,6 +69,7 @@ def test_families_match_brute_force(spark, monkeypatch, width, percent):
     """Families of near copies around a text, chains, copies, and a passage that all share; groups small and large."""
     monkeypatch.setattr(nj, "SMALL", 3)
     monkeypatch.setattr(nj, "BLOCK", 7)
+    monkeypatch.setattr(nj, "HOT", 12)
     rng = random.Random(width)
     word = lambda: f"w{rng.randrange(400)}"
     passage = [word() for _ in range(25)]
@@ -181,3 +182,21 @@ def test_op8_sizes_of_doubles_and_branches_that_nothing_parts(spark, monkeypatch
     got = sorted((r.vec_id, r.n_links, r.component_id) for r in dedup_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), leaf=8).collect())
     assert [g for g in got if g[0] < 100] == [(i, 63, 0) for i, _, _ in rows[:64]]
     assert len(got) == 104
+
+
+@pytest.mark.parametrize("hot", [3, 10_000])
+@pytest.mark.parametrize(("width", "percent"), [(4, 85), (2, 60)])
+def test_templates_match_brute_force(spark, monkeypatch, hot, width, percent):
+    """Texts of a few templates, alike but mostly below the bound, and texts put together from shared passages."""
+    monkeypatch.setattr(nj, "HOT", hot)
+    rng = random.Random(hot)
+    word = lambda: f"w{rng.randrange(300)}"
+    texts = {i: f"your parcel has left our store and will be with you on day {i}" for i in range(80)}
+    passages = [" ".join(word() for _ in range(12)) for _ in range(6)]
+    for k in range(80, 200):
+        texts[k] = " ".join(rng.choice(passages) for _ in range(rng.randrange(1, 6))) + (f" {word()}" if k % 3 else "")
+    for k in range(200, 240):
+        texts[k] = " ".join(word() for _ in range(rng.randrange(6)))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in shingle_components(docs, width, percent).collect()}
+    assert got == by_brute_force(texts, width, percent)
