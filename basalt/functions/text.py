@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: White space: Java's \s, the separators U+001C to U+001F, NEL, and all Unicode separators.
 BLANKS = r"[\s\x1c-\x1f\x85\p{Z}]"
+SOLID = r"[^\s\x1c-\x1f\x85\p{Z}]"
 
 
 def normalise(text: Column) -> Column:
@@ -15,12 +16,12 @@ def normalise(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{BLANKS}+|{BLANKS}+$", "")
+    return F.regexp_replace(text, f"^{BLANKS}++|(?<!{BLANKS}){BLANKS}++$", "")
 
 
 def is_blank(text: Column) -> Column:
     """Null, empty or nothing but white space."""
-    return F.coalesce(strip(text), F.lit("")) == ""
+    return ~F.coalesce(text.rlike(SOLID), F.lit(False))
 
 
 def chunk(docs: DataFrame, text: str = "text", source: str = "source_document", size: int = 1000, overlap: int = 200) -> DataFrame:
@@ -63,12 +64,16 @@ def choose_text(native: DataFrame, ocr: DataFrame, key: str = "document_id") ->
     return a.join(b, key, "full").select(key, F.when(own, "NATIVE_PDF").otherwise("OCR").alias("extraction_method"), F.when(own, F.col("native_text")).otherwise(F.coalesce("ocr_text", F.lit(""))).alias("combined"))
 
 
+# The labels of a block and of what is missing in it.
+BLOCK, SOURCE, CHUNK, TEXT, MISSING = "[CONTEXT ", "]\nSource document: ", "\nChunk ID: ", "\nChunk text:\n", "unknown"
+
+
 def context_blocks(hits: DataFrame, key: str = "query_id", order: tuple[str, ...] = ("distance", "chunk_id")) -> DataFrame:
     """key, context: hits as numbered blocks in order, joined by a blank line."""
     nth = F.row_number().over(Window.partitionBy(key).orderBy(*order))
     block = F.concat(
-        F.lit("[CONTEXT "), F.col("nth").cast("string"), F.lit("]\nSource document: "), F.coalesce("source_document", F.lit("unknown")),
-        F.lit("\nChunk ID: "), F.coalesce("chunk_id", F.lit("unknown")), F.lit("\nChunk text:\n"), F.coalesce("text", F.lit("")),
+        F.lit(BLOCK), F.col("nth").cast("string"), F.lit(SOURCE), F.coalesce("source_document", F.lit(MISSING)),
+        F.lit(CHUNK), F.coalesce("chunk_id", F.lit(MISSING)), F.lit(TEXT), F.coalesce("text", F.lit("")),
     )
     return hits.withColumn("nth", nth).select(key, "nth", block.alias("block")).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "block"))), lambda b: b["block"]), "\n\n").alias("context"))
 
@@ -86,7 +91,48 @@ def percent_label(confidence: Column) -> Column:
 
 
 def score_label(score: Column) -> Column:
-    return F.when(score.isNull(), "—").otherwise(F.format_string("%.1f", score))
+    """A score with one decimal, by its exact binary value, ties up: its fraction times 2^59 is a whole number."""
+    size = F.abs(score)
+    whole = F.floor(size).cast("bigint")
+    part = ((size - whole) * F.lit(float(1 << 59))).cast("bigint")
+    tenths = whole * 10 + F.shiftright(part * 10 + F.lit(1 << 58), 59)
+    sign = F.when((score < 0) & (tenths > 0), "-").otherwise("")
+    return F.when(score.isNull(), "—").otherwise(F.concat(sign, F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string")))
+
+
+# The tag of each status, by what it is the status of; other statuses get the last one.
+TAGS = {
+    "document": ({"COMPLETED": "tag success", "UPLOADED": "tag success", "PROCESSING": "tag warning", "PENDING": "tag warning", "FAILED": "tag error"}, "tag"),
+    "extraction": ({"COMPLETED": "tag success", "PROCESSED": "tag success", "FAILED": "tag error", "PROCESSING": "tag warning"}, "tag pending"),
+    "tender": ({"OPEN": "tag success", "ACTIVE": "tag success", "CLOSED": "tag", "COMPLETED": "tag"}, "tag warning"),
+    "submission": ({"SUBMITTED": "tag success", "UNDER_REVIEW": "tag success", "REJECTED": "tag error", "DISQUALIFIED": "tag error"}, "tag warning"),
+}
+#: Whose statuses count without case.
+ANY_CASE = ("tender", "submission")
+
+
+def status_tag(kind: str, status: Column) -> Column:
+    tags, rest = TAGS[kind]
+    value = F.upper(status) if kind in ANY_CASE else status
+    out = F.lit(rest)
+    for name, tag in tags.items():
+        out = F.when(value == name, tag).otherwise(out)
+    return out
+
+
+def date_label(at: Column, missing: str = "—", time: bool = False) -> Column:
+    """Month, day and year, with time also hours, minutes and seconds; a null is `missing`."""
+    return F.coalesce(F.date_format(at, "M/d/yyyy, h:mm:ss a" if time else "M/d/yyyy"), F.lit(missing))
+
+
+def listing(rows: DataFrame, json: str, keep: tuple[str, ...]) -> DataFrame:
+    """The `keep` columns, position, key and value (text) of every member of a JSON object. Null or other JSON: no rows."""
+    return rows.select(*keep, F.posexplode(F.map_entries(F.from_json(json, "map<string,string>"))).alias("position", "entry")).select(*keep, "position", "entry.key", "entry.value")
+
+
+def prompt(question: Column, context: Column, instruction: str) -> Column:
+    """What a model is asked: what to do, the question, and the text to answer from."""
+    return F.concat(F.lit(instruction + "\n\nQuestion:\n"), question, F.lit("\n\nText:\n"), context)
 
 
 def score_class(score: Column) -> Column:

@@ -25,6 +25,11 @@ def score() -> Column:
     return F.when(F.col("total_checks") > 0, F.bround(F.col("passed") / F.col("total_checks") * 100, 2))
 
 
+def stamped(assessments: DataFrame, at: Column | None = None) -> DataFrame:
+    """assessments with their metadata and assessed_at: now, or `at`; null without checks."""
+    return assessments.withColumns({"assessment_metadata": metadata(), "assessed_at": F.when(F.col("total_checks") > 0, F.current_timestamp() if at is None else at)})
+
+
 def assess(submissions: DataFrame, checks: DataFrame, key: str = "bid_submission_id") -> DataFrame:
     """One assessment for each submission (key): counts, score, risk_level, status, summary."""
     counts = ("total_checks", "passed", "failed", "review", "pending")

@@ -65,9 +65,47 @@ def new_requirements(candidates: DataFrame, existing: DataFrame, order: list[str
     return fresh.withColumn("__a", F.row_number().over(by_source)).withColumn("__b", F.row_number().over(by_key)).where((F.col("__a") == 1) & (F.col("source_document").isNotNull() | (F.col("__b") == 1))).drop("__a", "__b")
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """new rows, and old rows whose key isn't among them; of a key repeated in `new`, all rows stay."""
-    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+def upsert(old: DataFrame, new: DataFrame, key: str, order: tuple = ()) -> DataFrame:
+    """new rows, and old rows whose key isn't among them; of a key repeated in `new` the last by `order` stays, or any."""
+    if order:
+        last = F.row_number().over(Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order]))
+        new = new.withColumn("__last", last).where("__last = 1").drop("__last")
+    else:
+        new = new.dropDuplicates([key])
+    return old.join(new.select(key), key, "left_anti").unionByName(new)
+
+
+def append(stored: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
+    """stored and rows, which get the keys that follow the largest stored one.
+
+    Keys are dealt in two steps, by partition and within it, so that no task numbers all rows.
+    """
+    parts = rows.withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__at", 33))
+    parts = parts.withColumn("__nth", F.col("__at").bitwiseAND((1 << 33) - 1))
+    sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))  # a row a partition
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    start = stored.agg(F.coalesce(F.max(key), F.lit(0)).alias("__top"))
+    kind = stored.schema[key].dataType
+    dealt = parts.join(sizes.select("__part", before.alias("__before")), "__part").crossJoin(F.broadcast(start))  # one row
+    fresh = dealt.withColumn(key, (F.col("__top") + F.col("__before") + F.col("__nth") + 1).cast(kind))
+    return stored.unionByName(fresh.select(*stored.columns), allowMissingColumns=False)
+
+
+def create(rows: DataFrame, stored: DataFrame, keys: list[str], order: list[str], parents: DataFrame | None = None, parent: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(stored with the rows that may be put in, those that may not, with error): parents must exist, natural keys be new."""
+    faults = []
+    if parents is not None:
+        rows, orphans = accept(rows, parents, parent)
+        faults.append(orphans.withColumn("error", F.concat(F.lit(f"{parent} not found: "), F.col(parent).cast("string"))))
+    fresh, conflicts = accept_new(rows, stored, keys, order) if keys else (rows, rows.limit(0))
+    faults.append(conflicts.withColumn("error", F.lit("already exists: " + ", ".join(keys))))
+    rejected = faults[0] if len(faults) == 1 else faults[0].unionByName(faults[1])
+    return append(stored, fresh), rejected
+
+
+def begin(rows: DataFrame, at: Column | None = None) -> DataFrame:
+    """Extraction attempts as they start: PROCESSING, started_at now or `at`."""
+    return rows.withColumns({"extraction_status": F.lit("PROCESSING"), "error_message": F.lit(None).cast("string"), "started_at": F.current_timestamp() if at is None else at})
 
 
 def delete(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:

@@ -7,7 +7,7 @@ as none), `identifier` is the verified one or else the document's, and ver['x']
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -105,23 +105,27 @@ def default_registry() -> Registry:
     return Registry((GST, UDYAM, INCOME_TAX))
 
 
-def evaluate(inputs: DataFrame, registry: Registry | None = None) -> DataFrame:
+def evaluate(inputs: DataFrame, registry: Registry | None = None, columns: dict[str, dict[str, str]] | None = None) -> DataFrame:
     """inputs (requirement_type, requirement_name, extracted_data, verification_data, ...) with status, reason, evidence.
 
     Data are maps; a null or empty map is none, a map of null values isn't. Types without rules are for
-    review. Evidence keeps keys with null values.
+    review. Evidence keeps keys with null values. Evidence may come as columns instead of maps: `columns` names,
+    for each type, those of `document`, `verified`, `nothing` (is there none at all?) and of each verification key.
     """
     registry = registry or default_registry()
     kind = F.upper("requirement_type")
     status = reason = evidence = None
     for name, rules in registry.sets.items():
-        doc, ver = F.col("extracted_data"), F.col("verification_data")
-        document, verified = (F.nullif(F.try_element_at(x, F.lit(rules.id_key)), F.lit("")) for x in (doc, ver))
-        values = {"document": document, "verified": verified, "identifier": F.coalesce(verified, F.try_element_at(doc, F.lit(rules.id_key)))}
+        own = columns[name] if columns else None
+        found = {"document": own["document"], "verified": own["verified"]} if own else {"document": f"try_element_at(extracted_data, '{rules.id_key}')", "verified": f"try_element_at(verification_data, '{rules.id_key}')"}
+        nothing = own["nothing"] if own else "coalesce(size(extracted_data), -1) <= 0 AND coalesce(size(verification_data), -1) <= 0"
+        told_by = (lambda k, own=own: own[k]) if own else (lambda k: f"try_element_at(verification_data, '{k}')")
+        document, verified = (F.expr(f"nullif({x}, '')") for x in found.values())
+        values = {"document": document, "verified": verified, "identifier": F.coalesce(verified, F.expr(found["document"]))}
         chain = {"status": None, "reason": None, "evidence": None}
         for r in rules.rules:
-            holds = compile_condition(r.condition, rules.id_key)
-            told = F.create_map(*[x for k, v in r.evidence.items() for x in (F.lit(k), values[v] if v in values else F.try_element_at(ver, F.lit(v)))]) if r.evidence else F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+            holds = compile_condition(r.condition, found, nothing, told_by)
+            told = F.create_map(*[x for k, v in r.evidence.items() for x in (F.lit(k), values[v] if v in values else F.expr(told_by(v)))]) if r.evidence else F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
             for column, value in (("status", F.lit(r.status)), ("reason", F.lit(r.reason)), ("evidence", told)):
                 chain[column] = F.when(holds, value) if chain[column] is None else chain[column].when(holds, value)
         here = kind == name
@@ -133,17 +137,16 @@ def evaluate(inputs: DataFrame, registry: Registry | None = None) -> DataFrame:
     return inputs.withColumns({"status": out[0], "reason": out[1], "evidence": out[2]})
 
 
-def compile_condition(condition: str, id_key: str) -> Column:
-    doc, ver = f"nullif(try_element_at(extracted_data, '{id_key}'), '')", f"nullif(try_element_at(verification_data, '{id_key}'), '')"
+def compile_condition(condition: str, found: dict[str, str], nothing: str, told_by: Callable[[str], str]) -> Column:
     if condition == NOTHING:
-        return F.expr("coalesce(size(extracted_data), -1) <= 0 AND coalesce(size(verification_data), -1) <= 0")
+        return F.expr(nothing)
     if condition == DIFFER:
-        return F.expr(f"{doc} <> {ver}")
+        return F.expr(f"nullif({found['document']}, '') <> nullif({found['verified']}, '')")
     out = condition
     while "ver['" in out:
         a = out.index("ver['")
         b = out.index("']", a)
-        out = f"{out[:a]}try_element_at(verification_data, '{out[a + 5 : b]}'){out[b + 2 :]}"
+        out = f"{out[:a]}{told_by(out[a + 5 : b])}{out[b + 2 :]}"
     return F.expr(out)
 
 
@@ -152,11 +155,11 @@ def evidence_text(evidence: str = "evidence") -> Column:
     return F.array_join(F.transform(F.map_entries(evidence), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null")))), ";")
 
 
-def record_checks(requests: DataFrame, submissions: DataFrame, requirements: DataFrame, registry: Registry | None = None) -> DataFrame:
+def record_checks(requests: DataFrame, submissions: DataFrame, requirements: DataFrame, registry: Registry | None = None, columns: dict[str, dict[str, str]] | None = None, at: Column | None = None) -> DataFrame:
     """Evaluate requests (bid_submission_id, tender_requirement_id, extracted_data, verification_data) against stored rows.
 
     Type and name come from the stored requirement, whatever the request says. error tells what is missing
-    or doesn't match, and then status, reason and evidence are null.
+    or doesn't match, and then status, reason, evidence and checked_at (now, or `at`) are null.
     """
     s = submissions.select(F.col("id").alias("bid_submission_id"), F.col("tender_id").alias("own_tender"), F.lit(True).alias("has_submission"))
     r = requirements.select(F.col("id").alias("tender_requirement_id"), F.col("tender_id").alias("of_tender"), "requirement_type", "requirement_name", F.lit(True).alias("has_requirement"))
@@ -166,7 +169,7 @@ def record_checks(requests: DataFrame, submissions: DataFrame, requirements: Dat
         .when(F.col("has_requirement").isNull(), F.concat(F.lit("Tender requirement not found: "), F.col("tender_requirement_id").cast("string")))
         .when(F.col("own_tender") != F.col("of_tender"), "Tender requirement does not belong to the tender of the submission")
     )
-    out = evaluate(joined.withColumn("error", error), registry)
+    out = evaluate(joined.withColumn("error", error), registry, columns)
     for c in ("status", "reason", "evidence"):
         out = out.withColumn(c, F.when(F.col("error").isNull(), F.col(c)))
-    return out.drop("own_tender", "of_tender", "has_submission", "has_requirement").withColumn("checked_by", F.lit("COMPLIANCE_ENGINE"))
+    return out.drop("own_tender", "of_tender", "has_submission", "has_requirement").withColumns({"checked_by": F.lit("COMPLIANCE_ENGINE"), "checked_at": F.when(F.col("error").isNull(), F.current_timestamp() if at is None else at)})

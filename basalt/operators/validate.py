@@ -60,13 +60,18 @@ REQUIREMENT_REPLY = "requirements array<struct<requirement_type:string,requireme
 
 
 def validate_requirements(replies: DataFrame, raw: str = "reply", keep: tuple[str, ...] = ("query_id",)) -> DataFrame:
-    """A row for each requirement of each reply, with error: missing type, name, description, flag, source or chunk ids."""
-    parsed = replies.select(*keep, F.from_json(raw, REQUIREMENT_REPLY).alias("r"))
-    rows = parsed.select(*keep, F.posexplode("r.requirements").alias("ordinal", "q")).select(*keep, "ordinal", "q.*")
-    error = F.when(F.col("is_required").isNull(), "is_required")
+    """A row for each requirement of each reply, with error: missing type, name, description, flag, source or chunk ids.
+
+    A reply that is empty, no JSON object, or without requirements gives one row with that error, ordinal null.
+    """
+    r = F.col(raw)
+    whole = F.when(F.coalesce(F.trim(r), F.lit("")) == "", "empty reply").when(~parses(r), "invalid JSON").when(F.from_json(raw, REQUIREMENT_REPLY)["requirements"].isNull(), "no requirements")
+    parsed = replies.select(*keep, F.when(parses(r), F.from_json(raw, REQUIREMENT_REPLY)).alias("r"), whole.alias("__whole"))
+    rows = parsed.select(*keep, "__whole", F.posexplode_outer("r.requirements").alias("ordinal", "q")).where("ordinal is not null or __whole is not null").select(*keep, "__whole", "ordinal", "q.*")
+    error = F.when(F.col("__whole").isNotNull(), F.col("__whole")).when(F.col("is_required").isNull(), "is_required")
     for c in ("requirement_type", "requirement_name", "description", "source_document"):
         error = error.when(F.coalesce(c, F.lit("")) == "", c)
-    return rows.withColumn("error", error.when(F.coalesce(F.size("source_chunk_ids"), F.lit(-1)) < 1, "source_chunk_ids"))
+    return rows.withColumn("error", error.when(F.coalesce(F.size("source_chunk_ids"), F.lit(-1)) < 1, "source_chunk_ids")).drop("__whole")
 
 
 def extraction_json() -> Column:

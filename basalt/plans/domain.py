@@ -28,7 +28,7 @@ FROM lineitem
 """
 SUBMISSIONS = "SELECT o_orderkey AS id, CAST(o_orderkey % 100 AS int) AS tender_id, o_custkey AS bidder_id, 'SUBMITTED' AS status, o_orderdate AS submitted_at FROM orders"
 BIDDERS = "SELECT c_custkey AS id, c_name AS company_name, CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE concat('GSTIN', CAST(c_custkey % 700 AS varchar)) END AS gstin FROM customer"
-TENDERS = "SELECT CAST(p_partkey AS int) AS id, p_name AS title, concat('REF', CAST(p_partkey AS varchar)) AS reference_number, 'DRAFT' AS status FROM part WHERE p_partkey < 100"
+TENDERS = "SELECT CAST(p_partkey AS int) AS id, p_name AS title, concat('REF', CAST(p_partkey AS varchar)) AS reference_number, 'DRAFT' AS status FROM part"
 REQUIREMENTS = "SELECT t.id * 10 + k.k AS id, t.id AS tender_id, CASE k.k WHEN 1 THEN 'GST' WHEN 2 THEN 'UDYAM' WHEN 3 THEN 'INCOME_TAX' ELSE 'EPFO' END AS requirement_type, concat('Requirement ', CAST(k.k AS varchar)) AS requirement_name FROM (" + TENDERS + ") t CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) k"
 EXTRACTIONS = "SELECT event_id AS id, user_id AS bid_document_id, CASE event_type WHEN 'error' THEN 'FAILED' WHEN 'view' THEN 'PROCESSING' WHEN 'signup' THEN 'PROCESSED' ELSE 'COMPLETED' END AS extraction_status, value / 200.0 AS confidence_score, ts AS created_at FROM events"
 PAGES = "SELECT conv_id AS document_id, CAST(turn + 1 AS int) AS page_number, CASE WHEN turn % 3 = 2 THEN concat(' ', chr(9)) ELSE concat(chr(10), text, ' ') END AS text FROM conversations"
@@ -44,6 +44,18 @@ def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     return spark.sql(text.replace("varchar", "string"))
 
 
+#: The columns of CHECK_INPUTS in which the rules find their evidence.
+EVIDENCE = {
+    kind: {"document": "document_id", "verified": "verified_id", "nothing": "no_evidence", "status": "verification_status", **signals}
+    for kind, signals in (("GST", {"return_filing_status": "compliance_signal"}), ("UDYAM", {"enterprise_status": "active_signal"}), ("INCOME_TAX", {"pan_status": "pan_status", "income_tax_compliance": "compliance_signal"}))
+}
+
+
+def check_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CHECK_INPUTS with the name of each requirement; the rules read it with EVIDENCE."""
+    return sql(spark, sf_dir, CHECK_INPUTS).withColumn("requirement_name", F.concat(F.lit("Requirement "), (F.col("tender_requirement_id") % 10).cast("string")))
+
+
 def check_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CHECK_INPUTS with the evidence in maps, as the rules read it."""
     rows = sql(spark, sf_dir, CHECK_INPUTS)

@@ -25,10 +25,17 @@ def ingest(store: DataFrame | None, documents: DataFrame, embed: Provider = pv.e
     return chunks if store is None else ve.upsert_chunks(store, chunks)
 
 
+def question_faults(questions: DataFrame) -> DataFrame:
+    """questions (query_id, tender_id, text, source_document) with error: a bad tender, a blank question or source."""
+    error = F.when(~F.coalesce(F.col("tender_id") > 0, F.lit(False)), "tender_id must be greater than zero.").when(tx.is_blank(F.col("text")), "Query cannot be empty.").when(tx.is_blank(F.col("source_document")), "source_document cannot be empty.")
+    return questions.withColumn("error", error)
+
+
 def retrieve(store: DataFrame, questions: DataFrame, k: int = 5, embed: Provider = pv.embed) -> DataFrame:
     """query_id, chunk_id, source_document, text, distance, rank: the k chunks nearest to each question (query_id, text).
 
-    A question may name a source_document, to which its search is then limited. Blank questions find nothing.
+    A question may name a source_document, to which its search is then limited. Blank questions find nothing here;
+    question_faults() tells of them.
     """
     if not 1 <= k <= 20:
         raise ValueError("top_k must be between 1 and 20")
@@ -36,7 +43,7 @@ def retrieve(store: DataFrame, questions: DataFrame, k: int = 5, embed: Provider
     if "__only" not in asked.columns:
         return ve.top_k_many(store, asked, k, ("source_document", "text"))
     anywhere = ve.top_k_many(store, asked.where("__only is null").drop("__only"), k, ("source_document", "text"))
-    pairs = store.join(F.broadcast(asked.where("__only is not null")), F.col("source_document") == F.col("__only"))
+    pairs = store.join(asked.where("__only is not null"), F.col("source_document") == F.col("__only"))
     pairs = pairs.withColumn("distance", ve.squared_distance("embedding", "query_vector"))
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "chunk_id"))
     return anywhere.union(pairs.withColumn("rank", nth).where(F.col("rank") <= k).select("query_id", "chunk_id", "source_document", "text", "distance", "rank"))

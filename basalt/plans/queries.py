@@ -63,8 +63,8 @@ CHECKS_SQL = f"SELECT e.bid_submission_id, e.status FROM ({' UNION ALL '.join(ru
 
 
 def evaluated(spark, sf_dir: str, kind: str | None = None) -> DataFrame:
-    rows = dm.check_inputs(spark, sf_dir)
-    return ru.evaluate(rows if kind is None else rows.where(F.col("requirement_type") == kind))
+    rows = dm.check_columns(spark, sf_dir)
+    return ru.evaluate(rows if kind is None else rows.where(F.col("requirement_type") == kind), columns=dm.EVIDENCE)
 
 
 def checks(spark, sf_dir: str) -> DataFrame:
@@ -109,7 +109,7 @@ LEFT JOIN s ON s.id = i.bid_submission_id LEFT JOIN r ON r.id = i.tender_require
 def record_checks(spark, sf_dir):
     """Requests against stored rows, some for a submission that isn't there or of another tender."""
     moved = F.col("bid_submission_id") + F.when(F.col("tender_requirement_id") % 7 == 0, 1).otherwise(0)
-    requests = dm.check_inputs(spark, sf_dir).withColumn("bid_submission_id", moved)
+    requests = dm.check_inputs(spark, sf_dir).withColumn("bid_submission_id", moved)  # evidence as maps, as callers send it
     out = ru.record_checks(requests, dm.sql(spark, sf_dir, dm.SUBMISSIONS), dm.sql(spark, sf_dir, dm.REQUIREMENTS))
     outcome = F.when(F.col("error").isNull(), "ok").when(F.col("error").startswith("Bid"), "no submission").when(F.col("error").startswith("Tender requirement not"), "no requirement").otherwise("other tender")
     return out.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
@@ -285,13 +285,16 @@ def patch_checks(spark, sf_dir):
 
 WHITE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 STRIP = lambda x: f"regexp_replace(regexp_replace({x}, '^{WHITE}+', ''), '{WHITE}+$', '')"
-CHUNK_SQL = rf"""
-WITH n AS (SELECT concat('doc', doc_id) AS source_document, trim(regexp_replace(text, '{WHITE}+', ' ', 'g')) AS t FROM documents),
+CHUNKED = rf"""
+WITH n AS (SELECT source_document, trim(regexp_replace(text, '{WHITE}+', ' ', 'g')) AS t FROM (SOURCE)),
 i AS (SELECT source_document, t, CAST(unnest(range(0, CAST(greatest(0, ceil((length(t) - 1000) / 800.0)) AS BIGINT) + 1)) AS INT) AS chunk_index FROM n WHERE t <> '')
 SELECT concat(source_document, ':chunk:', chunk_index) AS chunk_id, trim(substring(t, chunk_index * 800 + 1, 1000)) AS text, source_document, chunk_index FROM i WHERE trim(substring(t, chunk_index * 800 + 1, 1000)) <> ''
 """
 
 
+CHUNK_SQL = CHUNKED.replace("SOURCE", "SELECT concat('doc', doc_id) AS source_document, text FROM documents")
+
+
 def source_documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("source_document"), "text")
 
@@ -419,8 +422,10 @@ def validate_classification(spark, sf_dir):
 
 # --- displays --------------------------------------------------------------------------------------
 
+#: Tenths of a score by its exact binary value, ties up.
+TENTHS = "((CAST(floor(score) AS BIGINT) * 10 + ((CAST((score - floor(score)) * pow(2, 59) AS BIGINT) * 10 + 288230376151711744) >> 59)) {op} 10)"
 
-@query(f"SELECT bid_submission_id, CASE WHEN score IS NULL THEN 'unknown' WHEN score >= 80 THEN 'good' WHEN score >= 60 THEN 'warning' ELSE 'danger' END AS score_class, CASE WHEN score IS NULL THEN '—' ELSE format('{{:.1f}}', score) END AS score_label, CASE risk_level WHEN 'LOW' THEN 'low' WHEN 'MEDIUM' THEN 'medium' WHEN 'HIGH' THEN 'high' ELSE 'unknown' END AS risk_class, replace(status, '_', ' ') AS status_label FROM ({ASSESS_SQL})")
+@query(f"SELECT bid_submission_id, CASE WHEN score IS NULL THEN 'unknown' WHEN score >= 80 THEN 'good' WHEN score >= 60 THEN 'warning' ELSE 'danger' END AS score_class, CASE WHEN score IS NULL THEN '—' ELSE {TENTHS.format(op='//')} || '.' || {TENTHS.format(op='%')} END AS score_label, CASE risk_level WHEN 'LOW' THEN 'low' WHEN 'MEDIUM' THEN 'medium' WHEN 'HIGH' THEN 'high' ELSE 'unknown' END AS risk_class, replace(status, '_', ' ') AS status_label FROM ({ASSESS_SQL})")
 def assessment_display(spark, sf_dir):
     a = assess_submissions(spark, sf_dir)
     return a.select("bid_submission_id", tx.score_class(F.col("score")).alias("score_class"), tx.score_label(F.col("score")).alias("score_label"), tx.risk_class(F.col("risk_level")).alias("risk_class"), tx.status_label(F.col("status")).alias("status_label"))
@@ -467,15 +472,34 @@ def extract_fields(spark, sf_dir):
     return pv.extract_fields(noted(spark, sf_dir)).select("doc_id", *pv.FIELD_PATTERNS)
 
 
-@query()
+NOTED_CHUNKS = CHUNKED.replace("SOURCE", f"SELECT CAST(doc_id AS VARCHAR) AS source_document, 'The bidder must have GST registration. ' || text AS text FROM ({NOTED_SQL})")
+
+
+@query(rf"""
+WITH s AS (SELECT source_document, chunk_id, string_split(regexp_replace(text, '([.!?;])\s+', '\1' || chr(1), 'g'), chr(1)) AS parts FROM ({NOTED_CHUNKS})),
+r AS (SELECT source_document, chunk_id, CAST(generate_subscripts(parts, 1) - 1 AS INT) AS ordinal, unnest(parts) AS description FROM s)
+SELECT *, CASE {' '.join(f"WHEN regexp_matches(lower(description), '{p}') THEN '{k}'" for k, p in pv.REQUIREMENT_WORDS.items())} ELSE 'OTHER' END AS requirement_type,
+  CASE WHEN length(trim(description)) <= 255 THEN trim(description) ELSE substring(trim(description), 1, 222) || ' ' || md5(trim(description)) END AS requirement_name, regexp_matches(lower(description), '\b(must|shall|required|mandatory)\b') AS is_required
+FROM r WHERE regexp_matches(lower(description), '\b(must|shall|should|required|mandatory)\b')
+""")
 def extract_requirements(spark, sf_dir):
     docs = noted(spark, sf_dir).select(F.col("doc_id").cast("string").alias("source_document"), F.concat(F.lit("The bidder must have GST registration. "), "text").alias("text"))
     return pv.extract_requirements(tx.chunk(docs))
 
 
-@query()
+EMBED_SQL = """
+WITH w AS (SELECT chunk_id, unnest(string_split(lower(text), ' ')) AS word FROM (CHUNKS)), h AS (SELECT chunk_id, CAST('0x' || substr(md5(word), 1, 8) AS BIGINT) AS code FROM w),
+p AS (SELECT chunk_id, (code >> k) & 63 AS place, CASE WHEN (code >> (k + 9)) & 1 = 1 THEN 1 ELSE -1 END AS sign FROM h, (VALUES (0), (10), (20)) t(k)),
+s AS (SELECT chunk_id, place, sum(sign) AS v FROM p GROUP BY 1, 2 HAVING sum(sign) <> 0), n AS (SELECT chunk_id, sqrt(sum(v * v)) AS n FROM s GROUP BY 1)
+SELECT chunk_id, string_agg(place || ':' || CAST(floor(CAST(CAST(v / n AS FLOAT) AS DOUBLE) * 10000 + 0.5) AS INT), ' ' ORDER BY place) AS embedding FROM s JOIN n USING (chunk_id) GROUP BY 1
+"""
+
+
+@query(EMBED_SQL.replace("CHUNKS", CHUNK_SQL))
 def embed_documents(spark, sf_dir):
-    return pv.embed(tx.chunk(source_documents(spark, sf_dir))).select("chunk_id", "embedding")
+    """Embeddings as text: the places that aren't zero, in ten-thousandths."""
+    told = F.transform("embedding", lambda x, i: F.when(x != 0, F.concat_ws(":", i.cast("string"), F.floor(x.cast("double") * 10000 + 0.5).cast("string"))))
+    return pv.embed(tx.chunk(source_documents(spark, sf_dir))).select("chunk_id", F.array_join(told, " ").alias("embedding"))
 
 
 @query("SELECT 1 AS ok")
@@ -534,3 +558,6 @@ def update_latest(spark, sf_dir):
     rows = dm.sql(spark, sf_dir, dm.EXTRACTIONS)
     values = rows.where("bid_document_id % 2 = 0").select("bid_document_id").distinct().withColumn("extraction_status", F.lit("CHECKED"))
     return lk.update_latest(rows, values, "bid_document_id", "extraction_status").select("id", "bid_document_id", "extraction_status")
+
+
+from basalt.plans import stored as _stored  # noqa: E402, F401 (its queries register themselves)

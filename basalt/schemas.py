@@ -74,6 +74,20 @@ def response(df: DataFrame, table: str) -> DataFrame:
     return df.select(*[n for n, *_ in columns_of(table) if n not in HIDDEN.get(table, []) and n in df.columns])
 
 
+def unique_faults(df: DataFrame, table: str, key: str = "id") -> DataFrame:
+    """key, column names: rows whose unique columns others bear too; nulls never clash."""
+    out = None
+    for names in UNIQUE.get(table, []):
+        full = F.lit(True)
+        for n in names:
+            full = full & F.col(n).isNotNull()
+        rows = df.where(full)
+        twice = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
+        found = rows.join(twice, list(names)).select(key, F.lit(", ".join(names)).alias("columns"))
+        out = found if out is None else out.union(found)
+    return out
+
+
 def faults(table: str) -> Column:
     """Names of the columns whose value is null though required, or too long."""
     tests = []

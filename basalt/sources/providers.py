@@ -6,8 +6,8 @@ in for a default by mapInPandas, with one client for each partition.
 
 from __future__ import annotations
 
+import hashlib
 import importlib.util
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.functions.text import is_blank, normalise
+from basalt.functions.text import is_blank, is_pdf, normalise
+from basalt.schemas import RECORD_FIELDS
 
 # Words that tell document types and requirement types, and the patterns of fields.
 DOCUMENT_WORDS = {
@@ -28,23 +29,28 @@ REQUIREMENT_WORDS = {"GST": r"\bgst", "UDYAM": r"\budyam|\bmsme", "INCOME_TAX":
 FIELD_PATTERNS = {
     "gstin": r"\b(\d{2}[A-Z]{5}\d{4}[A-Z][0-9A-Z]Z[0-9A-Z])\b", "udyam_number": r"\b(UDYAM-[A-Z]{2}-\d{2}-\d{7})\b", "pan_number": r"\b([A-Z]{5}\d{4}[A-Z])\b",
     "assessment_year": r"\b(\d{4}-\d{2})\b", "acknowledgement_number": r"\b(\d{15})\b",
+    "legal_name": r"(?i)\blegal name[ :]+([^\n]+)", "trade_name": r"(?i)\btrade name[ :]+([^\n]+)", "registration_date": r"(?i)\bdate of registration[ :]+(\d{1,2}[-/.]\d{1,2}[-/.]\d{4})", "status": r"(?i)\bstatus[ :]+(active|inactive|cancelled|suspended)\b",
+    "enterprise_name": r"(?i)\bname of enterprise[ :]+([^\n]+)", "organisation_type": r"(?i)\btype of organi[sz]ation[ :]+([^\n]+)", "major_activity": r"(?i)\bmajor activity[ :]+([^\n]+)", "name": r"(?i)\bname[ :]+([^\n]+)",
+    "date_of_birth_or_incorporation": r"(?i)\bdate of (?:birth|incorporation)[ :]+(\d{1,2}[-/.]\d{1,2}[-/.]\d{4})", "filing_date": r"(?i)\bdate of filing[ :]+(\d{1,2}[-/.]\d{1,2}[-/.]\d{4})",
+    "gross_total_income": r"(?i)\bgross total income[ :]+([0-9][0-9,.]*)", "total_income": r"(?i)(?:^|\n)total income[ :]+([0-9][0-9,.]*)",
 }
 
 
 def classify(documents: DataFrame, text: str = "text") -> DataFrame:
     """documents with document_type and confidence: the type with most of its words in the text, UNKNOWN without any.
 
-    A blank text gives an error instead.
+    A blank text gives an error instead. A default that stands in for a model: the confidence is the share of three
+    words found, no probability. The text is lower-cased once and each word looked for once.
     """
-    low = F.lower(F.col(text))
-    hits = {kind: sum((low.contains(w).cast("int") for w in words), F.lit(0)) for kind, words in DOCUMENT_WORDS.items()}
-    best = F.greatest(*hits.values())
+    rows = documents.withColumn("__low", F.lower(F.col(text)))
+    rows = rows.withColumns({f"__{kind}": sum((F.col("__low").contains(w).cast("int") for w in words), F.lit(0)) for kind, words in DOCUMENT_WORDS.items()})
+    rows = rows.withColumns({"__best": F.greatest(*[f"__{kind}" for kind in DOCUMENT_WORDS]), "__blank": is_blank(F.col(text))})
     kind = F.lit("UNKNOWN")
-    for name in reversed(hits):
-        kind = F.when((hits[name] == best) & (best > 0), name).otherwise(kind)
-    blank = is_blank(F.col(text))
-    share = F.when(best > 0, best / F.lit(3)).otherwise(0.0)
-    return documents.withColumns({"error": F.when(blank, "text cannot be empty"), "document_type": F.when(~blank, kind), "confidence": F.when(~blank, share)})
+    for name in reversed(DOCUMENT_WORDS):
+        kind = F.when((F.col(f"__{name}") == F.col("__best")) & (F.col("__best") > 0), name).otherwise(kind)
+    blank, share = F.col("__blank"), F.when(F.col("__best") > 0, F.col("__best") / F.lit(3)).otherwise(0.0)
+    rows = rows.withColumns({"error": F.when(blank, "text cannot be empty"), "document_type": F.when(~blank, kind), "confidence": F.when(~blank, share)})
+    return rows.drop("__low", "__best", "__blank", *[f"__{kind}" for kind in DOCUMENT_WORDS])
 
 
 def extract_fields(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -53,14 +59,19 @@ def extract_fields(documents: DataFrame, text: str = "text") -> DataFrame:
 
 
 def extract_requirements(chunks: DataFrame) -> DataFrame:
-    """A row for each sentence of chunks that obliges: type by its words, name, whether it is mandatory, source."""
+    """A row for each sentence of chunks that obliges: type by its words, name, whether it is mandatory, source.
+
+    A default that stands in for a model. The name is the sentence, or if it is longer than the column allows its
+    beginning and a digest of the whole, so that different sentences have different names.
+    """
     sentences = F.split(F.col("text"), r"(?<=[.!?;])\s+")
     rows = chunks.select("chunk_id", "source_document", F.posexplode(sentences).alias("ordinal", "description"))
     rows = rows.where(F.lower("description").rlike(r"\b(must|shall|should|required|mandatory)\b"))
     kind: Column = F.lit("OTHER")
+    plain = normalise(F.col("description"))
     for name in reversed(REQUIREMENT_WORDS):
         kind = F.when(F.lower("description").rlike(REQUIREMENT_WORDS[name]), name).otherwise(kind)
-    return rows.select("source_document", "chunk_id", "ordinal", kind.alias("requirement_type"), F.substring(normalise(F.col("description")), 1, 80).alias("requirement_name"), "description", F.lower("description").rlike(r"\b(must|shall|required|mandatory)\b").alias("is_required"))
+    return rows.select("source_document", "chunk_id", "ordinal", kind.alias("requirement_type"), F.when(F.char_length(plain) <= 255, plain).otherwise(F.concat(F.substring(plain, 1, 222), F.lit(" "), F.md5(plain))).alias("requirement_name"), "description", F.lower("description").rlike(r"\b(must|shall|required|mandatory)\b").alias("is_required"))
 
 
 def embed(rows: DataFrame, text: str = "text", dim: int = 64) -> DataFrame:
@@ -69,8 +80,13 @@ def embed(rows: DataFrame, text: str = "text", dim: int = 64) -> DataFrame:
     @F.pandas_udf("array<float>")
     def hashed(texts: pd.Series) -> pd.Series:
         out = []
+        known: dict[str, int] = {}
         for t in texts:
-            codes = np.fromiter((zlib.crc32(w.encode()) for w in t.split(" ")), np.int64) if t else np.zeros(0, np.int64)
+            words = t.split(" ") if t else []
+            for w in words:
+                if w not in known:
+                    known[w] = int(hashlib.md5(w.encode(), usedforsecurity=False).hexdigest()[:8], 16)
+            codes = np.fromiter((known[w] for w in words), np.int64, len(words))
             v = sum(np.bincount((codes >> k) % dim, np.where(codes >> k + 9 & 1, 1.0, -1.0), dim) for k in (0, 10, 20))
             n = np.sqrt(v @ v)
             out.append((v / n).astype(np.float32) if n else None)
@@ -79,6 +95,32 @@ def embed(rows: DataFrame, text: str = "text", dim: int = 64) -> DataFrame:
     return rows.withColumn("embedding", hashed(F.coalesce(F.lower(normalise(F.col(text))), F.lit(""))))
 
 
+# What a record's fields hold, for the schema of a model's reply.
+FIELD_NOTES = {"confidence": "how sure the reading is, from 0 to 1"}
+
+
+def reply_schema(document_type: str) -> dict:
+    """JSON schema of a reply about a document of that type: its fields as text or null, and a confidence from 0 to 1."""
+    if document_type not in RECORD_FIELDS:
+        raise ValueError(f"unsupported document type: {document_type}")
+    fields = {f: {"type": ["string", "null"]} for f in RECORD_FIELDS[document_type]}
+    return {"type": "object", "properties": {"fields": {"type": "object", "properties": fields, "additionalProperties": False}, "confidence": {"type": "number", "minimum": 0, "maximum": 1, "description": FIELD_NOTES["confidence"]}}, "required": ["fields", "confidence"], "additionalProperties": False}
+
+
+def instruction(document_type: str) -> str:
+    """What a model is told to do with a document of that type."""
+    if document_type not in RECORD_FIELDS:
+        raise ValueError(f"unsupported document type: {document_type}")
+    return f"Read the {document_type} below and give its fields: {', '.join(RECORD_FIELDS[document_type])}. Leave out what it doesn't say. Reply in JSON with fields and confidence."
+
+
+def page_faults(paths: DataFrame, files: DataFrame) -> DataFrame:
+    """paths (path) with fault: not found, not a file, or no .pdf; null if it can be read. files: path, is_file."""
+    known = files.select("path", "is_file").dropDuplicates(["path"]).withColumn("__there", F.lit(True))
+    fault = F.when(F.col("__there").isNull(), F.concat(F.lit("PDF file not found: "), "path")).when(~F.col("is_file"), F.concat(F.lit("PDF path is not a file: "), "path")).when(~is_pdf(F.col("path")), "File must have a .pdf extension.")
+    return paths.join(known, "path", "left").withColumn("fault", fault).drop("is_file", "__there")
+
+
 PAGE_SCHEMA = "path string, page_number int, text string, error string"
 
 
