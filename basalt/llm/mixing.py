@@ -3,7 +3,8 @@
 A source's share of the mix follows its weight over training time t in 0..1. Its schedule is linear,
 target * (1 + ramp * (2 t - 1)) words per unit of time, and integrates to its target. The running sum
 of a source's words in a fixed pseudo-random order is demand already met; inverting the integrated
-schedule at that sum gives the position at which a document is due, and the mix is sorted by position.
+schedule at that sum gives the position at which a document is due, and the mix is sorted by position. A source
+that is read several times goes on with its demand: each pass gives a document a position of its own.
 
 Running sums take two steps, so that no task sees a whole source: sums of 4096 hash buckets of each
 source are added up first, then the rows within one bucket.
@@ -50,11 +51,12 @@ def due(demand, target, ramp):
 
 
 def mix_sources(docs: DataFrame, weights=(1.0, 2.0, 3.0), ramps=(-0.5, 0.0, 0.5), cap: float = 3.0, keep=()) -> DataFrame:
-    """One row per document, sorted by position: doc_id, source, size, source_size, target, taken, position.
+    """One row per document, sorted by position: doc_id, source, size, source_size, target, taken, position, last_position, positions.
 
     size counts words. taken counts the words the mix takes, repeats included: whole passes over the
     source, then the documents first in order until the target is met; of the last one only the words
-    still wanted. position is when the document is first due, null for one that is never taken.
+    still wanted. positions are when each pass over the document is due, position and last_position the first and
+    last of them, null (and positions empty) for one that is never taken.
     Null text: size 0. Null source: a source of its own, last. Null ids and repeated rows count like
     others. Empty table: no rows. keep names further columns to carry.
     """
@@ -81,15 +83,20 @@ def mix_sources(docs: DataFrame, weights=(1.0, 2.0, 3.0), ramps=(-0.5, 0.0, 0.5)
         rows.join(b, F.col("r.source").eqNullSafe(F.col("b.source")) & (F.col("r.bucket") == F.col("b.bucket")))
         .select("r.doc_id", "r.source", "r.size", *[F.col(f"r.{c}") for c in keep], "b.source_size", "b.target", "b.turn", (F.col("b.bucket_start") + F.col("r.within")).alias("start"))
         .withColumn("taken", passes * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("start"))))
-        .withColumn("position", F.when(F.col("taken") > 0, F.round(due(F.col("start"), F.col("target"), ramp), 9)))
-        .select("doc_id", "source", "size", *keep, "source_size", "target", "taken", "position")
+        .withColumn("ramp", ramp)
+        .withColumn("passes", F.when(F.col("taken") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0).cast("int"))
+        .withColumn("positions", F.transform(F.sequence(F.lit(1), F.col("passes")), lambda k: F.round(due((k - 1) * F.col("source_size") + F.col("start"), F.col("target"), F.col("ramp")), 9)))
+        .withColumn("positions", F.when(F.col("passes") > 0, F.col("positions")).otherwise(F.array().cast("array<double>")))
+        .withColumn("position", F.try_element_at("positions", F.lit(1))).withColumn("last_position", F.try_element_at("positions", F.lit(-1)))
+        .select("doc_id", "source", "size", *keep, "source_size", "target", "taken", "position", "last_position", "positions")
         .orderBy(F.col("position").asc_nulls_last(), "doc_id")
     )
 
 
 def op4_mix_sources(spark, sf_dir: str) -> DataFrame:
+    """mix_sources over all documents; its cases hold."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "position")
+    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "position", "last_position")
 
 
 OP4_SQL = r"""
@@ -118,10 +125,11 @@ WITH sized AS (
 ), counted AS (
   SELECT *, CAST(passes * size + greatest(0, least(size, CAST(round(target - passes * source_size) AS BIGINT) - start)) AS BIGINT) AS taken FROM placed
 )
-SELECT doc_id, size, source_size, target, taken,
-  CASE WHEN taken > 0 AND target > 0 THEN round(CASE turn
-    WHEN 0 THEN (-1.5 + sqrt(2.25 - 2.0 * (start / target))) / -1.0
-    WHEN 1 THEN start / target
-    ELSE (-0.5 + sqrt(0.25 + 2.0 * (start / target))) / 1.0 END, 9) + 0.0 END AS position
+SELECT doc_id, size, source_size, target, taken, POSITION(start) AS position, POSITION((ceil(taken / size) - 1) * source_size + start) AS last_position
 FROM counted
 """
+for at in ("start", "(ceil(taken / size) - 1) * source_size + start"):
+    OP4_SQL = OP4_SQL.replace(f"POSITION({at})", f"""CASE WHEN taken > 0 AND target > 0 THEN round(CASE turn
+    WHEN 0 THEN (-1.5 + sqrt(2.25 - 2.0 * (({at}) / target))) / -1.0
+    WHEN 1 THEN ({at}) / target
+    ELSE (-0.5 + sqrt(0.25 + 2.0 * (({at}) / target))) / 1.0 END, 9) + 0.0 END""")

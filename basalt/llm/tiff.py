@@ -256,20 +256,42 @@ def text_image(payload: bytes, width: int = 64, page_rows: int = 4096) -> list[n
     return [flat[y : y + page_rows] for y in range(0, len(flat), page_rows)]
 
 
-def feature(images: list[np.ndarray]) -> str:
-    """Pages, width, rows, mean, mean square and mean step along rows of the decoded samples."""
-    n = sum(x.size for x in images)
-    total = sum(int(x.sum(dtype=np.int64)) for x in images)
-    square = sum(int(np.square(x, dtype=np.int64).sum()) for x in images)
-    step = sum(int(np.abs(np.diff(x.astype(np.int16), axis=1)).sum(dtype=np.int64)) for x in images)
-    return f"pages={len(images)};width={images[0].shape[1]};rows={sum(x.shape[0] for x in images)};mean={total / n:.6f};square={square / n:.6f};step={step / n:.6f}"
+class Digest:
+    """Digests of a document's pages, added one by one."""
+
+    def __init__(self):
+        self.sha, self.tail, self.size, self.pages, self.rows, self.width, self.sums = hashlib.sha256(), b"", 0, 0, 0, 0, np.zeros(3, np.int64)
+
+    def add(self, samples: bytes, width: int, rows: int) -> None:
+        x = np.frombuffer(samples, np.uint8).reshape(rows, -1)
+        self.sha.update(samples)
+        self.tail = (self.tail + samples[-64:])[-64:]
+        self.size, self.pages, self.rows, self.width = self.size + len(samples), self.pages + 1, self.rows + rows, width
+        self.sums += [x.sum(dtype=np.int64), np.square(x, dtype=np.int64).sum(), np.abs(np.diff(x.astype(np.int16), axis=1)).sum(dtype=np.int64)]
+
+    def feature(self) -> str:
+        """Pages, width, rows, mean, mean square and mean step along rows of the decoded samples."""
+        mean, square, step = self.sums / max(1, self.size)
+        return f"pages={self.pages};width={self.width};rows={self.rows};mean={mean:.6f};square={square:.6f};step={step:.6f}"
 
 
 MEDIA_SCHEMA = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 
 
-def text_media(docs: DataFrame, compression: int = DEFLATE, width: int = 64) -> DataFrame:
-    """doc_id, media: each whole text (null: empty) as the samples of a TIFF, padded with zeros to rows of `width`."""
+def stored_form(data: bytes) -> dict:
+    """How a text is stored, by its own hash: most as deflate strips, some as differenced tiles, PackBits or LZW."""
+    kind = zlib.crc32(data) % 32
+    if kind < 4:
+        return {"compression": DEFLATE, "predictor": 2, "cell": (64, 64)}
+    return {"compression": {4: LZW, 5: PACKBITS}.get(kind, DEFLATE)}
+
+
+def text_media(docs: DataFrame, compression: int | None = None, width: int = 64) -> DataFrame:
+    """doc_id, n_bytes, media: each whole text (null: empty) as the samples of a TIFF, padded with zeros to rows of `width`.
+
+    Stored as stored_form() says, or all by one compression. Null ids are carried. Very long texts take several
+    pages. Equal texts are stored alike, repeated rows each for itself. Empty table: no rows. Other columns are dropped.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,7 +303,8 @@ def text_media(docs: DataFrame, compression: int = DEFLATE, width: int = 64) ->
                 for text in texts.slice(i, step):
                     data = text.as_py()
                     sizes.append(len(data))
-                    media.append(write(text_image(data.ljust(max(1, -(-len(data) // width)) * width, b"\0"), width), compression))
+                    form = stored_form(data) if compression is None else {"compression": compression}
+                    media.append(write(text_image(data.ljust(max(1, -(-len(data) // width)) * width, b"\0"), width), **form))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
@@ -289,22 +312,44 @@ def text_media(docs: DataFrame, compression: int = DEFLATE, width: int = 64) ->
 
 
 def media_digest(media: DataFrame) -> DataFrame:
-    """Read stored media back and digest them (see MEDIA_SCHEMA); equal media give equal values, rows stay rows."""
+    """Read stored media (doc_id, n_bytes, media) back page by page and digest them (see MEDIA_SCHEMA).
+
+    Equal media give equal values; rows stay rows. Null media: no row. Media that can't be read are an error.
+    The pages of a row follow each other in one task, so nothing is shuffled. Empty table: no rows.
+    """
+    stored = media.select(F.struct("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256")).alias("about"), "media")
+    about = ["doc_id", "n_bytes", "media_bytes", "media_sha256"]
+    read = read_pages(stored, keep=("about",)).select(*[f"about.{c}" for c in about], "page", "width", "height", "samples", "error")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, found, out = None, Digest(), []
+
+        def end() -> None:
+            if held is not None:
+                out.append((held[0], held[1], found.size, found.sha.hexdigest(), zlib.crc32(found.tail), held[2], held[3], found.feature()))
+
+        def rows() -> pa.RecordBatch:
+            kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            columns = list(zip(*out, strict=True)) or [()] * len(kinds)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in MEDIA_SCHEMA.split(", ")])
+
         for batch in batches:
-            out = []
-            for doc_id, n_bytes, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                data = blob.as_py()
-                images = list(pages(data))
-                payload = b"".join(x.tobytes() for x in images)
-                out.append((doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature(images)))
-            if out:
-                kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in MEDIA_SCHEMA.split(", ")])
+            small = batch.drop_columns(["samples"]).to_pylist()
+            for row, samples in zip(small, batch.column("samples"), strict=True):
+                if row["error"] is not None:
+                    raise ValueError(f"a stored text can't be read: {row['error']}")
+                if row["page"] == 0:
+                    end()
+                    held, found = tuple(row[c] for c in about), Digest()
+                found.add(samples.as_py(), row["width"], row["height"])
+            yield rows()
+        end()
+        yield rows()
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(digest, MEDIA_SCHEMA)
+    return read.mapInArrow(digest, MEDIA_SCHEMA)
 
 
 def op6_tiff_media(spark, sf_dir: str) -> DataFrame:
+    """text_media of all documents, stored, then read back by media_digest; their cases hold."""
     return media_digest(materialise(text_media(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media"))

@@ -6,7 +6,8 @@ empty gzip member. Any WARC reader takes the files.
 
 The capture index is sorted by reversed-host URL keys and cut into compressed blocks. A sparse directory
 holds the first key of each block. A lookup searches the directory by bisection, opens the blocks that
-may hold the key, bisects again inside, and reads the records' ranges out of the archives.
+may hold the key, bisects again inside, and reads the records' ranges out of the archives. Ranges are read
+where a file system library reaches the store; elsewhere archives are shuffled whole to the captures they serve.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ import uuid
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from urllib.parse import quote, urlsplit
+from urllib.parse import quote, unquote, urlsplit
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +33,7 @@ from basalt.llm.common import materialise, scratch
 #: Records of an archive file and captures of an index block, at most.
 FILE_RECORDS, BLOCK_CAPTURES = 10_000, 512
 #: Blocks up to which the directory is broadcast; a larger one is met by a join instead.
-DIRECTORY_BLOCKS = 500_000
+DIRECTORY_BLOCKS, DIRECTORY_BYTES = 500_000, 64 << 20
 DATE = "1970-01-01T00:00:00Z"
 SPAN = 1 << 14
 
@@ -176,11 +178,17 @@ def write_index(spark: SparkSession, archive_path: str, index_path: str) -> None
 
 
 def lookup(keys: DataFrame, index_path: str, directory_blocks: int = DIRECTORY_BLOCKS) -> DataFrame:
-    """key, record_id, path, start, length of every capture of the keys (key)."""
+    """key, record_id, path, start, length of every capture of the keys (key).
+
+    Null keys find nothing; the empty key finds records without a URL. Repeated keys count once. Captures of equal
+    keys all come. No keys, or an empty index: no rows. Other columns are dropped. The directory is broadcast up to
+    `directory_blocks` blocks and DIRECTORY_BYTES of keys; beyond, keys meet the keys of all blocks by a join.
+    """
     spark = keys.sparkSession
     index = spark.read.parquet(index_path)
     keys = keys.select("key").where("key is not null").distinct()
-    if index.count() <= directory_blocks:
+    blocks, size = index.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("first_key") + F.octet_length("last_key")), F.lit(0))).first()
+    if blocks <= directory_blocks and size <= DIRECTORY_BYTES:
         directory = sorted((r[0], r[1], r[2]) for r in index.select("first_key", "last_key", "block").collect())
         shared = spark.sparkContext.broadcast(directory)
 
@@ -211,24 +219,70 @@ def lookup(keys: DataFrame, index_path: str, directory_blocks: int = DIRECTORY_B
     return asked.groupBy("block").cogroup(index.select("block", "data").groupBy("block")).applyInArrow(open_block, "key string, record_id string, path string, start bigint, length bigint")
 
 
+#: Records read at a time.
+READ_RECORDS = 256
+
+
+def store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system library's view of a path as Spark writes it."""
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path) if ":" in path.split("/")[0] else f"file://{path}")
+
+
+def reachable(path: str) -> bool:
+    """Does the library know the store? A fault while reading is no reason to read in another way."""
+    try:
+        found, root = store(path)
+        return found.get_file_info(root).type == fs.FileType.Directory
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return False
+
+
 RECORD_SCHEMA = "page_id bigint, url string, payload binary, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
 
 
 def read_records(captures: DataFrame, archive_path: str, payloads: bool = True) -> DataFrame:
-    """The records at captures (path, start, length): see RECORD_SCHEMA; payload is null for revisits."""
+    """The records at captures (path, start, length): see RECORD_SCHEMA; payload is null for revisits.
 
-    def read(table: pa.Table, files: pa.Table) -> pa.Table:
+    A capture given twice is read twice. Null ids and URLs of records come back null. No captures: no rows. Other
+    columns are dropped. Captures are dealt out by place, so that a task reads neighbouring ranges of few files.
+    """
+
+    def table_of(records: list[bytes]) -> pa.RecordBatch:
         out = []
-        if len(files):
-            view = memoryview(files.column("content")[0].as_buffer())
-            for at, n in zip(table.column("start").to_pylist(), table.column("length").to_pylist(), strict=True):
-                r = parse(zlib.decompress(view[at : at + n], 31))
-                h = r["headers"]
-                number = lambda name: int(h[name]) if name in h else None  # noqa: E731, B023
-                out.append((number("x-page-id"), h.get("warc-target-uri"), r["payload"] if payloads else None, r["payload_bytes"], h["warc-payload-digest"].removeprefix("sha1:"), h["warc-type"], number("x-refers-to-page")))
+        for record in records:
+            r = parse(record)
+            h = r["headers"]
+            number = lambda name: int(h[name]) if name in h else None  # noqa: E731, B023
+            out.append((number("x-page-id"), h.get("warc-target-uri"), r["payload"] if payloads else None, r["payload_bytes"], h["warc-payload-digest"].removeprefix("sha1:"), h["warc-type"], number("x-refers-to-page")))
         kinds = (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64())
         columns = list(zip(*out, strict=True)) or [()] * len(kinds)
-        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in RECORD_SCHEMA.split(", ")])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in RECORD_SCHEMA.split(", ")])
+
+    if reachable(archive_path):
+
+        def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            fs, root = store(archive_path)
+            name, file = None, None
+            for batch in batches:
+                for k in range(0, batch.num_rows, READ_RECORDS):
+                    part, records = batch.slice(k, READ_RECORDS), []
+                    for path, at, n in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                        if path != name:
+                            if file:
+                                file.close()
+                            name, file = path, fs.open_input_file(f"{root}/{unquote(path.rsplit('/', 1)[-1])}")
+                        records.append(zlib.decompress(file.read_at(n, at), 31))
+                    yield table_of(records)
+            if file:
+                file.close()
+
+        place = ["path", "start", "length"]
+        return captures.select(*place).repartitionByRange("path", "start").sortWithinPartitions("path", "start").mapInArrow(ranges, RECORD_SCHEMA)
+
+    def read(table: pa.Table, files: pa.Table) -> pa.Table:
+        view = memoryview(files.column("content")[0].as_buffer()) if len(files) else b""
+        places = zip(table.column("start").to_pylist(), table.column("length").to_pylist(), strict=True) if len(files) else ()
+        return pa.Table.from_batches([table_of([zlib.decompress(view[at : at + n], 31) for at, n in places])])
 
     return captures.groupBy("path").cogroup(archives(captures.sparkSession, archive_path).groupBy("path")).applyInArrow(read, RECORD_SCHEMA)
 
