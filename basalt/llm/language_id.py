@@ -32,6 +32,8 @@ SHARPNESS = 20.0
 REJECT_TIMES, REJECT_MARGIN = 2.0, 0.35
 #: The share of held-back texts taken as usual ones, and of texts of other languages at which they are said to begin.
 USUAL, FOREIGN = 0.9, 0.1
+#: The share of the way to texts of other languages that is never rejected.
+OPEN = 0.3
 
 
 def spell(codes: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
@@ -178,14 +180,15 @@ def train(texts: list[str], langs: list[str]) -> dict:
         some = n > 0
         h = -total[some, j] / n[some] if some.any() else np.array([np.log(model["size"])])
         weight = n[some] if some.any() else np.ones(1)
-        centre.append(np.average(h, weights=weight))
+        centre.append(np.average(h, weights=np.minimum(weight, 1000)))  # one long text is no more usual than others
         own = (h - centre[-1]) * np.sqrt(weight / (weight + 50.0))
         limit = lambda x: max(0.0, x) * REJECT_TIMES + REJECT_MARGIN
         # a held-back text may be junk or mislabelled, so the worst of them counts only up to where texts of other languages begin
         foreign = [(-t[m > 0, j] / m[m > 0] - centre[-1]) * np.sqrt(m[m > 0] / (m[m > 0] + 50.0)) for k, (t, m) in enumerate(held) if k != j]
         foreign = np.concatenate(foreign) if foreign else np.zeros(0)
         unlike = np.quantile(foreign, FOREIGN) if len(foreign) else np.log(model["size"]) - centre[-1]
-        reach.append(min(limit(own.max()), max(limit(np.quantile(own, USUAL)), unlike)))
+        # and few held-back texts may lie close together by chance: a part of the way to other languages is always open
+        reach.append(max(min(limit(own.max()), max(limit(np.quantile(own, USUAL)), unlike)), OPEN * unlike))
     return model | {"centre": np.array(centre), "reach": np.array(reach)}
 
 

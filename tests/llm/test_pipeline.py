@@ -49,3 +49,16 @@ def test_null_and_repeated_ids_keep_their_texts(spark):
     rows = [(i, t, "en", "a", len(t or "")) for i, t in [(None, texts[0]), (None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[2]), (7, texts[3]), (3, texts[4]), (7, texts[4]), (8, None), (8, ""), (9, " ")]]
     kept = cp.keep_one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), SF).collect()
     assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (3, texts[4]), (8, None), (8, ""), (9, " ")], key=str)
+
+
+def test_mixed_documents_come_in_order_of_position(spark):
+    rows = [(i, f"word{i} " * (20 + i), "en", "abc"[i % 3], 100) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = cp.mix_sources(docs).collect()
+    due = sorted((p, r.doc_id) for r in mixed if r["size"] for p in r.positions[: round(r.taken / r["size"])])
+    out = cp.mix(spark, docs, SF).collect()
+    assert [r.doc_id for r in out] == [d for _, d in due] and len(due) > 60
+    assert {(r.doc_id, r.text) for r in out} <= {(r[0], r[1]) for r in rows}
+    for r in mixed:
+        assert r.positions == sorted(r.positions) and r.position == (r.positions or [None])[0] and r.last_position == (r.positions or [None])[-1]
+        assert len(r.positions) == -(-r.taken // r["size"])
