@@ -152,7 +152,7 @@ def test_replies(spark):
 def test_requirement_replies(spark):
     good = '{"requirement_type":"GST","requirement_name":"n","description":"d","is_required":true,"source_document":"s","source_chunk_ids":["c"]}'
     replies = spark.createDataFrame([(1, f'{{"requirements":[{good},{good.replace(chr(34) + "c" + chr(34), "")},{good.replace("true", "null")}]}}'), (2, "no")], "query_id int, reply string")
-    assert [r.error for r in va.validate_requirements(replies).orderBy("ordinal").collect()] == [None, "source_chunk_ids", "is_required"]
+    assert [r.error for r in va.validate_requirements(replies).orderBy("ordinal").collect()] == ["invalid JSON", None, "source_chunk_ids", "is_required"]
 
 
 def test_adapters(spark):
