@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from basalt.llm.common import drop, materialise
 from basalt.llm.components import components
 
-TREES, LEAF, SPILL, BRANCH, LEVELS, SAMPLE, BLOCK = 12, 256, 0.08, 4096, 6, 4096, 2048
+TREES, LEAF, SPILL, BRANCH, LEVELS, SAMPLE, BLOCK = 12, 256, 0.08, 4096, 6, 4096, 512
 #: Vectors routed by a task at a time, and parts that the rows of a hot component are dealt to for a join.
 ROUTED, SALTS = 4096, 64
 
