@@ -69,7 +69,7 @@ def test_families_match_brute_force(spark, monkeypatch, width, percent):
     """Families of near copies around a text, chains, copies, and a passage that all share; groups small and large."""
     monkeypatch.setattr(nj, "SMALL", 3)
     monkeypatch.setattr(nj, "BLOCK", 7)
-    monkeypatch.setattr(nj, "HOT", 12)
+    monkeypatch.setattr(nj, "HOT", 12, raising=False)
     rng = random.Random(width)
     word = lambda: f"w{rng.randrange(400)}"
     passage = [word() for _ in range(25)]
@@ -188,7 +188,7 @@ def test_op8_sizes_of_doubles_and_branches_that_nothing_parts(spark, monkeypatch
 @pytest.mark.parametrize(("width", "percent"), [(4, 85), (2, 60)])
 def test_templates_match_brute_force(spark, monkeypatch, hot, width, percent):
     """Texts of a few templates, alike but mostly below the bound, and texts put together from shared passages."""
-    monkeypatch.setattr(nj, "HOT", hot)
+    monkeypatch.setattr(nj, "HOT", hot, raising=False)
     rng = random.Random(hot)
     word = lambda: f"w{rng.randrange(300)}"
     texts = {i: f"your parcel has left our store and will be with you on day {i}" for i in range(80)}
