@@ -1,6 +1,10 @@
 import collections
+import struct
+import zlib
+from bisect import bisect_left
 
 import pytest
+import xxhash
 
 from basalt.llm.mixing import OP4_SQL, mix_sources, op4_mix_sources
 from basalt.llm.sharding import lay_out, op9_ring_shards, ring_points, ring_shards
@@ -48,6 +52,33 @@ def test_ring_shards_whole_table(spark):
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(counts[s]))
 
 
+def test_ring_shards_by_brute_force(spark):
+    texts = [None, "", "é", "a" * 1000, "word"]
+    rows = [(i % 90 if i % 7 else None, texts[i % 5] if i % 3 else f"text {i}") for i in range(400)]
+    points = ring_points(6, 16)
+    seen, walkers = collections.Counter(), []
+    for doc_id, text in rows:
+        raw = (text or "").encode()
+        row = (doc_id, len(raw) + 8, zlib.crc32(raw))
+        h = 42
+        for value, kind in (*((v, "<q") for v in row), (seen[row], "<i")):
+            h = h if value is None else xxhash.xxh64_intdigest(struct.pack(kind, value), seed=h)
+        h -= (h >> 63) << 64
+        walkers.append((bisect_left([p for p, _ in points], h) % len(points), h, doc_id is not None, doc_id or 0, row[1:], seen[row], row))
+        seen[row] += 1
+    ranks, keyed = collections.Counter(), {}
+    for arc, *_, row in sorted(walkers):
+        keyed[arc, ranks[arc]] = row
+        ranks[arc] += 1
+    filled, want = collections.Counter(), []
+    for key, shard in place_one_by_one(list(keyed), points, 6).items():
+        want.append((*keyed[key], shard, filled[shard]))
+        filled[shard] += 1
+    got = ring_shards(spark.createDataFrame(rows, "doc_id long, text string"), 6, 16).collect()
+    assert {(r.law, r.grown_shard) for r in got} == {("rows", None)}
+    assert sorted(((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_growth_moves_little(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     a = {r.doc_id: r.shard for r in ring_shards(docs, 24).collect()}
