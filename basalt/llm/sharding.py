@@ -96,4 +96,5 @@ def ring_shards(docs: DataFrame, shards: int = 24, vnodes: int = 128, id_col: st
 
 
 def op9_ring_shards(spark, sf_dir: str) -> DataFrame:
+    """ring_shards over all documents; its cases hold."""
     return ring_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"))
