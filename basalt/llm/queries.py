@@ -9,6 +9,7 @@ from basalt.llm.mixing import OP4_SQL, op4_mix_sources
 from basalt.llm.ngram_join import op7_shingle_join
 from basalt.llm.sentence_pieces import op3_sentence_pieces
 from basalt.llm.sharding import op9_ring_shards
+from basalt.llm.substring_dedup import OP11_SQL, op11_substring_dedup
 from basalt.llm.tiff import op6_tiff_media
 from basalt.llm.toxicity import op5_toxicity
 from basalt.llm.warc import OP1_SQL, op1_warc
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_ring_shards": op9_ring_shards,
     "op10_html_text": op10_html_text,
+    "op11_substring_dedup": op11_substring_dedup,
 }
 
 #: All pairs are met here, so this is for small tables.
@@ -54,4 +56,4 @@ WITH RECURSIVE v AS (
 SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id) AS n_links, m.c AS component_id, m.c = e.vec_id AS kept FROM embeddings e JOIN m ON m.vec_id = e.vec_id
 """
 
-ORACLE_SQL = {"op1_warc": OP1_SQL, "op4_mix_sources": OP4_SQL, "op7_shingle_join": OP7_SQL, "op8_embedding_dedup": OP8_SQL}
+ORACLE_SQL = {"op1_warc": OP1_SQL, "op4_mix_sources": OP4_SQL, "op7_shingle_join": OP7_SQL, "op8_embedding_dedup": OP8_SQL, "op11_substring_dedup": OP11_SQL}
