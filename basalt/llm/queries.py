@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from basalt.llm.conversation_repair import OP12_SQL, op12_conversation_repair
 from basalt.llm.embedding_dedup import op8_embedding_dedup
 from basalt.llm.html_text import op10_html_text
 from basalt.llm.language_id import op2_language_id
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_ring_shards": op9_ring_shards,
     "op10_html_text": op10_html_text,
     "op11_substring_dedup": op11_substring_dedup,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
 #: All pairs are met here, so this is for small tables.
@@ -56,4 +58,4 @@ WITH RECURSIVE v AS (
 SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id) AS n_links, m.c AS component_id, m.c = e.vec_id AS kept FROM embeddings e JOIN m ON m.vec_id = e.vec_id
 """
 
-ORACLE_SQL = {"op1_warc": OP1_SQL, "op4_mix_sources": OP4_SQL, "op7_shingle_join": OP7_SQL, "op8_embedding_dedup": OP8_SQL, "op11_substring_dedup": OP11_SQL}
+ORACLE_SQL = {"op1_warc": OP1_SQL, "op4_mix_sources": OP4_SQL, "op7_shingle_join": OP7_SQL, "op8_embedding_dedup": OP8_SQL, "op11_substring_dedup": OP11_SQL, "op12_conversation_repair": OP12_SQL}
