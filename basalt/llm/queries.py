@@ -6,6 +6,7 @@ from basalt.llm.conversation_repair import OP12_SQL, op12_conversation_repair
 from basalt.llm.embedding_dedup import op8_embedding_dedup
 from basalt.llm.html_text import op10_html_text
 from basalt.llm.language_id import op2_language_id
+from basalt.llm.lexical_search import OP13_SQL, op13_lexical_search
 from basalt.llm.mixing import OP4_SQL, op4_mix_sources
 from basalt.llm.ngram_join import op7_shingle_join
 from basalt.llm.sentence_pieces import op3_sentence_pieces
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_html_text": op10_html_text,
     "op11_substring_dedup": op11_substring_dedup,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 #: All pairs are met here, so this is for small tables.
@@ -58,4 +60,4 @@ WITH RECURSIVE v AS (
 SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id) AS n_links, m.c AS component_id, m.c = e.vec_id AS kept FROM embeddings e JOIN m ON m.vec_id = e.vec_id
 """
 
-ORACLE_SQL = {"op1_warc": OP1_SQL, "op4_mix_sources": OP4_SQL, "op7_shingle_join": OP7_SQL, "op8_embedding_dedup": OP8_SQL, "op11_substring_dedup": OP11_SQL, "op12_conversation_repair": OP12_SQL}
+ORACLE_SQL = {"op1_warc": OP1_SQL, "op4_mix_sources": OP4_SQL, "op7_shingle_join": OP7_SQL, "op8_embedding_dedup": OP8_SQL, "op11_substring_dedup": OP11_SQL, "op12_conversation_repair": OP12_SQL, "op13_lexical_search": OP13_SQL}
