@@ -52,12 +52,16 @@ def test_null_and_repeated_ids_keep_their_texts(spark):
 
 
 def test_mixed_documents_come_in_order_of_position(spark):
-    rows = [(i, f"word{i} " * (20 + i), "en", "abc"[i % 3], 100) for i in range(60)]
+    # of 1200 words, a, b and c with weights 1, 2 and 3 get 200, 400 and 600: a quarter, twice and three times what they have
+    rows = [(i, f"word{i} " * 20, "en", "a" * 40 + "b" * 10 + "c" * 10, 100) for i in range(60)]
+    rows = [(i, text, lang, sources[i], n) for i, text, lang, sources, n in rows]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     mixed = cp.mix_sources(docs).collect()
     due = sorted((p, r.doc_id) for r in mixed if r["size"] for p in r.positions[: round(r.taken / r["size"])])
     out = cp.mix(spark, docs, SF).collect()
-    assert [r.doc_id for r in out] == [d for _, d in due] and len(due) > 60
+    assert [r.doc_id for r in out] == [d for _, d in due]
+    times = collections.Counter(r.doc_id for r in out)
+    assert all(times[i] == (2 if i < 50 else 3) for i in range(40, 60)) and sum(times[i] for i in range(40)) == 10
     assert {(r.doc_id, r.text) for r in out} <= {(r[0], r[1]) for r in rows}
     for r in mixed:
         assert r.positions == sorted(r.positions) and r.position == (r.positions or [None])[0] and r.last_position == (r.positions or [None])[-1]
