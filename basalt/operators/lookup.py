@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from basalt.sources.shared import new_path
 
 
 def by_value(df: DataFrame, **equal) -> DataFrame:
@@ -75,20 +78,30 @@ def upsert(old: DataFrame, new: DataFrame, key: str, order: tuple = ()) -> DataF
     return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 
-def append(stored: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
-    """stored and rows, which get the keys that follow the largest stored one.
+def numbered(rows: DataFrame, order: list[str], name: str, start: int = 0) -> DataFrame:
+    """rows with a gapless number above `start` in the column `name`, in order of the columns told (the rest breaks ties).
 
-    Keys are dealt in two steps, by partition and within it, so that no task numbers all rows.
+    The rows are range-partitioned by that order and written to the shared folder first; a number is the place of a row
+    within its file and the rows of the files before. Both are facts of stored data, so they stay whatever is selected
+    later, and whichever task is run again. Nothing but a count a file meets in one task.
     """
-    parts = rows.withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__at", 33))
-    parts = parts.withColumn("__nth", F.col("__at").bitwiseAND((1 << 33) - 1))
-    sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))  # a row a partition
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    start = stored.agg(F.coalesce(F.max(key), F.lit(0)).alias("__top"))
-    kind = stored.schema[key].dataType
-    dealt = parts.join(sizes.select("__part", before.alias("__before")), "__part").crossJoin(F.broadcast(start))  # one row
-    fresh = dealt.withColumn(key, (F.col("__top") + F.col("__before") + F.col("__nth") + 1).cast(kind))
-    return stored.unionByName(fresh.select(*stored.columns), allowMissingColumns=False)
+    spark = rows.sparkSession
+    rest = [f.name for f in rows.schema if f.name not in order and isinstance(f.dataType, T.AtomicType)]
+    by = [F.asc_nulls_last(c) for c in [*order, *rest]]
+    path = new_path(spark, "numbered")
+    (rows.repartitionByRange(*by).sortWithinPartitions(*by) if by else rows).write.parquet(path)
+    told = spark.read.schema(rows.schema).parquet(path).select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__nth"))
+    files = told.groupBy("__file").agg(F.count(F.lit(1)).alias("__n"))  # a row a file; their names are in order of the partitions
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = told.join(files.select("__file", before.alias("__before")), "__file")
+    return out.withColumn(name, F.col("__before") + F.col("__nth") + F.lit(start + 1)).select(*[c for c in rows.columns if c != name], name)
+
+
+def append(stored: DataFrame, rows: DataFrame, key: str = "id", order: list[str] | None = None) -> DataFrame:
+    """stored and rows, which get the keys that follow the largest stored one, in `order` (by default that of the key they came with)."""
+    top = stored.agg(F.coalesce(F.max(key), F.lit(0))).first()[0]
+    fresh = numbered(rows, [key] if order is None and key in rows.columns else order or [], key, top)
+    return stored.unionByName(fresh.withColumn(key, F.col(key).cast(stored.schema[key].dataType)).select(*stored.columns))
 
 
 def create(rows: DataFrame, stored: DataFrame, keys: list[str], order: list[str], parents: DataFrame | None = None, parent: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -100,7 +113,7 @@ def create(rows: DataFrame, stored: DataFrame, keys: list[str], order: list[str]
     fresh, conflicts = accept_new(rows, stored, keys, order) if keys else (rows, rows.limit(0))
     faults.append(conflicts.withColumn("error", F.lit("already exists: " + ", ".join(keys))))
     rejected = faults[0] if len(faults) == 1 else faults[0].unionByName(faults[1])
-    return append(stored, fresh), rejected
+    return append(stored, fresh, order=order), rejected
 
 
 def begin(rows: DataFrame, at: Column | None = None) -> DataFrame:

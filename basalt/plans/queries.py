@@ -560,4 +560,5 @@ def update_latest(spark, sf_dir):
     return lk.update_latest(rows, values, "bid_document_id", "extraction_status").select("id", "bid_document_id", "extraction_status")
 
 
-from basalt.plans import stored as _stored  # noqa: E402, F401 (its queries register themselves)
+from basalt.plans import changing as _changing  # noqa: E402, F401 (their queries register themselves)
+from basalt.plans import stored as _stored  # noqa: E402, F401

@@ -17,6 +17,7 @@ from basalt.plans import queries as qs
 from basalt.plans.queries import query
 from basalt.sources import collections as cs
 from basalt.sources import providers as pv
+from basalt.sources.shared import shared_folder
 
 DOCUMENTS = "SELECT c_custkey AS id, c_custkey * 11 AS bid_submission_id, concat('file', CAST(c_custkey AS varchar), CASE WHEN c_custkey % 4 = 0 THEN '.PDF' WHEN c_custkey % 4 = 1 THEN '.pdf' WHEN c_custkey % 4 = 2 THEN '.txt' ELSE '/' END) AS file_name, CASE c_custkey % 5 WHEN 0 THEN 'UPLOADED' WHEN 1 THEN 'PENDING' WHEN 2 THEN 'FAILED' WHEN 3 THEN 'COMPLETED' ELSE 'ARCHIVED' END AS status FROM customer"
 ASSESSMENTS = "SELECT o_orderkey AS id, o_custkey AS bid_submission_id, CASE o_orderstatus WHEN 'F' THEN 'NON_COMPLIANT' WHEN 'O' THEN 'COMPLIANT' ELSE 'REVIEW' END AS status, o_orderdate AS created_at FROM orders"
@@ -368,8 +369,8 @@ def collection_rows(spark, sf_dir):
     """Chunks put into a collection of the shared folder, and read back."""
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    store = cs.open_collection(spark, root, f"chunks-{uuid.uuid4().hex[:12]}")
+    root = shared_folder(spark)
+    store = cs.open_collection(spark, root, f"chunks-{uuid.uuid4().hex[:12]}", buckets=8)
     rows = table(spark, sf_dir, dm.CHUNKS)
     store.add(rows.select("chunk_id", F.lit("").alias("text"), "source_document", F.lit(0).alias("chunk_index"), "embedding"))
     again = cs.open_collection(spark, root, store.name).read()

@@ -1,42 +1,55 @@
-"""Vector collections: a Parquet folder each, opened or created by name. And settings with defaults."""
+"""Vector collections: a stored table of chunks each, opened or created by name. And settings with defaults."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from basalt.operators import vectors as ve
+from basalt.sources.tables import BUCKETS, KeyedTable, open_table
 
 SCHEMA = "chunk_id string, text string, source_document string, chunk_index int, embedding array<float>"
 
 
 @dataclass(frozen=True)
 class Collection:
-    """A named collection under a folder that driver and executors share."""
+    """A named collection under a folder that driver and executors share: one row a chunk_id."""
 
-    spark: SparkSession
-    root: str
     name: str
-    schema: str = SCHEMA
+    table: KeyedTable
 
     @property
     def path(self) -> str:
-        return f"{self.root.rstrip('/')}/{self.name}.parquet"
+        return self.table.path
 
     def read(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.path)
+        return self.table.read()
+
+    def count(self) -> int:
+        return self.table.read().agg(F.count(F.lit(1))).first()[0]
+
+    def add(self, rows: DataFrame, order: tuple[str, ...] = ()) -> None:
+        """Put chunks in, in place of those of their ids; further chunks of a document that has shrunk stay."""
+        self.table.upsert(rows, order)
+
+    def add_embedded(self, chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
+        """Put chunks in with their embeddings, by document and place. Documents whose numbers differ are left out whole, and returned with an error."""
+        paired, faults = ve.pair_chunks(chunks, embeddings)
+        self.add(paired)
+        return faults
 
-    def add(self, rows: DataFrame) -> None:
-        """Append rows; Spark's commit makes all of them visible or none."""
-        rows.select(*self.read().columns).write.mode("append").parquet(self.path)
+    def delete(self, gone: DataFrame) -> None:
+        """Take the chunks of some ids (chunk_id) out; no ids, nothing to do."""
+        self.table.delete(gone)
 
 
-def open_collection(spark: SparkSession, root: str, name: str, schema: str = SCHEMA) -> Collection:
+def open_collection(spark: SparkSession, root: str, name: str, schema: str = SCHEMA, buckets: int = BUCKETS) -> Collection:
     """The collection of that name, made empty if it isn't there."""
     if not name.strip():
         raise ValueError("a collection needs a name")
-    found = Collection(spark, root, name, schema)
-    spark.createDataFrame([], schema).write.mode("ignore").parquet(found.path)
-    return found
+    return Collection(name, open_table(spark, f"{root.rstrip('/')}/{name}.parquet", schema, "chunk_id", buckets))
 
 
 @dataclass(frozen=True)
