@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from basalt.operators import attempts as at
 from basalt.operators import incremental as inc
 from basalt.plans import domain as dm
+from basalt.plans import made
 from basalt.plans import queries as qs
 from basalt.plans.queries import query
 from basalt.sources import collections as cs
+from basalt.sources import pdf
 from basalt.sources.shared import new_path, shared_folder, stored
 from basalt.sources.tables import open_table
 
@@ -75,3 +77,9 @@ def recovered_attempts(spark, sf_dir):
     tried.end(ids.where("id % 3 = 0").withColumn("error_message", F.lit(None).cast("string")))
     tried.recover(ids, lambda rows: rows.withColumn("error_message", F.when(F.col("id") % 4 == 0, "unreadable")))
     return tried.table.read().select("id", "extraction_status", "error_message", "tries")
+
+
+@query(f"SELECT concat('document', CAST(document_id AS varchar), '.pdf') AS path, page_number, text, NULL AS error FROM ({dm.PAGES})".replace("varchar", "VARCHAR"))
+def native_pages(spark, sf_dir):
+    """The text of all pages of PDF files, which are made of the conversations' turns."""
+    return pdf.pages(made.pdf_files(dm.sql(spark, sf_dir, dm.PAGES)))

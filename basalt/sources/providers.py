@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from basalt.functions.text import is_blank, is_pdf, normalise
 from basalt.schemas import RECORD_FIELDS
+from basalt.sources import pdf
 
 # Words that tell document types and requirement types, and the patterns of fields.
 DOCUMENT_WORDS = {
@@ -127,13 +128,15 @@ PAGE_SCHEMA = "path string, page_number int, text string, error string"
 def pdf_pages(spark: SparkSession, path: str, dpi: int | None = None, language: str = "eng") -> DataFrame:
     """path, page_number (from 1), text, error for every page of the PDFs under path; with dpi, by OCR.
 
-    Files that can't be opened give a row with the error. The reading library is optional.
+    Files that can't be opened give a row with the error. Text is read natively; the libraries that OCR needs are optional.
     """
     if dpi is not None and dpi <= 0:
         raise ValueError("DPI must be greater than zero")
     if not language.strip():
         raise ValueError("OCR language cannot be empty")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    if dpi is None:
+        return pdf.pages(files)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         has = importlib.util.find_spec("fitz")
@@ -151,17 +154,15 @@ def pdf_pages(spark: SparkSession, path: str, dpi: int | None = None, language:
     return files.mapInPandas(read, PAGE_SCHEMA)
 
 
-def page_texts(content: bytes, dpi: int | None, language: str) -> list[str]:
+def page_texts(content: bytes, dpi: int, language: str) -> list[str]:
     import fitz
 
-    with fitz.open(stream=content, filetype="pdf") as pdf:
-        if dpi is None:
-            return [page.get_text() for page in pdf]
+    with fitz.open(stream=content, filetype="pdf") as file:
         import pytesseract
         from PIL import Image
 
         out = []
-        for page in pdf:
+        for page in file:
             picture = page.get_pixmap(matrix=fitz.Matrix(dpi / 72, dpi / 72), alpha=False)
             out.append(pytesseract.image_to_string(Image.frombytes("RGB", (picture.width, picture.height), picture.samples), lang=language))
         return out
