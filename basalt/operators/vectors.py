@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from basalt.operators import nearest as nn
 from basalt.operators.lookup import delete, upsert
 
 
@@ -28,30 +29,25 @@ def top_k(chunks: DataFrame, query: list[float], k: int = 5, source_document: st
     return rows.withColumn("distance", squared_distance("embedding", "__q")).drop("__q").orderBy("distance", "chunk_id").limit(k)
 
 
-#: Query vectors broadcast at a time, about.
+#: Query vectors that are broadcast, at most.
 BLOCK = 1000
 
 
 def top_k_many(chunks: DataFrame, queries: DataFrame, k: int = 5, columns: tuple[str, ...] = ()) -> DataFrame:
-    """query_id, chunk_id, distance, rank for each query (query_id, query_vector): blocks of queries against all chunks.
+    """query_id, chunk_id, distance, rank for each query (query_id, query_vector). Null vectors and vectors of another length are near nothing.
 
-    Queries are counted and dealt to blocks by hash, so what is broadcast doesn't grow with them. A batch of chunks
-    meets a block by one matrix product; those that can be among a task's k nearest are measured exactly, and only
-    they are shuffled. Null vectors and vectors of another length are near nothing.
+    Up to BLOCK queries are broadcast: a batch of chunks meets them by one matrix product, those that can be among a task's k
+    nearest are measured exactly, and only they are shuffled. More queries meet the chunks in a grid of tasks, by
+    nearest.nearest, which reads the chunks a fixed number of times, and tells vectors by the length that chunks have.
     """
-    spark = chunks.sparkSession
-    blocks = max(1, -(-queries.count() // BLOCK))
+    if queries.count() > BLOCK:
+        return nn.nearest(nn.build(chunks, columns), queries, k)[0]
     nearest = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
     kinds = {f.name: f.dataType for f in chunks.schema}
     schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), *[T.StructField(c, kinds[c]) for c in ("chunk_id", *columns)], T.StructField("distance", T.DoubleType())])
-    out = None
-    for n in range(blocks):
-        block = queries if blocks <= 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)
-        asked = block.where("query_vector is not null").select("query_id", "query_vector").toArrow()  # about BLOCK rows
-        near = chunks.where("embedding is not null").select("chunk_id", *columns, "embedding").mapInArrow(nearest_of(spark.sparkContext.broadcast(asked), k), schema)
-        near = near.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "chunk_id", *columns, "distance", "rank")
-        out = near if out is None else out.union(near)
-    return out
+    asked = queries.where("query_vector is not null").select("query_id", "query_vector").toArrow()  # BLOCK rows at most
+    near = chunks.where("embedding is not null").select("chunk_id", *columns, "embedding").mapInArrow(nearest_of(chunks.sparkSession.sparkContext.broadcast(asked), k), schema)
+    return near.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "chunk_id", *columns, "distance", "rank")
 
 
 def nearest_of(shared, k: int):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from basalt.operators import attempts as at
 from basalt.operators import incremental as inc
+from basalt.operators import nearest as nn
 from basalt.plans import domain as dm
 from basalt.plans import made
 from basalt.plans import queries as qs
@@ -83,3 +84,12 @@ def recovered_attempts(spark, sf_dir):
 def native_pages(spark, sf_dir):
     """The text of all pages of PDF files, which are made of the conversations' turns."""
     return pdf.pages(made.pdf_files(dm.sql(spark, sf_dir, dm.PAGES)))
+
+
+@query(qs.ORACLE_SQL["vector_topk_multi"])
+def nearest_pruned(spark, sf_dir):
+    """The same hits as vector_topk_multi, by pivots and the triangle inequality."""
+    chunks = dm.sql(spark, sf_dir, dm.CHUNKS)
+    queries = chunks.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    hits, _ = nn.nearest(nn.build(chunks), queries)
+    return hits.select("query_id", "chunk_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("bigint").alias("rank"))

@@ -6,12 +6,15 @@ in for a default by mapInPandas, with one client for each partition.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import importlib.util
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,23 +78,25 @@ def extract_requirements(chunks: DataFrame) -> DataFrame:
     return rows.select("source_document", "chunk_id", "ordinal", kind.alias("requirement_type"), F.when(F.char_length(plain) <= 255, plain).otherwise(F.concat(F.substring(plain, 1, 222), F.lit(" "), F.md5(plain))).alias("requirement_name"), "description", F.lower("description").rlike(r"\b(must|shall|required|mandatory)\b").alias("is_required"))
 
 
+@functools.lru_cache(1 << 20)
+def code_of(word: str) -> int:
+    return int(hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()[:8], 16)
+
+
 def embed(rows: DataFrame, text: str = "text", dim: int = 64) -> DataFrame:
     """rows with embedding: words hashed with signs into three of `dim` places each, scaled to length one. Blank texts embed as null."""
 
-    @F.pandas_udf("array<float>")
-    def hashed(texts: pd.Series) -> pd.Series:
-        out = []
-        known: dict[str, int] = {}
-        for t in texts:
-            words = t.split(" ") if t else []
-            for w in words:
-                if w not in known:
-                    known[w] = int(hashlib.md5(w.encode(), usedforsecurity=False).hexdigest()[:8], 16)
-            codes = np.fromiter((known[w] for w in words), np.int64, len(words))
-            v = sum(np.bincount((codes >> k) % dim, np.where(codes >> k + 9 & 1, 1.0, -1.0), dim) for k in (0, 10, 20))
-            n = np.sqrt(v @ v)
-            out.append((v / n).astype(np.float32) if n else None)
-        return pd.Series(out)
+    @F.arrow_udf("array<float>")
+    def hashed(texts: pa.Array) -> pa.Array:
+        words = pc.split_pattern(texts, " ")
+        told = words.flatten().dictionary_encode()
+        codes = np.array([code_of(w) for w in told.dictionary.to_pylist()], np.int64)[told.indices.to_numpy()] if len(told) else np.zeros(0, np.int64)
+        row = np.repeat(np.arange(len(texts)), pc.list_value_length(words).to_numpy())
+        codes, row = (x[pc.not_equal(told.cast(pa.string()), "").to_numpy(zero_copy_only=False)] for x in (codes, row))
+        sums = sum(np.bincount(row * dim + (codes >> k) % dim, np.where(codes >> k + 9 & 1, 1.0, -1.0), len(texts) * dim) for k in (0, 10, 20)).reshape(-1, dim)
+        length = np.sqrt((sums * sums).sum(1))
+        scaled = (sums / np.where(length > 0, length, 1.0)[:, None]).astype(np.float32)
+        return pa.ListArray.from_arrays(np.arange(0, (len(texts) + 1) * dim, dim, dtype=np.int32), scaled.ravel(), mask=pa.array(length == 0))
 
     return rows.withColumn("embedding", hashed(F.coalesce(F.lower(normalise(F.col(text))), F.lit(""))))
 

@@ -42,3 +42,29 @@ def test_settings_of_the_session(spark):
         cs.open_collection(spark, "/tmp", " ")
     with pytest.raises(ValueError, match="unsupported"):
         pv.reply_schema("UNKNOWN")
+
+
+def test_chunks_and_embeddings_of_long_texts(spark):
+    """Pieces of a long text take time in proportion; embeddings are those of each word by itself."""
+    import hashlib
+    import time
+
+    import numpy as np
+
+    text = "".join(f"word{k} 😀é " for k in range(300_000))
+    docs = spark.createDataFrame([("d", text)], "source_document string, text string")
+    began = time.perf_counter()
+    got = {r.chunk_index: r.text for r in tx.chunk(docs).collect()}
+    assert time.perf_counter() - began < 30
+    plain = " ".join(text.split())
+    assert len(got) == -(-(len(plain) - 1000) // 800) + 1 and all(got[k] == plain[800 * k : 800 * k + 1000].strip() for k in got)
+    rows = [(0, "A b  a"), (1, None), (2, " \t"), (3, "é " * 500), (4, "one")]
+    for r in pv.embed(spark.createDataFrame(rows, "id int, text string"), dim=16).collect():
+        words = (r.text or "").lower().split()
+        v = np.zeros(16)
+        for w in words:
+            code = int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
+            for k in (0, 10, 20):
+                v[(code >> k) % 16] += 1 if code >> k + 9 & 1 else -1
+        assert r.embedding is None if not v.any() else np.allclose(r.embedding, v / np.sqrt(v @ v))
+    assert pv.embed(spark.createDataFrame([], "text string")).count() == 0
