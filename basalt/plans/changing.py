@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from basalt.operators import attempts as at
 from basalt.operators import incremental as inc
+from basalt.operators import learned as ln
 from basalt.operators import nearest as nn
 from basalt.plans import domain as dm
 from basalt.plans import made
@@ -93,3 +94,24 @@ def nearest_pruned(spark, sf_dir):
     queries = chunks.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     hits, _ = nn.nearest(nn.build(chunks), queries)
     return hits.select("query_id", "chunk_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("SELECT (SELECT count(*) FROM customer) + (SELECT count(*) FROM documents) AS n_documents, 5 AS n_types, true AS accurate, true AS calibrated")
+def trained_types(spark, sf_dir):
+    """A classifier learned from certificates made of all customers and from all documents, and how it does on those held back."""
+    customers = dm.sql(spark, sf_dir, "SELECT c_custkey AS id, c_name AS name, CAST(c_acctbal AS varchar) AS phone FROM customer")
+    others = dm.sql(spark, sf_dir, "SELECT doc_id AS id, text FROM documents")
+    rows = made.certificates(customers, others).withColumn("wanted", F.col("document_type"))
+    model = ln.fit_types(rows)
+    out = model.classify(rows.withColumn("held_out", ln.held_out()))
+    right = F.when(F.col("held_out"), (F.col("document_type") == F.col("wanted")).cast("double"))
+    told = out.agg(F.count(F.lit(1)).alias("n_documents"), F.avg(right).alias("share"), F.avg(F.when(F.col("held_out"), F.col("confidence"))).alias("sure"))
+    return told.select("n_documents", F.lit(len(model.types)).alias("n_types"), (F.col("share") >= 0.95).alias("accurate"), (F.abs(F.col("share") - F.col("sure")) < 0.1).alias("calibrated"))
+
+
+@query("SELECT (SELECT count(*) FROM part) AS n_sentences, true AS precise, true AS complete")
+def trained_sentences(spark, sf_dir):
+    """A ranker of sentences learned from tender sentences made of all parts, and its precision and recall on those held back."""
+    rows = made.tender_sentences(dm.sql(spark, sf_dir, "SELECT p_partkey AS id, p_name AS name FROM part"))
+    _, told = ln.fit_sentences(rows)
+    return told.select((F.col("precision") >= 0.95).alias("precise"), (F.col("recall") >= 0.95).alias("complete")).crossJoin(rows.agg(F.count(F.lit(1)).alias("n_sentences")))  # a row each

@@ -76,3 +76,33 @@ def pdf_files(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([f"document{n}.pdf" for n in batch.column(0)]), pa.array(made, pa.binary())], names=["path", "content"])
 
     return told.mapInArrow(run, "path string, content binary")
+
+
+def certificates(customers: DataFrame, others: DataFrame) -> DataFrame:
+    """id, document_type, text: certificates made of customers (id, name, phone: any text), of four types, and other texts (id, text) of none.
+
+    The wording varies by a hash of the id, so that no single word tells a type.
+    """
+    nth = lambda n, m: F.pmod(F.xxhash64("id", F.lit(n)), F.lit(m))
+    pick = lambda n, *of: F.element_at(F.array(*[F.lit(x) for x in of]), (nth(n, len(of)) + 1).cast("int"))
+    bodies = {
+        "GST_CERTIFICATE": F.concat_ws(" ", pick(1, "Registration certificate under the goods and services tax act.", "Form REG-06, Government of India.", "Certificate of registration, GST department."), pick(2, "Legal name", "Trade name"), F.col("name"), pick(3, "Constitution of business: partnership.", "Taxable person: regular.", "Date of liability is given below."), F.lit("GSTIN"), F.col("phone")),
+        "UDYAM_CERTIFICATE": F.concat_ws(" ", pick(1, "Udyam registration certificate.", "Ministry of micro, small and medium enterprises.", "Certificate of an MSME."), pick(2, "Name of enterprise", "Enterprise"), F.col("name"), pick(3, "Major activity: services.", "Type of organisation: proprietary.", "Social category of entrepreneur: general."), F.col("phone")),
+        "INCOME_TAX": F.concat_ws(" ", pick(1, "Indian income tax return acknowledgement.", "Return of income for the assessment year 2024-25.", "Form ITR-V, verification."), F.col("name"), pick(2, "Gross total income", "Total income", "Taxes paid"), F.col("phone"), pick(3, "Date of filing is stamped.", "Acknowledgement number below.", "Aggregate liability is nil.")),
+        "PAN": F.concat_ws(" ", pick(1, "Permanent account number card.", "Income tax department, PAN.", "Allotment of a permanent account number."), pick(2, "Name", "Holder"), F.col("name"), pick(3, "Date of birth follows.", "Father's name follows.", "Signature below."), F.col("phone")),
+    }
+    made = F.lit(None).cast("string")
+    for n, body in enumerate(bodies.values()):
+        made = F.when(nth(0, 4) == n, body).otherwise(made)
+    kind = F.element_at(F.array(*[F.lit(k) for k in bodies]), (nth(0, 4) + 1).cast("int"))
+    return customers.select("id", kind.alias("document_type"), made.alias("text")).union(others.select("id", F.lit("UNKNOWN"), "text"))
+
+
+def tender_sentences(rows: DataFrame) -> DataFrame:
+    """id, description, ordinal, n_sentences, is_requirement: sentences of tenders made of rows (id, name): half oblige the bidder, half don't, whatever their verbs."""
+    nth = lambda n, m: F.pmod(F.xxhash64("id", F.lit(n)), F.lit(m))
+    pick = lambda n, *of: F.element_at(F.array(*[F.lit(x) for x in of]), (nth(n, len(of)) + 1).cast("int"))
+    duty = F.concat_ws(" ", pick(1, "The bidder", "Every tenderer", "The applicant firm", "Each supplier", "The contractor"), pick(2, "must", "shall", "is required to", "has to", "should", "needs to", "is to"), pick(3, "submit", "furnish", "hold", "provide proof of", "possess", "enclose"), pick(4, "a valid certificate for", "two years of experience in", "an audited statement on", "samples of"), F.concat("name", F.lit(".")))
+    other = F.concat_ws(" ", pick(1, "The authority", "The department", "This notice", "The committee", "The office"), pick(2, "must have been informed about", "may publish", "will pay for", "was founded to sell", "describes", "should soon open", "can cancel"), pick(3, "the parts named", "a catalogue of", "last year's", "the colours of"), F.concat("name", pick(4, ".", "!", " in 2023.", " as before.")))
+    duty_next = nth(0, 2) == 0
+    return rows.select("id", F.when(duty_next, duty).otherwise(other).alias("description"), nth(5, 12).cast("int").alias("ordinal"), F.lit(12).alias("n_sentences"), duty_next.alias("is_requirement"))
