@@ -8,6 +8,8 @@ from basalt.operators import attempts as at
 from basalt.operators import incremental as inc
 from basalt.operators import learned as ln
 from basalt.operators import nearest as nn
+from basalt.operators import rollups as rl
+from basalt.operators import temporal as tm
 from basalt.plans import domain as dm
 from basalt.plans import made
 from basalt.plans import queries as qs
@@ -115,3 +117,47 @@ def trained_sentences(spark, sf_dir):
     rows = made.tender_sentences(dm.sql(spark, sf_dir, "SELECT p_partkey AS id, p_name AS name FROM part"))
     _, told = ln.fit_sentences(rows)
     return told.select((F.col("precision") >= 0.95).alias("precise"), (F.col("recall") >= 0.95).alias("complete")).crossJoin(rows.agg(F.count(F.lit(1)).alias("n_sentences")))  # a row each
+
+
+@query("""
+WITH v AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'view'), e AS (SELECT user_id, ts, event_id AS other, event_type, value FROM events WHERE event_type <> 'view')
+SELECT v.event_id, v.user_id, e.ts AS found_at, e.other, e.event_type, e.value FROM v ASOF LEFT JOIN e ON v.user_id = e.user_id AND v.ts >= e.ts
+""")
+def events_before_views(spark, sf_dir):
+    """The last other event of a user before each view."""
+    rows = dm.sql(spark, sf_dir, "SELECT event_id, user_id, ts, event_type, value FROM events")
+    others = rows.where("event_type <> 'view'").withColumnRenamed("event_id", "other")
+    out = tm.as_of(rows.where("event_type = 'view'").select("event_id", "user_id", "ts"), others, "user_id", "ts", ["other", "event_type", "value"], tie="other")
+    return out.drop("ts")
+
+
+SESSIONS = "SELECT event_id, user_id, ts AS starts, ts + INTERVAL 30 MINUTE AS ends, event_type FROM events"
+
+
+@query(f"SELECT a.event_id, b.event_id AS other FROM ({SESSIONS}) a JOIN ({SESSIONS}) b ON a.user_id = b.user_id AND a.starts < b.ends AND b.starts < a.ends WHERE a.event_type = 'error' AND b.event_type <> 'error'")
+def errors_meeting_others(spark, sf_dir):
+    """Pairs of an error and another event of the same user within half an hour of each other."""
+    rows = dm.sql(spark, sf_dir, SESSIONS)
+    others = rows.where("event_type <> 'error'").select("user_id", "starts", "ends", F.col("event_id").alias("other"))
+    return tm.overlapping(rows.where("event_type = 'error'"), others, "user_id", "starts", "ends", ["other"], seconds=3600).select("event_id", "other")
+
+
+ORDER_CELLS = "SELECT CAST(o_orderkey % 100 AS int) AS tender_id, o_orderstatus AS status, year(o_orderdate) AS year, o_custkey, o_totalprice FROM orders"
+
+
+@query(f"SELECT tender_id, status, year, CASE WHEN grouping(tender_id) = 0 THEN 'tender_id,' ELSE '' END || CASE WHEN grouping(status) = 0 THEN 'status,' ELSE '' END || CASE WHEN grouping(year) = 0 THEN 'year,' ELSE '' END AS level, count(*) AS n, round(sum(o_totalprice), 2) AS total, min(o_totalprice) AS least, max(o_totalprice) AS most, true AS distinct_near, true AS median_near FROM ({ORDER_CELLS}) GROUP BY CUBE (tender_id, status, year)")
+def rolled_up_orders(spark, sf_dir):
+    """Submissions rolled up by all sets of tender, status and year from stored cells, with sketches held against exact figures."""
+    rows = dm.sql(spark, sf_dir, ORDER_CELLS)
+    keys = ["tender_id", "status", "year"]
+    cells = stored(rl.measured(rows, keys, "o_custkey", "o_totalprice"), "cells")
+    told = rl.read_off(rl.grouping_sets(cells, keys), (0.5,))
+    exact = rows.cube(*keys).agg(F.count_distinct("o_custkey").alias("people"), F.percentile("o_totalprice", F.array(F.lit(0.4), F.lit(0.6))).alias("middle"), F.grouping_id().alias("g"))
+    exact = exact.withColumn("level", F.array_join(F.array_compact(F.array(*[F.when(F.expr(f"g & {4 >> n} = 0"), k) for n, k in enumerate(keys)])), ",")).alias("x")
+    same = F.col("t.level") == F.col("x.level")
+    for k in keys:
+        same = same & F.col(f"t.{k}").eqNullSafe(F.col(f"x.{k}"))
+    near = (F.abs(F.col("n_distinct") - F.col("people")) <= 1 + 0.08 * F.col("people")).alias("distinct_near")
+    middle = ((F.col("n") < 20) | F.col("q50").between(F.col("middle")[0] - 1, F.col("middle")[1] + 1)).alias("median_near")
+    level = F.when(F.col("t.level") == "", "").otherwise(F.concat("t.level", F.lit(","))).alias("level")
+    return told.alias("t").join(exact, same).select(*[f"t.{k}" for k in keys], level, "n", F.round(F.col("total").cast("double"), 2).alias("total"), "least", "most", near, middle)
