@@ -97,6 +97,17 @@ def numbered(rows: DataFrame, order: list[str], name: str, start: int = 0) -> Da
     return out.withColumn(name, F.col("__before") + F.col("__nth") + F.lit(start + 1)).select(*[c for c in rows.columns if c != name], name)
 
 
+def ranked(rows: DataFrame, key: str, order: list[str], name: str = "nth") -> DataFrame:
+    """rows with their place from 1 within their key, in order of the columns told (the rest breaks ties).
+
+    All rows are numbered in order of key, as numbered() does, and a key's first number is taken off: so a key with most of the
+    rows is spread over many tasks. Nulls of the order come last; a null key is one like others.
+    """
+    told = numbered(rows, [key, *order], "__number")
+    first = told.groupBy(key).agg(F.min("__number").alias("__first")).withColumnRenamed(key, "__key")
+    return told.join(first, F.col(key).eqNullSafe(F.col("__key"))).withColumn(name, F.col("__number") - F.col("__first") + 1).drop("__number", "__first", "__key")
+
+
 def append(stored: DataFrame, rows: DataFrame, key: str = "id", order: list[str] | None = None) -> DataFrame:
     """stored and rows, which get the keys that follow the largest stored one, in `order` (by default that of the key they came with)."""
     top = stored.agg(F.coalesce(F.max(key), F.lit(0))).first()[0]

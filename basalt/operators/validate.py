@@ -99,6 +99,28 @@ def provider_status(success: str = "success", status: str = "verification_status
     return F.coalesce(F.when(F.col(success), good).otherwise(F.col(status).isin("PENDING", "ERROR")), F.lit(False))
 
 
+RECORD = "struct<success:boolean,provider:string,identifier:string,verification_status:string,data:map<string,string>,message:string,errors:array<string>>"
+
+
+def provider_record(results: DataFrame, provider: str = "provider", success: str = "success", identifier: str = "identifier", status: str = "verification_status", data: str = "data", message: str = "message", errors: str = "errors") -> DataFrame:
+    """results with `record`, what every verification provider returns, and `faults`, the names of its members that are out of order.
+
+    A record names its provider and identifier, says whether the provider worked, and a status that goes with that; one that
+    worked has no errors, one that didn't has a message or errors, and data only with VERIFIED. Missing data are an empty map,
+    missing errors an empty list, errors that are blank are left out. Repeated rows fare alike; empty table: no rows.
+    """
+    blank = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
+    told = F.filter(F.coalesce(F.col(errors), F.array().cast("array<string>")), lambda e: F.coalesce(F.trim(e), F.lit("")) != "")
+    held = F.coalesce(F.col(data), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
+    record = F.struct(F.col(success).alias("success"), F.col(provider).alias("provider"), F.col(identifier).alias("identifier"), F.col(status).alias("verification_status"), held.alias("data"), F.col(message).alias("message"), told.alias("errors")).cast(RECORD)
+    failed = ~F.coalesce(F.col(success), F.lit(False))
+    faults = {
+        "success": F.col(success).isNull(), "provider": blank(provider), "identifier": blank(identifier), "verification_status": ~provider_status(success, status),
+        "data": (F.size(held) > 0) & ~F.coalesce(F.col(status) == "VERIFIED", F.lit(False)), "message": failed & blank(message) & (F.size(told) == 0), "errors": ~failed & (F.size(told) > 0),
+    }
+    return results.withColumns({"record": record, "faults": F.array_compact(F.array(*[F.when(bad, name) for name, bad in faults.items()]))})
+
+
 def processing_status(fields: str = "fields", error: str = "error") -> Column:
     """SUCCESS, PARTIAL if some field is null, FAILED with an error or without any field."""
     values = F.map_values(F.col(fields))

@@ -18,6 +18,7 @@ from basalt.sources import collections as cs
 from basalt.sources import pdf
 from basalt.sources.shared import new_path, shared_folder, stored
 from basalt.sources.tables import open_table
+from basalt.streaming import stateful as sf
 
 #: Buckets of the tables here; they are made anew for each query.
 BUCKETS = 8
@@ -161,3 +162,19 @@ def rolled_up_orders(spark, sf_dir):
     middle = ((F.col("n") < 20) | F.col("q50").between(F.col("middle")[0] - 1, F.col("middle")[1] + 1)).alias("median_near")
     level = F.when(F.col("t.level") == "", "").otherwise(F.concat("t.level", F.lit(","))).alias("level")
     return told.alias("t").join(exact, same).select(*[f"t.{k}" for k in keys], level, "n", F.round(F.col("total").cast("double"), 2).alias("total"), "least", "most", near, middle)
+
+
+@query("""
+WITH w AS (SELECT time_bucket(INTERVAL 15 MINUTE, ts) - n * INTERVAL 15 MINUTE AS window_start, upper(event_type) AS status FROM events, (SELECT unnest([0, 1, 2, 3]) AS n))
+SELECT window_start, status, count(*) AS n_checks FROM w WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY 1, 2
+""")
+def streamed_windows(spark, sf_dir):
+    """Sliding windows over the stream of all events, as they close; written to the shared folder by the stream's own commits."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", "event_type")
+    files = new_path(spark, "arrived")
+    events.write.parquet(files)
+    rows = spark.readStream.schema(events.schema).parquet(files)
+    told = sf.sliding_tallies(rows.select(F.col("ts").cast("timestamp").alias("at"), F.col("event_type").alias("status")), "at")
+    out = new_path(spark, "windows")
+    told.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(told.schema).parquet(out)

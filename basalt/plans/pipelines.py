@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basalt.functions import text as tx
@@ -25,9 +25,30 @@ def ingest(store: DataFrame | None, documents: DataFrame, embed: Provider = pv.e
     return chunks if store is None else ve.upsert_chunks(store, chunks)
 
 
+# The texts of faults as they are reported.
+NO_TENDER, NO_QUESTION, NO_SOURCE = "tender_id must be greater than zero.", "Query cannot be empty.", "source_document cannot be empty."
+NO_DOCUMENT, NO_PATH, NO_TEXT = "bid_document_id must be greater than zero.", "file_path cannot be empty.", "Document texts cannot contain empty values."
+
+
+def above_zero(column: str) -> Column:
+    return F.coalesce(F.col(column) > 0, F.lit(False))
+
+
+def document_faults(requests: DataFrame) -> DataFrame:
+    """requests (bid_document_id, file_path) with error: a bad id or a blank path; null if the document can be processed."""
+    return requests.withColumn("error", F.when(~above_zero("bid_document_id"), NO_DOCUMENT).when(tx.is_blank(F.col("file_path")), NO_PATH))
+
+
+def embed_checked(rows: DataFrame, key: str, embed: Provider = pv.embed) -> tuple[DataFrame, DataFrame]:
+    """(rows (key, text) with embedding, rejects with error): a batch, that is the rows of one key, with a blank text is rejected whole."""
+    bad = rows.groupBy(key).agg(F.bool_or(tx.is_blank(F.col("text"))).alias("__bad")).where("__bad").select(key)
+    same = rows[key].eqNullSafe(bad[key])
+    return embed(rows.join(bad, same, "left_anti")), rows.join(bad, same, "left_semi").withColumn("error", F.lit(NO_TEXT))
+
+
 def question_faults(questions: DataFrame) -> DataFrame:
     """questions (query_id, tender_id, text, source_document) with error: a bad tender, a blank question or source."""
-    error = F.when(~F.coalesce(F.col("tender_id") > 0, F.lit(False)), "tender_id must be greater than zero.").when(tx.is_blank(F.col("text")), "Query cannot be empty.").when(tx.is_blank(F.col("source_document")), "source_document cannot be empty.")
+    error = F.when(~above_zero("tender_id"), NO_TENDER).when(tx.is_blank(F.col("text")), NO_QUESTION).when(tx.is_blank(F.col("source_document")), NO_SOURCE)
     return questions.withColumn("error", error)
 
 

@@ -517,7 +517,28 @@ def bidder_response(spark, sf_dir):
 # --- pipelines -------------------------------------------------------------------------------------
 
 
-@query()
+ASKED_CHUNKS = CHUNKED.replace("SOURCE", f"SELECT concat('doc', doc_id) AS source_document, 'The bidder must have GST registration. ' || text AS text FROM ({NOTED_SQL})")
+#: Embeddings as lists of 64 places, from texts (id, text).
+PLACES = """
+words AS (SELECT id, unnest(string_split(lower(text), ' ')) AS word FROM texts), codes AS (SELECT id, CAST('0x' || substr(md5(word), 1, 8) AS BIGINT) AS code FROM words),
+signs AS (SELECT id, (code >> k) & 63 AS place, CASE WHEN (code >> (k + 9)) & 1 = 1 THEN 1 ELSE -1 END AS sign FROM codes, (VALUES (0), (10), (20)) t(k)),
+sums AS (SELECT id, place, sum(sign) AS v FROM signs GROUP BY 1, 2), lengths AS (SELECT id, sqrt(sum(v * v)) AS n FROM sums GROUP BY 1),
+vectors AS (SELECT l.id, list(CASE WHEN s.v IS NULL THEN 0.0::DOUBLE ELSE CAST(CAST(s.v / l.n AS FLOAT) AS DOUBLE) END ORDER BY r.place) AS x FROM lengths l CROSS JOIN (SELECT unnest(range(64)) AS place) r LEFT JOIN sums s ON s.id = l.id AND s.place = r.place WHERE l.n > 0 GROUP BY 1)
+"""
+
+
+@query(rf"""
+WITH chunks AS ({ASKED_CHUNKS}), asks AS (SELECT * FROM (VALUES (1, 42, 'GST registration', NULL), (2, 43, 'enterprise name', 'doc1')) t(query_id, tender_id, text, source_document)),
+texts AS (SELECT chunk_id AS id, text FROM chunks UNION ALL SELECT 'ask' || query_id, text FROM asks), {PLACES},
+near AS (SELECT a.query_id, a.tender_id, c.* FROM asks a JOIN vectors q ON q.id = 'ask' || a.query_id JOIN chunks c ON a.source_document IS NULL OR c.source_document = a.source_document JOIN vectors v ON v.id = c.chunk_id
+  QUALIFY row_number() OVER (PARTITION BY a.query_id ORDER BY list_sum(list_transform(list_zip(v.x, q.x), lambda z: pow(z[1] - z[2], 2))), c.chunk_id) <= 5),
+s AS (SELECT *, string_split(regexp_replace(text, '([.!?;])\s+', '\1' || chr(1), 'g'), chr(1)) AS parts FROM near), r AS (SELECT *, generate_subscripts(parts, 1) AS ordinal, unnest(parts) AS description FROM s),
+f AS (SELECT tender_id, chunk_id, ordinal, source_document, CASE {' '.join(f"WHEN regexp_matches(lower(description), '{p}') THEN '{k}'" for k, p in pv.REQUIREMENT_WORDS.items())} ELSE 'OTHER' END AS requirement_type,
+  CASE WHEN length(trim(description)) <= 255 THEN trim(description) ELSE substring(trim(description), 1, 222) || ' ' || md5(trim(description)) END AS requirement_name, regexp_matches(lower(description), '\b(must|shall|required|mandatory)\b') AS is_required
+  FROM r WHERE regexp_matches(lower(description), '\b(must|shall|should|required|mandatory)\b'))
+SELECT tender_id, requirement_type, requirement_name, source_document, is_required FROM f
+QUALIFY row_number() OVER (PARTITION BY tender_id, requirement_type, requirement_name, source_document ORDER BY chunk_id, ordinal) = 1
+""")
 def retrieve_requirements(spark, sf_dir):
     """Questions to the chunks of all documents, and what the hits oblige to."""
     from basalt.plans import pipelines as pl
@@ -529,7 +550,27 @@ def retrieve_requirements(spark, sf_dir):
     return fresh.select("tender_id", "requirement_type", "requirement_name", "source_document", "is_required")
 
 
-@query()
+PAN_LINE = "CASE WHEN document_id % 2 = 0 THEN 'Permanent Account Number ABCDE1234F ' ELSE '' END"
+HITS = {k: " + ".join(f"CAST(contains(lower(combined), '{w}') AS INT)" for w in words) for k, words in pv.DOCUMENT_WORDS.items()}
+
+
+def fields_sql(kind: str) -> str:
+    """The JSON of a record's fields that patterns find in the text."""
+    told = [f"""'"{f}":' || coalesce('"' || nullif(regexp_extract(combined, '{pv.FIELD_PATTERNS[f]}', 1), '') || '"', 'null')""" for f in schemas.RECORD_FIELDS[kind]]
+    return "'{' || " + " || ',' || ".join(told) + " || '}'"
+
+
+@query(f"""
+WITH p AS (SELECT document_id, page_number, {PAN_LINE} || text AS text FROM ({dm.PAGES})),
+b AS (SELECT *, 'NATIVE_PDF' AS method FROM p UNION ALL SELECT document_id + 5, page_number, text, 'OCR' FROM ({dm.PAGES}) WHERE document_id + 5 NOT IN (SELECT document_id FROM p)),
+t AS (SELECT document_id, any_value(method) AS method, count(*) AS n, sum(length(text)) AS size, coalesce(string_agg({STRIP('text')}, chr(10) || chr(10) ORDER BY page_number, {STRIP('text')}) FILTER ({STRIP('text')} <> ''), '') AS combined FROM b GROUP BY 1),
+h AS (SELECT *, {', '.join(f'{x} AS {k}' for k, x in HITS.items())} FROM t), g AS (SELECT *, greatest({', '.join(HITS)}) AS best FROM h),
+k AS (SELECT *, CASE WHEN combined = '' THEN NULL WHEN best = 0 THEN 'UNKNOWN' {' '.join(f"WHEN {k} = best THEN '{k}'" for k in HITS)} END AS kind FROM g)
+SELECT document_id, CASE WHEN kind IN ({', '.join(f"'{k}'" for k in HITS)}) THEN 'COMPLETED' ELSE 'FAILED' END AS extraction_status,
+  CASE {' '.join(f"WHEN kind = '{k}' THEN fields_{k}" for k in HITS)} END AS extracted_data, combined AS extracted_text,
+  CASE WHEN kind <> 'UNKNOWN' THEN best / 3 END AS confidence_score, CASE WHEN kind IS NULL THEN 'text cannot be empty' WHEN kind = 'UNKNOWN' THEN 'unsupported document type' END AS error_message
+FROM (SELECT *, {', '.join(f"""'{{"document_type":"{k}","classification_confidence":' || best / 3 || ',"extraction_method":"' || method || '","total_pages":' || n || ',"total_characters":' || size || ',"fields":' || {fields_sql(k)} || '}}' AS fields_{k}""" for k in HITS)} FROM k)
+""")
 def process_documents(spark, sf_dir):
     from basalt.plans import pipelines as pl
 

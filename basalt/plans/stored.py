@@ -151,10 +151,8 @@ def latest_assessment(spark, sf_dir):
 
 @query(f"SELECT tender_requirement_id, bid_submission_id, status, row_number() OVER (PARTITION BY tender_requirement_id ORDER BY bid_submission_id, status, reason) AS nth FROM ({qs.ALL_SQL})")
 def checks_in_order(spark, sf_dir):
-    from pyspark.sql import Window
-
-    nth = F.row_number().over(Window.partitionBy("tender_requirement_id").orderBy("bid_submission_id", "status", "reason"))
-    return qs.evaluated(spark, sf_dir).select("tender_requirement_id", "bid_submission_id", "status", nth.alias("nth"))
+    rows = qs.evaluated(spark, sf_dir).select("tender_requirement_id", "bid_submission_id", "status", "reason")
+    return lk.ranked(rows, "tender_requirement_id", ["bid_submission_id", "status", "reason"]).drop("reason")
 
 
 @query(f"SELECT bid_submission_id, total_checks, passed, failed, review, pending, total_checks > 0 AS timed FROM ({qs.ASSESS_SQL})")
@@ -284,6 +282,47 @@ def listed_values(spark, sf_dir):
     return tx.listing(table(spark, sf_dir, "SELECT event_id AS id, props FROM events"), "props", ("id",)).select("id", "position", "key", "value")
 
 
+@query(f"SELECT bid_submission_id, position, key, CAST(value AS VARCHAR) AS value FROM (SELECT bid_submission_id, unnest([0, 1, 2, 3, 4]) AS position, unnest(['total_checks', 'passed', 'failed', 'review', 'pending']) AS key, unnest([total_checks, passed, failed, review, pending]) AS value FROM ({qs.ASSESS_SQL}))")
+def listed_metadata(spark, sf_dir):
+    """The members of each assessment's metadata, as they are displayed."""
+    rows = qs.assess_submissions(spark, sf_dir).select("bid_submission_id", F.to_json(asm.metadata()).alias("metadata"))
+    return tx.listing(rows, "metadata", ("bid_submission_id",))
+
+
+RECORDS = "SELECT event_id AS id, CASE WHEN event_id % 17 = 0 THEN NULL ELSE event_id % 2 = 0 END AS success, CASE WHEN event_id % 13 = 0 THEN ' ' ELSE 'GST' END AS provider, concat('ID', CAST(user_id AS varchar)) AS identifier, CASE event_id % 5 WHEN 0 THEN 'VERIFIED' WHEN 1 THEN 'PENDING' WHEN 2 THEN 'INVALID' WHEN 3 THEN 'ERROR' ELSE 'OTHER' END AS verification_status, CASE WHEN event_id % 3 = 0 THEN 'told' END AS message, CASE WHEN event_id % 7 = 0 THEN 'broken' END AS problem, event_id % 4 = 0 AS has_data FROM events"
+
+
+@query(f"""
+WITH r AS (SELECT *, coalesce(success, false) AS worked FROM ({RECORDS}))
+SELECT id, concat_ws(',', CASE WHEN success IS NULL THEN 'success' END, CASE WHEN provider = ' ' THEN 'provider' END,
+  CASE WHEN NOT coalesce(CASE WHEN success THEN verification_status IN ('VERIFIED', 'NOT_FOUND', 'INVALID') ELSE verification_status IN ('PENDING', 'ERROR') END, false) THEN 'verification_status' END,
+  CASE WHEN has_data AND verification_status <> 'VERIFIED' THEN 'data' END, CASE WHEN NOT worked AND message IS NULL AND problem IS NULL THEN 'message' END, CASE WHEN worked AND problem IS NOT NULL THEN 'errors' END) AS faults,
+  verification_status AS status, CASE WHEN has_data THEN 1 ELSE 0 END AS n_data, CASE WHEN problem IS NULL THEN 0 ELSE 1 END AS n_errors FROM r
+""")
+def provider_records(spark, sf_dir):
+    rows = table(spark, sf_dir, RECORDS).withColumns({"data": F.when(F.col("has_data"), F.create_map(F.lit("legal_name"), F.lit("x"))), "errors": F.when(F.col("problem").isNotNull(), F.array("problem", F.lit(" ")))})
+    out = va.provider_record(rows)
+    return out.select("id", F.array_join("faults", ",").alias("faults"), F.col("record.verification_status").alias("status"), F.size("record.data").alias("n_data"), F.size("record.errors").alias("n_errors"))
+
+
+REQUESTS = "SELECT event_id AS id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE event_id % 7 - 1 END AS bid_document_id, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN chr(10) ELSE 'a.pdf' END AS file_path FROM events"
+
+
+@query(f"SELECT id, CASE WHEN coalesce(bid_document_id, 0) <= 0 THEN 'bid_document_id must be greater than zero.' WHEN file_path IS NULL OR file_path = chr(10) THEN 'file_path cannot be empty.' END AS error FROM ({REQUESTS})")
+def document_faults(spark, sf_dir):
+    return pl.document_faults(table(spark, sf_dir, REQUESTS)).select("id", "error")
+
+
+BATCHES = "SELECT user_id, event_id, CASE WHEN event_id % 97 = 0 THEN ' ' ELSE props END AS text FROM events"
+
+
+@query(f"SELECT event_id, 'Document texts cannot contain empty values.' AS error FROM ({BATCHES}) WHERE user_id IN (SELECT user_id FROM events WHERE event_id % 97 = 0) UNION ALL SELECT event_id, NULL FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_id % 97 = 0)")
+def embedded_batches(spark, sf_dir):
+    """Batches of texts that are embedded, and those rejected whole for a blank member."""
+    good, bad = pl.embed_checked(table(spark, sf_dir, BATCHES), "user_id")
+    return bad.select("event_id", "error").union(good.where("embedding is not null").select("event_id", F.lit(None).cast("string")))
+
+
 @query(f"SELECT id, lower(file_name) LIKE '%_.pdf' AND file_name NOT LIKE '%/' AS is_pdf FROM ({DOCUMENTS})")
 def pdf_names(spark, sf_dir):
     return table(spark, sf_dir, DOCUMENTS).select("id", tx.is_pdf(F.col("file_name")).alias("is_pdf"))
