@@ -38,12 +38,11 @@ def chunk(docs: DataFrame, text: str = "text", source: str = "source_document",
         raise ValueError("chunk overlap must be smaller than chunk size")
     step = size - overlap
     plain = docs.select(F.col(source).alias("source_document"), normalise(F.col(text)).alias("whole")).where("whole <> ''")
-    # cut once into steps; a piece is a step and the beginning of what follows, so that no piece is counted off from the start
-    cut = plain.select("source_document", F.char_length("whole").alias("length"), F.regexp_extract_all("whole", F.lit(f"(?s).{{1,{step}}}"), F.lit(0)).alias("steps"))
-    last = F.least(F.size("steps") - 1, F.greatest(F.lit(0), F.ceil((F.col("length") - size) / step)).cast("int"))
-    pieces = F.transform(F.sequence(F.lit(0), last), lambda i: F.trim(F.substring(F.array_join(F.slice("steps", i + 1, F.lit(-(-size // step))), ""), 1, size)))
-    plain = cut.select("source_document", pieces.alias("pieces"))
-    return plain.select("source_document", F.posexplode("pieces").alias("chunk_index", "text")).where("text <> ''").select(
+    # one pass over the text: a match takes a step, and looks ahead for the whole piece
+    pieces = F.regexp_extract_all("whole", F.lit(f"(?s)(?=(.{{1,{size}}})).{{1,{step}}}"), F.lit(1))
+    last = F.greatest(F.lit(0), F.ceil((F.char_length("whole") - size) / step)).cast("int")
+    plain = plain.select("source_document", F.slice(pieces, F.lit(1), last + 1).alias("pieces"))
+    return plain.select("source_document", F.posexplode("pieces").alias("chunk_index", "piece")).withColumn("text", F.trim("piece")).where("text <> ''").select(
         F.concat_ws(":chunk:", "source_document", F.col("chunk_index").cast("string")).alias("chunk_id"), "text", "source_document", "chunk_index"
     )
 

@@ -53,7 +53,7 @@ def test_chunks_and_embeddings_of_long_texts(spark):
 
     import numpy as np
 
-    text = "".join(f"word{k} 😀é " for k in range(300_000))
+    text = "".join(f"word{k} 😀é " for k in range(200_000))
     docs = spark.createDataFrame([("d", text)], "source_document string, text string")
     began = time.perf_counter()
     got = {r.chunk_index: r.text for r in tx.chunk(docs).collect()}
