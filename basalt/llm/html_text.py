@@ -6,8 +6,9 @@ an article, what holds most of the page's text, or all that is left of a page. E
 passes points, for its length and its commas, to its parent in full, to its grandparent in half, and half
 again at each step up; a container's points are discounted by its link density. The article or main
 part that holds the best container is kept whole, or the least container of nearly all the text if it adds
-few links; else the best container. Siblings come along that score near it, read like paragraphs, are its
-title, or are articles or sections as it is.
+few links; else the best container. Siblings come along that score near it, that hold
+sentences, lists or tables and few links, are its title, or are articles or sections as it is; a line that only
+says who owns the page is none of these.
 
 Lengths, links and points are added up once, from the last element to the first, so time grows with the page
 however deep it is. A quoted attribute that doesn't end where an attribute may end is taken as unclosed.
@@ -46,7 +47,7 @@ NAMES = frozenset(
 BEFORE = frozenset("site page main primary secondary top bottom left right global mobile post article entry header google sticky".split())
 BEHIND = frozenset(
     "area bar block bottom box btn button buttons column container count form group holder icon icons inner left link links list media module"
-    " outer panel post posts article articles primary right row secondary section slot stories thread title top unit wrap wrapper zone".split()
+    " outer panel post posts article articles primary right row secondary section slot stories text copy thread title top unit wrap wrapper zone".split()
 )
 COMPOUNDS = frozenset("related-content recommended-content sponsored-content promoted-content".split())
 #: Names that are never the main text, however much of the page they hold.
@@ -54,6 +55,8 @@ BESIDE = frozenset("comment comments discussion disqus respond reply replies coo
 #: Names that ids made from headings bear too, and elements whose ids say nothing.
 TOPICS = frozenset("discussion privacy notice search alert social menu banner navigation advertising advertisement consent comment reply recommended recommendations cookie cookies gdpr sponsored subscription login promotion share sharing".split())
 SLUGS = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd blockquote pre table figure a span b i em strong".split())
+#: Names that paragraphs of an article bear too, if they read like prose and link to nothing.
+TOLD = frozenset("social search menu banner navigation related".split())
 #: Names that boxes of an article's own bear.
 BOXES = frozenset("alert privacy".split())
 #: Names of boilerplate that wrappers of an article bear too.
@@ -68,10 +71,16 @@ TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|"
     r"<(/?)([a-zA-Z][^\s/<>]*+)((?:=\s*+\"[^\"]*+\"(?=[\s/>])|=\s*+'[^']*+'(?=[\s/>])|[^<>])*+)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: A value that ends in the slash before the tag's end, which closes nothing then.
+UNQUOTED = re.compile(r"=\s*[^\s\"'>]*/\Z")
 PARTS = re.compile(r"[^a-z0-9]+")
 SIZE = re.compile(r"\d+(x\d+)?")
 #: The share of a page's text that is nearly all, the share of links among text that is few, and the length of a title.
 NEARLY_ALL, FEW_LINKS, TITLE = 0.9, 0.25, 300
+#: What ends a sentence, and lines that begin so are no text but who owns it.
+SENTENCE, OWNED = re.compile(r"[.!?…。！？][\"'”’»)\]]*(\s|$)"), re.compile(r"\s*(©|\(c\)|copyright\b)", re.I)
+#: Elements of text that need no sentence.
+LISTED = frozenset("ul ol dl table blockquote pre figure".split())
 
 
 #: Elements that an open tag's implied end doesn't go beyond.
@@ -81,11 +90,11 @@ WALLS = frozenset("html article div section main table ul ol dl body".split())
 class Node:
     """An element. block: the nearest block element, itself included; near: likewise of those with implied ends or walls."""
 
-    __slots__ = ("tag", "names", "bad", "drop", "named", "parent", "inside", "score", "size", "linked", "depth", "block", "near", "holds", "length", "links")
+    __slots__ = ("tag", "names", "bad", "drop", "named", "told", "parent", "inside", "score", "size", "linked", "depth", "block", "near", "holds", "length", "links")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.inside = tag, parent, []
-        self.names, self.bad, self.drop, self.named, self.score = frozenset(), frozenset(), False, False, 0.0
+        self.names, self.bad, self.drop, self.named, self.told, self.score = frozenset(), frozenset(), False, False, False, 0.0
         self.size = self.linked = self.length = self.links = 0
         self.depth, self.holds = parent.depth + 1 if parent else 0, False
         self.block = self if tag in BLOCK or not parent else parent.block
@@ -109,7 +118,7 @@ def boilerplate(token: str) -> tuple[frozenset, bool]:
 
 
 def mark(node: Node, attributes: str, in_article: bool) -> None:
-    """Set names, drop (by tag, role or style) and named (by class or id) from tag and attributes."""
+    """Set names, drop (by tag, role or style), named (by class or id) and told (may be prose for all its name) from tag and attributes."""
     found = {}
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         found.setdefault(name.lower(), unescape(a or b or c))
@@ -125,8 +134,9 @@ def mark(node: Node, attributes: str, in_article: bool) -> None:
     if in_article:
         bad -= BOXES
     role = found.get("role", "").lower()
-    node.drop = node.tag in DROPPED or hidden or role in ROLES and (role, node.tag) != ("form", "form") or node.tag == "header" and not in_article
+    node.drop = node.tag in DROPPED and node.tag != "button" or hidden or role in ROLES and (role, node.tag) != ("form", "form") or node.tag == "header" and not in_article
     node.bad = frozenset(bad)
+    node.told = in_article and node.tag == "p" and node.bad <= TOLD
     node.named = bool(bad) and not node.drop and node.tag not in ("html", "body", "main", "form") and (node.tag != "article" or in_article and bool(bad & BESIDE))
 
 
@@ -134,14 +144,23 @@ def settle(nodes: list[Node]) -> None:
     """Drop what is boilerplate by name, and forms; what holds most of the page's text stays.
 
     `nodes` are in page order. What is mostly links or bears a name of things beside the text always goes.
+    A button goes unless it stands amid the text of a paragraph.
     """
+    for x in nodes:
+        if x.tag in SLUGS:
+            for before, y, after in zip(x.inside, x.inside[1:], x.inside[2:]):
+                if isinstance(y, Node) and y.tag == "button" and all(isinstance(t, str) and t.strip() for t in (before, after)):
+                    y.told = True
+    for x in nodes:
+        x.drop = x.drop or x.tag == "button" and not x.told
     for x in reversed(nodes):
         if x.parent and not (x.drop or x.named and x.bad & BESIDE):
             x.parent.size += x.size
             x.parent.linked += x.size if x.tag == "a" else x.linked
     for x in nodes:
         if (x.named or x.tag == "form") and not x.drop:
-            most = 2 * x.size > nodes[0].size and 2 * x.linked < x.size and not x.bad & BESIDE
+            prose = x.told and not x.linked and SENTENCE.search("".join(t for t in x.inside if isinstance(t, str)))
+            most = prose or 2 * x.size > nodes[0].size and 2 * x.linked < x.size and not x.bad & BESIDE
             x.drop, x.named = not most, x.named and not most
 
 
@@ -204,7 +223,7 @@ def parse(html: str) -> list[Node]:
                 if up.named and up.bad <= LAYOUT | HEADS:
                     up.named = False
                 up = up.parent
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
+        if tag in VOID or m[3].endswith("/") and tag not in BLOCK and not UNQUOTED.search(m[3]):
             continue
         if tag in RAW:
             close_tag = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I).search(html, at)
@@ -325,10 +344,10 @@ def best_text(nodes: list[Node]) -> str:
             elif isinstance(x, Node) and not x.drop and x.length:
                 title = x.tag == "h1" or x.tag in BLOCK and x.length <= TITLE and not density(x) and any(isinstance(y, Node) and y.tag == "h1" for _, y, _ in walk(x))
                 part = x.tag == best.tag and x.tag in ("article", "section") and density(x) <= FEW_LINKS
-                same = 0.2 * best.score if x.names and x.names & best.names else 0
-                text = " ".join(t for _, t in blocks(x)) if x.tag in BLOCK else ""
-                reads = x.tag in ("p", "h1", "h2", "h3", "blockquote", "pre") and (density(x) < 0.25 and len(text) > 80 or density(x) == 0 and re.search(r"[.!?](\s|$)", text))
-                if x.score + same >= 0.2 * best.score or reads or title or part:
+                text = " ".join(t for _, t in blocks(x))
+                few = density(x) <= FEW_LINKS and not OWNED.match(text)
+                reads = few and (SENTENCE.search(text) or len(text) > 80 or x.tag in LISTED and not x.links)
+                if x.score >= 0.2 * best.score or reads or title or part:
                     kept.append(x)
     return "\n".join(text for x in kept for _, text in blocks(x))
 

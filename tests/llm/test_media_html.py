@@ -167,6 +167,30 @@ def test_articles_of_many_shapes(html):
     assert sorted(lines) == sorted([re.sub("<[^>]*>", "", TEXT.split("</p>")[0])] * (3 * html.count("{}")) + extra)
 
 
+LONG = "<p>Words of prose, and more of it here, that go on for a while.</p>" * 8
+
+
+@pytest.mark.parametrize(("html", "kept", "gone"), [
+    ("<div>{}</div><div><p>The last of the paragraphs, in a part of its own.</p></div>", "The last of the paragraphs, in a part of its own.", None),
+    ("<div class=lead>Prices fell again.</div><div>{}</div>", "Prices fell again.", None),
+    ("<div>{}</div><div><p>Short tail.</p></div>", "Short tail.", None),
+    ("<div>{}</div><ul><li>First</li><li>Second</li></ul>", "Second", None),
+    ("<div>{}</div><table><tr><td>a</td><td>1</td></tr></table>", "a 1", None),
+    ("<article>{}<p class='social'>Bees are social animals, and live in hives.</p></article>", "Bees are social animals, and live in hives.", None),
+    ("<article>{}<p>Press <button>Start</button> to begin.</p></article>", "Press Start to begin.", None),
+    ("<article>{}<p>All of it. <button>Share</button></p></article>", "All of it.", "Share"),
+    ("<p>Tiny paragraph.</p><div class='footer-text'>Copyright</div>", "Tiny paragraph.", "Copyright"),
+    ("<ul><li><a href=/>Home</a></ul><div>{}</div><div>(c) Us. All rights reserved.</div>", None, "rights"),
+    ("<ul><li><a href=/>Home</a></ul><div>{}</div>", None, "Home"),
+    ("<div>{}</div><p class='social'><a href=/s>Share it with friends, now.</a></p>", None, "friends"),
+])
+def test_siblings_without_anything_against_them_stay(html, kept, gone):
+    lines = main_text(f"<html><body>{html.replace('{}', LONG)}</body></html>").split("\n")
+    assert kept is None or kept in lines
+    assert gone is None or not any(gone in x for x in lines)
+    assert sum(x.startswith("Words of prose") for x in lines) == 8 * html.count("{}")
+
+
 @pytest.mark.parametrize("seed", range(12))
 def test_made_pages(seed):
     """Pages built from known parts, against the parts."""
