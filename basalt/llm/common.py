@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Equal rows that are dealt from one array.
+DEALT = 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,13 +62,17 @@ def number_equal_rows(df: DataFrame, name: str = "copy") -> DataFrame:
     """Add a number from 0 that tells fully equal rows apart.
 
     Equal rows are counted (a partial aggregate), then dealt out again, so one row that is repeated
-    a third of the time doesn't gather in one task as a window would make it.
+    a third of the time doesn't gather in one task as a window would make it. They are dealt in two steps,
+    tens of thousands and then ones, so that no array is as long as a row is often. The number is a long.
     """
-    n = f"__n_{name}"
+    n, tens = f"__n_{name}", f"__tens_{name}"
+    zero, last = F.lit(0).cast("long"), F.lit(DEALT - 1).cast("long")
     return (
         df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias(n))
-        .withColumn(name, F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int"))))
-        .drop(n)
+        .withColumn(tens, F.explode(F.sequence(zero, F.expr(f"(`{n}` - 1) div {DEALT}"))))
+        .withColumn(name, F.explode(F.sequence(zero, F.least(last, F.col(n) - 1 - F.col(tens) * DEALT))))
+        .withColumn(name, F.col(name) + F.col(tens) * DEALT)
+        .drop(n, tens)
     )
 
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basalt.llm.common import WORD, materialise, number_equal_rows
+from basalt.llm.common import WORD, known, materialise, number_equal_rows
 
 
 def source_targets(sizes: DataFrame, weights=(1.0, 2.0, 3.0), cap: float = 3.0) -> DataFrame:
@@ -58,11 +58,15 @@ def mix_sources(docs: DataFrame, weights=(1.0, 2.0, 3.0), ramps=(-0.5, 0.0, 0.5)
     still wanted. positions are when each pass over the document is due, position and last_position the first and
     last of them, null (and positions empty) for one that is never taken.
     Null text: size 0. Null source: a source of its own, last. Null ids and repeated rows count like
-    others. Empty table: no rows. keep names further columns to carry.
+    others; rows equal in all columns read are told apart by a running number, ties of the order go by it. Long texts
+    are counted whole. Empty table: no rows. keep names further columns to carry, none of them that of a result;
+    whatever else they are called, they come back as they are.
     """
+    keep = [c for c in keep if c not in ("doc_id", "source")]
+    known(tuple(keep), "size", "source_size", "target", "taken", "position", "last_position", "positions")
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    keep = [c for c in keep if c not in ("doc_id", "source", "size")]
-    rows = number_equal_rows(docs.select("doc_id", "source", size.alias("size"), *keep))
+    carried = [F.struct(*[F.col(c) for c in keep]).alias("carried")] if keep else []  # a struct, so that names can't clash with ours
+    rows = number_equal_rows(docs.select("doc_id", "source", size.alias("size"), *carried))
     key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string"), F.col("copy").cast("string")).cast("binary"))
     rows = materialise(rows.withColumn("key", key).withColumn("bucket", F.substring("key", 1, 3)), "mix")
 
@@ -81,14 +85,14 @@ def mix_sources(docs: DataFrame, weights=(1.0, 2.0, 3.0), ramps=(-0.5, 0.0, 0.5)
     rest = F.round(F.col("target") - passes * F.col("source_size")).cast("long")
     return (
         rows.join(b, F.col("r.source").eqNullSafe(F.col("b.source")) & (F.col("r.bucket") == F.col("b.bucket")))
-        .select("r.doc_id", "r.source", "r.size", *[F.col(f"r.{c}") for c in keep], "b.source_size", "b.target", "b.turn", (F.col("b.bucket_start") + F.col("r.within")).alias("start"))
+        .select("r.doc_id", "r.source", "r.size", *(["r.carried"] if keep else []), "b.source_size", "b.target", "b.turn", (F.col("b.bucket_start") + F.col("r.within")).alias("start"))
         .withColumn("taken", passes * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("start"))))
         .withColumn("ramp", ramp)
         .withColumn("passes", F.when(F.col("taken") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0).cast("int"))
         .withColumn("positions", F.transform(F.sequence(F.lit(1), F.col("passes")), lambda k: F.round(due((k - 1) * F.col("source_size") + F.col("start"), F.col("target"), F.col("ramp")), 9)))
         .withColumn("positions", F.when(F.col("passes") > 0, F.col("positions")).otherwise(F.array().cast("array<double>")))
         .withColumn("position", F.try_element_at("positions", F.lit(1))).withColumn("last_position", F.try_element_at("positions", F.lit(-1)))
-        .select("doc_id", "source", "size", *keep, "source_size", "target", "taken", "position", "last_position", "positions")
+        .select("doc_id", "source", "size", *[F.col("carried").getField(c).alias(c) for c in keep], "source_size", "target", "taken", "position", "last_position", "positions")
         .orderBy(F.col("position").asc_nulls_last(), "doc_id")
     )
 

@@ -72,8 +72,10 @@ def ring_shards(docs: DataFrame, shards: int = 24, vnodes: int = 128, id_col: st
 
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = number_equal_rows(docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32")))
+    # the copy's number as two integers, of which the higher is null, and so not hashed, but for rows that are repeated 2^31 times
+    low, high = F.expr("cast(copy % 2147483648 as int)"), F.expr("nullif(copy div 2147483648, 0)")
     rows = (
-        rows.withColumn("position", F.xxhash64("doc_id", "size", "text_crc32", "copy"))
+        rows.withColumn("position", F.xxhash64("doc_id", "size", "text_crc32", low, high))
         .withColumn("slot_key", F.shiftright("position", 64 - SLOT_BITS).cast("int"))
         .join(F.broadcast(slots), "slot_key")
         .withColumn("arc", (F.col("first_arc") + F.expr("size(filter(bounds, b -> b < position))")) % len(points))

@@ -123,3 +123,16 @@ def test_mix_edges(spark):
 def test_mix_reruns_agree(spark):
     a, b = (sorted(map(tuple, op4_mix_sources(spark, SF).collect())) for _ in range(2))
     assert a == b
+
+
+def test_kept_columns_may_bear_inner_names(spark):
+    inner = ("key", "bucket", "copy", "turn", "start", "ramp", "passes", "within", "bucket_size", "carried")
+    rows = [(i, f"word {i}", "ab"[i % 2], *[f"{c}{i}" for c in inner]) for i in range(6)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "source", *inner])
+    plain = {r.doc_id: (r.taken, r.positions) for r in mix_sources(docs.select("doc_id", "text", "source")).collect()}
+    for r in mix_sources(docs, keep=inner).collect():
+        assert [r[c] for c in inner] == [f"{c}{r.doc_id}" for c in inner]
+        assert plain.keys() >= {r.doc_id}
+    for name in ("target", "position", "size", "Taken"):
+        with pytest.raises(ValueError):
+            mix_sources(docs.withColumn(name, docs.text), keep=(name,))
