@@ -20,6 +20,8 @@ import uuid
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import islice
+from typing import BinaryIO
 from urllib.parse import quote, unquote, urlsplit
 
 import pyarrow as pa
@@ -35,7 +37,8 @@ FILE_RECORDS, BLOCK_CAPTURES = 10_000, 512
 #: Blocks up to which the directory is broadcast; a larger one is met by a join instead.
 DIRECTORY_BLOCKS, DIRECTORY_BYTES = 500_000, 64 << 20
 DATE = "1970-01-01T00:00:00Z"
-SPAN = 1 << 14
+#: Bytes of an archive read at a time, and captures told at a time.
+SPAN, INDEXED = 1 << 14, 4096
 
 
 def gzip_member(data: bytes) -> bytes:
@@ -99,20 +102,20 @@ def parse(record: bytes) -> dict:
     return {"headers": headers, "payload": None if revisit else payload, "payload_bytes": size}
 
 
-def members(data: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(offset, length, content) of each gzip member that isn't empty."""
-    view, at = memoryview(data), 0
-    while at < len(view):
+def members(file: BinaryIO, span: int = SPAN) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, content) of each gzip member that isn't empty. Of the file only `span` bytes and a record are held."""
+    at, data = 0, file.read(span)
+    while data:
         z, end, out = zlib.decompressobj(31), at, []
         while not z.eof:
-            if end >= len(view):
+            if not data:
                 raise ValueError("an archive ends within a record")
-            out.append(z.decompress(view[end : end + SPAN]))
-            end += SPAN
-        end = min(end, len(view)) - len(z.unused_data)
+            out.append(z.decompress(data))
+            end += len(data) - len(z.unused_data)
+            data = z.unused_data if z.eof else file.read(span)
         if any(out):
             yield at, end - at, b"".join(out)
-        at = end
+        at, data = end, data or file.read(span)
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
@@ -139,21 +142,51 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str
 
 
 def archives(spark: SparkSession, path: str) -> DataFrame:
+    """path, content: whole files, of 2 GB at most."""
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
+def store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system library's view of a path as Spark writes it."""
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path) if ":" in path.split("/")[0] else f"file://{path}")
+
+
+def reachable(path: str) -> bool:
+    """Does the library know the store? A fault while reading is no reason to read in another way."""
+    try:
+        found, root = store(path)
+        return found.get_file_info(root).type == fs.FileType.Directory
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return False
+
+
+def inside(root: str, path: str) -> str:
+    """The place in the store of a file of the folder `root`, by the path that Spark gives it."""
+    return f"{root}/{unquote(path.rsplit('/', 1)[-1])}"
+
+
 def write_index(spark: SparkSession, archive_path: str, index_path: str) -> None:
-    """Scan the archives and write the index: block (in key order), first_key, last_key, captures, data (compressed lines)."""
+    """Scan the archives and write the index: block (in key order), first_key, last_key, captures, data (compressed lines).
+
+    A task reads an archive of any size as a stream and holds a record at a time. Where the store isn't reachable but for
+    Spark, files come whole, of 2 GB at most. Equal captures are as many rows. No records: an empty index.
+    """
+    kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
+    streamed = reachable(archive_path)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = store(archive_path) if streamed else (None, None)
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = [(url_key((h := parse(x)["headers"]).get("warc-target-uri")), h["warc-record-id"], path, at, n) for at, n, x in members(content.as_py())]
-                if rows:
-                    kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "record_id", "path", "start", "length"])
+            for k, path in enumerate(batch.column(0).to_pylist()):
+                with files.open_input_stream(inside(root, path), buffer_size=1 << 20) if streamed else pa.BufferReader(batch.column(1)[k].as_buffer()) as file:
+                    records = members(file)
+                    while rows := [(url_key((h := parse(x)["headers"]).get("warc-target-uri")), h["warc-record-id"], path, at, n) for at, n, x in islice(records, INDEXED)]:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "record_id", "path", "start", "length"])
 
-    captures = materialise(archives(spark, archive_path).mapInArrow(scan, "key string, record_id string, path string, start bigint, length bigint"), "captures")
+    found = archives(spark, archive_path)
+    if streamed:  # paths alone, of which the reader deals out as many to a task as it would files
+        found = found.select("path")
+    captures = materialise(found.mapInArrow(scan, "key string, record_id string, path string, start bigint, length bigint"), "captures")
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held = TaskContext.get().partitionId() << 32, []
@@ -223,20 +256,6 @@ def lookup(keys: DataFrame, index_path: str, directory_blocks: int = DIRECTORY_B
 READ_RECORDS = 256
 
 
-def store(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system library's view of a path as Spark writes it."""
-    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path) if ":" in path.split("/")[0] else f"file://{path}")
-
-
-def reachable(path: str) -> bool:
-    """Does the library know the store? A fault while reading is no reason to read in another way."""
-    try:
-        found, root = store(path)
-        return found.get_file_info(root).type == fs.FileType.Directory
-    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
-        return False
-
-
 RECORD_SCHEMA = "page_id bigint, url string, payload binary, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
 
 
@@ -270,7 +289,7 @@ def read_records(captures: DataFrame, archive_path: str, payloads: bool = True)
                         if path != name:
                             if file:
                                 file.close()
-                            name, file = path, fs.open_input_file(f"{root}/{unquote(path.rsplit('/', 1)[-1])}")
+                            name, file = path, fs.open_input_file(inside(root, path))
                         records.append(zlib.decompress(file.read_at(n, at), 31))
                     yield table_of(records)
             if file:

@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import io
 import math
 from pathlib import Path
 
@@ -64,6 +65,25 @@ def test_no_pages(spark, tmp_path):
     assert warc.read_records(warc.lookup(warc.keys_of(pages), str(tmp_path / "i")), str(tmp_path / "a")).count() == 0
 
 
+@pytest.mark.parametrize("span", [1, 7, 64, 1 << 14])
+def test_members_of_a_stream(span):
+    records = [b"WARC/1.1 a", b"b" * 5000, b"", bytes(range(256)) * 40, b"last"]
+    parts = [warc.gzip_member(x) for x in records] + [warc.EMPTY]
+    found = list(warc.members(io.BytesIO(b"".join(parts)), span))
+    starts = [sum(map(len, parts[:k])) for k in range(len(parts))]
+    assert found == [(starts[k], len(parts[k]), x) for k, x in enumerate(records) if x]
+    with pytest.raises(ValueError):
+        list(warc.members(io.BytesIO(b"".join(parts)[:-30]), span))
+
+
+def test_index_is_the_same_where_files_come_whole(spark, written, tmp_path, monkeypatch):
+    _, a, i = written
+    monkeypatch.setattr(warc, "reachable", lambda path: False)
+    warc.write_index(spark, a, str(tmp_path / "whole"))
+    assert warc.lookup(warc.keys_of(written[0]), i).exceptAll(warc.lookup(warc.keys_of(written[0]), str(tmp_path / "whole"))).count() == 0
+    assert spark.read.parquet(str(tmp_path / "whole")).selectExpr("sum(captures)").first()[0] == len(PAGES)
+
+
 def test_url_keys():
     assert warc.url_key("HTTP://WWW.Example.com:80/a/B?c#d") == "com,example)/a/B?c"
     assert warc.url_key("https://u@m.x.org:8443") == "org,x,m:8443)/"
