@@ -1,9 +1,9 @@
 """Language identification by interpolated Kneser-Ney character models, one for each language.
 
 A model of order 4 is trained for each language: absolute discounts, continuation counts below the top
-order, a uniform distribution at the bottom. All languages share one vocabulary and one sorted array of
-hashed n-grams for each order, with a row of log probabilities by language, so that one search serves
-them all. A text gets the language of the lowest cross-entropy per character. Texts whose cross-entropy
+order, a uniform distribution at the bottom. It holds a sorted array of hashed n-grams for each order, its own ones
+only, so memory grows with what each language has, not with n-grams times languages. All share one vocabulary,
+so texts are spelt once, and distinct n-grams are looked up in one model after the other. A text gets the language of the lowest cross-entropy per character. Texts whose cross-entropy
 is far from what the language's own held-back texts showed are rejected (accepted = false).
 """
 
@@ -21,8 +21,10 @@ from basalt.llm.chars import runs, steps
 from basalt.llm.common import frugal, hash_fold, known
 
 ORDER = 4
-#: Labelled rows of each language that training reads at most, rows of all languages together, and languages: those of most rows.
-TRAIN_ROWS, TRAIN_TOTAL, LANGUAGES = 600, 20_000, 200
+#: Labelled rows of each language that training reads at most, and of all together as long as each has its LEAST_ROWS.
+TRAIN_ROWS, TRAIN_TOTAL, LEAST_ROWS = 600, 20_000, 10
+#: Letters of all the texts that training reads, shared out evenly; a language's first text counts however long it is.
+TRAIN_LETTERS = 64 << 20
 #: Letters told apart, the most frequent ones of the training texts; an n-gram is packed 16 bits a letter.
 LETTERS = (1 << 16) - 2
 MIX = np.uint64(0x9E3779B97F4A7C15)  # odd, so that the hash of a packed n-gram is one to one
@@ -78,57 +80,48 @@ class Table:
         return np.where(self.keys[at] == h, at, -1)
 
 
-def kneser_ney(streams: dict[str, np.ndarray], size: int) -> dict:
-    """tables[k], logp[k] (n-gram x language) and gamma[k] (what a k-gram as context leaves to shorter ones)."""
-    langs = sorted(streams)
-    counts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {k: [] for k in range(1, ORDER + 1)}
-    for lang in langs:
-        grams, c = np.unique(streams[lang], return_counts=True)
-        for k in range(ORDER, 0, -1):
-            counts[k].append((grams, c.astype(float)))
-            grams, c = np.unique(suffix(grams, k - 1), return_counts=True)  # the kinds of longer n-grams that end so
-    tables, probs, gammas = {}, {0: None}, {0: np.ones((1, len(langs)))}
+def kneser_ney(stream: np.ndarray, size: int) -> dict:
+    """The model of a language by its 4-grams: tables[k], logp[k] (of each k-gram) and gamma[k] (what a k-gram as context leaves to shorter ones)."""
+    counts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    grams, c = np.unique(stream, return_counts=True)
+    for k in range(ORDER, 0, -1):
+        counts[k] = grams, c.astype(float)
+        grams, c = np.unique(suffix(grams, k - 1), return_counts=True)  # the kinds of longer n-grams that end so
+    tables, probs, gammas = {}, {}, {}
     for k in range(1, ORDER + 1):
-        tables[k] = Table(np.unique(np.concatenate([g for g, _ in counts[k]])))
-        union = np.unique(np.concatenate([g for g, _ in counts[k]]))[tables[k].order]
-        context = union >> np.uint64(16)
-        shorter = np.full((len(union), len(langs)), 1.0 / size) if k == 1 else probs[k - 1][tables[k - 1].find(suffix(union, k - 1))]
-        own = np.zeros((len(union), len(langs)))
-        leave = np.ones((1, len(langs))) if k == 1 else np.ones((len(tables[k - 1].keys), len(langs)))
-        place = np.zeros(len(union), int) if k == 1 else tables[k - 1].find(context)
-        for j, (grams, c) in enumerate(counts[k]):
-            n1, n2 = np.sum(c == 1), np.sum(c == 2)
-            discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-            ctx = np.zeros(len(grams), int) if k == 1 else tables[k - 1].find(grams >> np.uint64(16))
-            known = ctx >= 0  # a context that no model has seen as an n-gram (the lead-in) is left to shorter ones
-            total, kinds = np.bincount(ctx[known], c[known], len(leave)), np.bincount(ctx[known], minlength=len(leave))
-            have = total > 0
-            leave[have, j] = discount * kinds[have] / total[have]
-            own[tables[k].find(grams)[known], j] = (c[known] - discount) / total[ctx[known]]
-        probs[k] = own + np.where(place[:, None] >= 0, leave[place], 1.0) * shorter
+        grams, c = counts[k]
+        tables[k] = Table(grams)
+        grams, c = grams[tables[k].order], c[tables[k].order]
+        n1, n2 = np.sum(c == 1), np.sum(c == 2)
+        discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+        contexts = 1 if k == 1 else len(tables[k - 1].keys)
+        shorter = np.full(len(grams), 1.0 / size) if k == 1 else probs[k - 1][tables[k - 1].find(suffix(grams, k - 1))]
+        ctx = np.zeros(len(grams), int) if k == 1 else tables[k - 1].find(grams >> np.uint64(16))
+        known = ctx >= 0  # a context that isn't an n-gram itself (the lead-in) is left to shorter ones
+        total, kinds = np.bincount(ctx[known], c[known], contexts), np.bincount(ctx[known], minlength=contexts)
+        leave = np.where(total > 0, discount * kinds / np.maximum(total, 1e-300), 1.0)
+        probs[k] = np.where(known, np.maximum(c - discount, 0) / np.maximum(total[ctx], 1e-300), 0.0) + np.where(known, leave[ctx], 1.0) * shorter
         gammas[k - 1] = leave
-    return {
-        "langs": langs, "size": size, "tables": tables,
-        "logp": {k: np.log(probs[k]).astype(np.float32) for k in tables},
-        "gamma": {k: np.log(gammas[k]).astype(np.float32) for k in gammas},
-    }
+    for table in tables.values():
+        del table.order
+    return {"size": size, "tables": tables, "logp": {k: np.log(probs[k]).astype(np.float32) for k in tables}, "gamma": {k: np.log(gammas[k]).astype(np.float32) for k in gammas}}
 
 
-def log_probs(model: dict, grams: np.ndarray, k: int = ORDER) -> np.ndarray:
-    """Log probability of the last symbol of each k-gram, by language."""
+def log_probs(one: dict, grams: np.ndarray, k: int = ORDER) -> np.ndarray:
+    """Log probability, in the model of one language, of the last symbol of each k-gram."""
     if k == 0:
-        return np.full((len(grams), len(model["langs"])), -np.log(model["size"]), np.float32)
-    at = model["tables"][k].find(grams)
-    out = model["logp"][k][at]
+        return np.full(len(grams), -np.log(one["size"]), np.float32)
+    at = one["tables"][k].find(grams)
+    out = one["logp"][k][at]
     missing = np.flatnonzero(at < 0)
     if len(missing):
         rest = grams[missing]
-        low = log_probs(model, suffix(rest, k - 1), k - 1)
+        low = log_probs(one, suffix(rest, k - 1), k - 1)
         if k == 1:
-            low = low + model["gamma"][0]
+            low = low + one["gamma"][0]
         else:
-            ctx = model["tables"][k - 1].find(rest >> np.uint64(16))
-            low = low + np.where(ctx[:, None] >= 0, model["gamma"][k - 1][ctx], 0)
+            ctx = one["tables"][k - 1].find(rest >> np.uint64(16))
+            low = low + np.where(ctx >= 0, one["gamma"][k - 1][ctx], 0)
         out[missing] = low
     return out
 
@@ -137,14 +130,14 @@ def sums(model: dict, parts: list[str], before: np.ndarray | None = None) -> tup
     """(sum of log probabilities by language, characters, letters) of each part, and the last codes, for a part that goes on."""
     codes, part, first = runs(parts, digits=False, lead=ORDER - 1, before=before)
     symbols = spell(codes, model["alphabet"])
-    logp = log_probs(model, packed(symbols, ORDER))
     # the symbol at place i + ORDER - 1 has row i; the lead-in of each part isn't predicted
     part = part[ORDER - 1 :]
     own = np.ones(len(part), bool)
     for j in range(ORDER - 1):
         at = first + j - (ORDER - 1)
         own[at[at >= 0]] = False
-    total = np.stack([np.bincount(part[own], logp[own, j], len(parts)) for j in range(logp.shape[1])], 1)
+    kinds, of = np.unique(packed(symbols, ORDER)[own], return_inverse=True)
+    total = np.stack([np.bincount(part[own], log_probs(one, kinds)[of], len(parts)) for one in model["models"]], 1)
     return total, np.bincount(part[own], minlength=len(parts)), np.bincount(part[own & (symbols[ORDER - 1 :] > 0)], minlength=len(parts)), codes[1 - ORDER :]
 
 
@@ -173,7 +166,8 @@ def train(texts: list[str], langs: list[str]) -> dict:
             at = first + j - (ORDER - 1)
             own[at[at >= 0]] = False
         streams[lang] = grams[own]
-    model = kneser_ney(streams, len(letters) + 2) | {"alphabet": letters}
+    names, size = sorted(streams), len(letters) + 2
+    model = {"langs": names, "size": size, "alphabet": letters, "models": [kneser_ney(streams.pop(x), size) for x in names]}
     centre, reach = [], []
     held = [sums(model, each[lang][2])[:2] for lang in model["langs"]]
     for j, (total, n) in enumerate(held):
@@ -211,18 +205,21 @@ def fit_languages(docs: DataFrame, rows: int = TRAIN_ROWS) -> dict:
 
     Rows of the held-out fold, null languages and null texts are never read. Languages are counted over
     all rows; a threshold on the hash then leaves about `rows` of each, and a window cuts to the bound.
-    Training is bounded: the LANGUAGES languages of most rows, and of each at most TRAIN_TOTAL over their number.
-    Ties of that order go by name. Repeated rows count as often; texts of a hash go by their own. No rows: no languages.
+    Every language is learned, of at most TRAIN_TOTAL rows over their number, but LEAST_ROWS, and TRAIN_LETTERS over
+    their number. So the models grow with the number of languages, but not with rows or texts. Repeated rows count as often; texts of a hash go by their own. No rows: no languages.
     """
     labelled = docs.where((hash_fold() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     spot = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1) / F.lit(float(1 << 63))
-    common = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    rows = min(rows, max(10, TRAIN_TOTAL // max(1, common.count())))
+    common = labelled.groupBy("lang").count()
+    languages = max(1, common.count())
+    rows = min(rows, max(LEAST_ROWS, TRAIN_TOTAL // languages))
     shares = common.select("lang", (1.3 * rows / F.col("count")).alias("share"))
     in_lang = Window.partitionBy("lang").orderBy("spot", "doc_id", "key")
     sample = (
-        labelled.select("doc_id", "lang", "text", spot.alias("spot")).join(F.broadcast(shares), "lang").where("spot < share or share >= 1")
+        labelled.select("doc_id", "lang", "text", spot.alias("spot")).join(shares, "lang").where("spot < share or share >= 1")
         .withColumn("key", F.xxhash64("text")).withColumn("nth", F.row_number().over(in_lang)).where(F.col("nth") <= rows)
+        .withColumn("letters", F.sum(F.char_length("text").cast("long")).over(in_lang.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        .where((F.col("nth") == 1) | (F.col("letters") <= TRAIN_LETTERS // languages))
         .select("lang", "text", "spot", "key")
     )
 

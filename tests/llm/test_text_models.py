@@ -32,8 +32,31 @@ def test_kneser_ney_sums_to_one():
         g = np.zeros(len(symbols), np.uint64)
         for x in history:
             g = (g << np.uint64(16)) | np.uint64(x)
-        p = np.exp(li.log_probs(model, (g << np.uint64(16)) | symbols).astype(float)).sum(0)
-        assert np.allclose(p, 1, atol=1e-5)
+        for one in model["models"]:
+            p = np.exp(li.log_probs(one, (g << np.uint64(16)) | symbols).astype(float)).sum()
+            assert np.isclose(p, 1, atol=1e-5)
+
+
+def test_models_hold_what_their_languages_have():
+    """Memory follows each language's own n-grams; no language is left out, and a text of any of them is told."""
+    rng = np.random.default_rng(5)
+    words = {f"l{k:03d}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 8))) for _ in range(30)] for k in range(260)}
+    texts = [(" ".join(rng.choice(w, 30)), lang) for lang, w in words.items() for _ in range(10)]
+    model = li.train([t for t, _ in texts], [lang for _, lang in texts])
+    assert model["langs"] == sorted(words)
+    held = [sum(len(t.keys) for t in one["tables"].values()) for one in model["models"]]
+    assert max(held) < 4 * 30 * 9 + 27 and not any(hasattr(t, "order") for t in model["models"][0]["tables"].values())
+    asked = {lang: " ".join(rng.choice(w, 20)) for lang, w in words.items()}
+    assert li.decide(model, *li.sums(model, list(asked.values()))[:3])[0] == list(asked)
+
+
+def test_training_reads_bounded_letters(spark, monkeypatch):
+    rows = [(i, ("the cat sat on the mat " if i % 2 else "le chat est sur la table ") * (400 if i % 10 < 2 else 1), ("fr", "en")[i % 2], "a") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    monkeypatch.setattr(li, "TRAIN_LETTERS", 2 * 3000)
+    model = fit_languages(docs)
+    assert model["langs"] == ["en", "fr"]
+    assert all(r.lang_pred == r.lang for r in identify(docs, model, keep=("doc_id", "lang")).collect())
 
 
 def test_junk_held_back_opens_no_gate():
@@ -186,7 +209,7 @@ def test_kneser_ney_is_that_of_dictionaries():
         packed = np.zeros(1, np.uint64)
         for x in g:
             packed = (packed << np.uint64(16)) | np.uint64(x)
-        got = np.exp(li.log_probs(model, packed).astype(float))[0]
+        got = np.array([np.exp(float(li.log_probs(one, packed)[0])) for one in model["models"]])
         assert np.allclose(got, [p(lang, tuple(int(x) for x in g[:3]), int(g[3])) for lang in model["langs"]], rtol=1e-4)
 
 
