@@ -25,6 +25,8 @@ ORDER = 4
 TRAIN_ROWS, TRAIN_TOTAL, LEAST_ROWS = 600, 20_000, 10
 #: Letters of all the texts that training reads, shared out evenly; a language's first text counts however long it is.
 TRAIN_LETTERS = 64 << 20
+#: Languages up to which their shares are broadcast; of more, rows meet them by a shuffle.
+SHARES = 100_000
 #: Letters told apart, the most frequent ones of the training texts; an n-gram is packed 16 bits a letter.
 LETTERS = (1 << 16) - 2
 MIX = np.uint64(0x9E3779B97F4A7C15)  # odd, so that the hash of a packed n-gram is one to one
@@ -214,6 +216,7 @@ def fit_languages(docs: DataFrame, rows: int = TRAIN_ROWS) -> dict:
     languages = max(1, common.count())
     rows = min(rows, max(LEAST_ROWS, TRAIN_TOTAL // languages))
     shares = common.select("lang", (1.3 * rows / F.col("count")).alias("share"))
+    shares = F.broadcast(shares) if languages <= SHARES else shares
     in_lang = Window.partitionBy("lang").orderBy("spot", "doc_id", "key")
     sample = (
         labelled.select("doc_id", "lang", "text", spot.alias("spot")).join(shares, "lang").where("spot < share or share >= 1")
