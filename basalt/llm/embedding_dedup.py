@@ -5,7 +5,7 @@ go to both sides, so that near pairs part rarely. Branches too large for a task
 a time: the splits are laid out on a bounded sample of the branch, in the cluster, and all its vectors follow
 them, until no branch is too large; the levels below are split within a branch. A branch that no direction
 parts is compared block by block. Vectors of a leaf are compared with each other by exact cosine, and a
-leaf passes on a spanning set of its links. Linked vectors of all trees are united. Last, the links of each
+leaf passes on which of them its links connect. Linked vectors of all trees are united. Last, the links of each
 vector are counted exactly within its component, block by block, so that a dense family is never written
 out pair by pair. Only ids go through the rounds; vectors join them where they are needed.
 
@@ -30,8 +30,9 @@ TREES, LEAF, SPILL, BRANCH, LEVELS, SAMPLE, BLOCK = 12, 256, 0.08, 4096, 6, 4096
 ROUTED, SALTS = 4096, 64
 
 
-def unit(rows: list) -> np.ndarray:
-    x = np.array(rows, np.float64)
+def unit(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Rows of length 1. The lists' values are taken as one array: as Python objects they cost more than all comparisons."""
+    x = pa.concat_arrays([c.flatten() for c in vectors.chunks]).cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
     x = x / np.abs(x).max(1, keepdims=True, initial=0)  # squares of very large or small ones have no place in a double
     return x / np.sqrt((x * x).sum(1))[:, None]
 
@@ -88,22 +89,30 @@ def leaves(vectors: np.ndarray, seed: tuple[int, ...], size: int) -> Iterator[np
         todo += [(2 * node, rows[a]), (2 * node + 1, rows[b])]
 
 
-def spanning(vectors: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Links of the rows of a leaf that connect what its pairs of cosine >= least connect."""
+def spanning(vectors: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(first, row): each row of a leaf that pairs of cosine >= least connect to an earlier one, and the first that they lead to.
+
+    Every row goes to its earliest neighbour, and on to that one's. What came together is then one row
+    with the neighbours of all, until no two are near.
+    """
     near = vectors @ vectors.T >= least
-    root = np.full(len(vectors), -1)
-    out = []
-    for start in range(len(vectors)):
-        if root[start] >= 0:
-            continue
-        root[start], todo = start, [start]
-        while todo:
-            at = todo.pop()
-            for to in np.flatnonzero(near[at] & (root < 0)):
-                root[to] = start
-                out.append((at, int(to)))
-                todo.append(int(to))
-    return out
+    np.fill_diagonal(near, False)
+    rows = np.flatnonzero(near.any(1))
+    near = near[np.ix_(rows, rows)]
+    own = at = np.arange(len(rows))  # the group of each row, the first row of each group
+    while near.any():
+        np.fill_diagonal(near, True)
+        to = near.argmax(1)
+        while (to[to] != to).any():
+            to = to[to]
+        kept, place = np.unique(to, return_inverse=True)
+        order = np.argsort(place, kind="stable")
+        starts = np.searchsorted(place[order], np.arange(len(kept)))
+        near = np.logical_or.reduceat(np.logical_or.reduceat(near[order], starts, 0)[:, order], starts, 1)
+        np.fill_diagonal(near, False)
+        own, at = place[own], at[kept]
+    first = rows[at[own]]
+    return first[first != rows], rows[first != rows]
 
 
 def valid(vectors: DataFrame, vec_col: str):
@@ -114,7 +123,7 @@ def valid(vectors: DataFrame, vec_col: str):
 
 
 def forest_links(nodes: DataFrame, cosine: float, trees: int, leaf: int) -> tuple[DataFrame, list[DataFrame]]:
-    """(links (a, b) of nodes (label, node, vector) that share a leaf of some tree, tables to drop once they are written).
+    """(pairs (a, b) of nodes (label, node, vector) that links within a leaf of some tree connect, tables to drop once they are written).
 
     A branch is (tree << 56) | place in its tree, 0 for all vectors of a label, in all trees at once; a
     negative one can't be parted further.
@@ -135,7 +144,7 @@ def forest_links(nodes: DataFrame, cosine: float, trees: int, leaf: int) -> tupl
 
         def fit(table: pa.Table) -> pa.Table:
             label, branch, depth = (table.column(c)[0].as_py() for c in ("label", "branch", "depth"))
-            own = unit(table.column("vector").to_pylist())
+            own = unit(table.column("vector"))
             roots = [(t, 1) for t in range(trees)] if branch == 0 else [(branch >> 56, branch & ((1 << 56) - 1))]
             plan = {(t, root): lay_out(own, label, t, root, depth) for t, root in roots}
             return pa.table({"label": [label], "dim": pa.array([own.shape[1]], pa.int32()), "branch": [branch], "plan": pa.array([pickle.dumps(plan)], pa.binary())})
@@ -145,7 +154,7 @@ def forest_links(nodes: DataFrame, cosine: float, trees: int, leaf: int) -> tupl
             if not len(table) or not len(plan):
                 return table.select(["label", "dim", "branch", "node"]).slice(0, 0)
             label, splits = table.column("label")[0].as_py(), pickle.loads(plan.column("plan")[0].as_py())
-            x, out_row, out_branch = unit(table.column("vector").to_pylist()), [], []
+            x, out_row, out_branch = unit(table.column("vector")), [], []
             for (tree, root), split in splits.items():
                 todo = [(root, np.arange(len(x)))]
                 while todo:
@@ -169,10 +178,10 @@ def forest_links(nodes: DataFrame, cosine: float, trees: int, leaf: int) -> tupl
         scrap.append(rows)
 
     def compare(table: pa.Table) -> pa.Table:
-        """Links within a branch; of one that can't be parted, within its blocks i and j."""
-        ids = np.array(table.column("node").to_pylist(), np.int64)
+        """Pairs that links connect within a leaf of a branch; of one that can't be parted, within its blocks i and j."""
+        ids = table.column("node").to_numpy()
         order = np.argsort(ids, kind="stable")
-        x = unit(table.column("vector").to_pylist())[order]
+        x = unit(table.column("vector"))[order]
         ids, branch, name = ids[order], table.column("branch")[0].as_py(), code(table.column("label")[0].as_py())
         if branch < 0:
             parts = [np.arange(len(x))]
@@ -180,11 +189,9 @@ def forest_links(nodes: DataFrame, cosine: float, trees: int, leaf: int) -> tupl
             parts = (rows for tree in range(trees if len(x) > leaf else 1) for rows in leaves(x, (tree, 1, name), leaf))
         else:
             parts = leaves(x, (branch >> 56, branch & ((1 << 56) - 1), name), leaf)
-        links: set[tuple[int, int]] = set()
-        for rows in parts:
-            links |= {(int(ids[rows[i]]), int(ids[rows[j]])) for i, j in spanning(x[rows], cosine)}
-        a, b = zip(*sorted(links), strict=True) if links else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        found = [rows[np.stack(spanning(x[rows], cosine))] for rows in parts]
+        a, b = ids[np.unique(np.concatenate(found, axis=1), axis=1)]
+        return pa.table({"a": a, "b": b})
 
     branches = ready[0]
     for other in ready[1:]:
@@ -208,9 +215,8 @@ def link_counts(nodes: DataFrame, labels: DataFrame, cosine: float) -> DataFrame
     told = placed.select("component", "node", "weight", "vector", every, "block").select("component", "node", "weight", "vector", F.col("other").alias("left"), F.col("block").alias("right")).withColumn("asks", F.lit(False))
 
     def count(table: pa.Table) -> pa.Table:
-        asks = np.array(table.column("asks").to_pylist(), bool)
-        ids, weight = np.array(table.column("node").to_pylist(), np.int64), np.array(table.column("weight").to_pylist(), np.int64)
-        x = unit(table.column("vector").to_pylist())
+        asks, ids, weight = (table.column(c).to_numpy() for c in ("asks", "node", "weight"))
+        x = unit(table.column("vector"))
         near = x[asks] @ x[~asks].T >= cosine
         near &= ids[asks][:, None] != ids[~asks][None, :]
         return pa.table({"node": pa.array(ids[asks]), "n_near": pa.array((near * weight[~asks][None, :]).sum(1).astype(np.int64))})

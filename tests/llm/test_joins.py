@@ -1,7 +1,9 @@
 import random
 import re
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from basalt.llm import embedding_dedup as ed
@@ -184,6 +186,32 @@ def test_op8_sizes_of_doubles_and_branches_that_nothing_parts(spark, monkeypatch
     assert len(got) == 104
 
 
+def test_op8_vectors_are_taken_as_arrays():
+    """Taking a branch's vectors from Arrow cost three times as much as comparing them; it's a fraction of making Python objects."""
+    x = np.random.default_rng(5).normal(size=(8000, 64)).astype(np.float32)
+    column = pa.chunked_array([pa.array(list(x[:5000]), pa.list_(pa.float32())), pa.array(list(x[4000:]), pa.list_(pa.float32()))[1000:]])
+    began = time.thread_time()
+    lists = column.to_pylist()
+    slow, began = time.thread_time() - began, time.thread_time()
+    got = ed.unit(column)
+    assert time.thread_time() - began < slow / 2
+    wide = np.array(lists, np.float64)
+    assert got.shape == wide.shape and np.allclose(got, wide / np.linalg.norm(wide, axis=1)[:, None], rtol=1e-14, atol=0)
+
+
+@pytest.mark.parametrize("least", [0.3, 0.8, 0.93, 0.999])
+def test_op8_leaves_connect_what_their_links_do(least):
+    """Families, chains and lone rows: each row but the first of its component once, with that first."""
+    rng = np.random.default_rng(6)
+    turn = np.linspace(0, 3, 40)[rng.permutation(40)]
+    chain = np.stack([np.cos(turn), np.sin(turn), 0 * turn], 1)
+    for x in (chain, *(rng.normal(size=(n, 3)) for n in (1, 2, 7, 30, 90))):
+        x = x / np.linalg.norm(x, axis=1)[:, None]
+        want = vectors_by_brute_force([(i, v.tolist(), 1) for i, v in enumerate(x)], least)
+        first, row = ed.spanning(x, least)
+        assert sorted(zip(row.tolist(), first.tolist(), strict=True)) == [(i, c) for i, _, c in want if i != c]
+
+
 @pytest.mark.parametrize("hot", [3, 10_000])
 @pytest.mark.parametrize(("width", "percent"), [(4, 85), (2, 60)])
 def test_templates_match_brute_force(spark, monkeypatch, hot, width, percent):
