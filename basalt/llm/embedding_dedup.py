@@ -14,6 +14,7 @@ Labels keep vectors apart: each label has trees of its own. Equal vectors are on
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Iterator
 
@@ -136,7 +137,7 @@ def forest_links(nodes: DataFrame, cosine: float, trees: int, leaf: int) -> tupl
     while True:
         sizes = materialise(rows.groupBy(*kind).agg(F.count(F.lit(1)).alias("n")), "sizes")
         scrap.append(sizes)
-        large = sizes.where((F.col("n") > BRANCH) & (F.col("branch") >= 0)).withColumn("depth", F.least(F.lit(LEVELS), F.ceil(F.log2(F.col("n") / BRANCH)).cast("int")))
+        large = sizes.where((F.col("n") > BRANCH) & (F.col("branch") >= 0)).withColumn("depth", F.least(F.lit(LEVELS), F.ceil(F.log(F.col("n") / BRANCH) / -math.log(0.5 + SPILL)).cast("int")))  # a side of a split holds more than half
         ready.append(rows.join(sizes.join(large, kind, "left_anti"), kind).select(*kind, "node", "n"))
         if large.isEmpty():
             break

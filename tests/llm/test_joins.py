@@ -186,6 +186,18 @@ def test_op8_sizes_of_doubles_and_branches_that_nothing_parts(spark, monkeypatch
     assert len(got) == 104
 
 
+def test_op8_splits_as_deep_as_spilled_branches_need_in_one_round(spark, monkeypatch):
+    """A split leaves 58 % on a side: three levels leave 88 of 450 vectors, more than 60, so that all were routed again."""
+    made, write = [], ed.materialise
+    monkeypatch.setattr(ed, "BRANCH", 60)
+    monkeypatch.setattr(ed, "materialise", lambda df, name: made.append(name) or write(df, name))
+    rng = np.random.default_rng(10)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.repeat(rng.normal(size=(225, 16)), 2, axis=0) + rng.normal(size=(450, 16)) * 0.1)]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in dedup_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), leaf=24).collect())
+    assert made.count("routed") == 1
+    assert got == vectors_by_brute_force(rows, 0.93)
+
+
 def test_op8_vectors_are_taken_as_arrays():
     """Taking a branch's vectors from Arrow cost three times as much as comparing them; it's a fraction of making Python objects."""
     x = np.random.default_rng(5).normal(size=(8000, 64)).astype(np.float32)
