@@ -104,9 +104,9 @@ def trained_types(spark, sf_dir):
     """A classifier learned from certificates made of all customers and from all documents, and how it does on those held back."""
     customers = dm.sql(spark, sf_dir, "SELECT c_custkey AS id, c_name AS name, CAST(c_acctbal AS varchar) AS phone FROM customer")
     others = dm.sql(spark, sf_dir, "SELECT doc_id AS id, text FROM documents")
-    rows = made.certificates(customers, others).withColumn("wanted", F.col("document_type"))
-    model = ln.fit_types(rows)
-    out = model.classify(rows.withColumn("held_out", ln.held_out()))
+    rows = stored(ln.featured(ln.dealt(made.certificates(customers, others))), "certificates").withColumn("wanted", F.col("document_type"))
+    model = ln.fit_types(rows, vectors="features")
+    out = model.classify(rows.withColumn("held_out", ln.held_out()), vectors="features")
     right = F.when(F.col("held_out"), (F.col("document_type") == F.col("wanted")).cast("double"))
     told = out.agg(F.count(F.lit(1)).alias("n_documents"), F.avg(right).alias("share"), F.avg(F.when(F.col("held_out"), F.col("confidence"))).alias("sure"))
     return told.select("n_documents", F.lit(len(model.types)).alias("n_types"), (F.col("share") >= 0.95).alias("accurate"), (F.abs(F.col("share") - F.col("sure")) < 0.1).alias("calibrated"))

@@ -1,6 +1,8 @@
 import random
 
+import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from basalt.operators import learned as ln
@@ -49,6 +51,60 @@ def test_labels_that_are_missing(spark):
         ln.fit_sentences(spark.createDataFrame([("a", 0, 1, True), ("b", 0, 1, None), (None, 0, 1, False)], "description string, ordinal int, n_sentences int, is_requirement boolean"))
 
 
+TERMS = {
+    "One two, THREE!": ["one", "two", "three", "one two", "two three"],
+    " a.b\tc\n12,5 ": ["a", "b", "c", "12", "5", "a b", "b c", "c 12", "12 5"],
+    "Ünï-çødé 漢字 x": ["ünï", "çødé", "漢字", "x", "ünï çødé", "çødé 漢字", "漢字 x"],
+    "same same same": ["same", "same", "same", "same same", "same same"],
+    "alone": ["alone"], "": [], " . ": [], None: [],
+}
+
+
+def test_terms(spark):
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(TERMS)], "k int, text string").select("k", ln.terms("text").alias("t")).collect()
+    assert {r.k: r.t for r in rows} == dict(enumerate(TERMS.values()))
+
+
+def raw_scores(spark, rows):
+    return spark.createDataFrame([([float(x) for x in v], float(n)) for v, n in rows], "v array<double>, label double").select(array_to_vector("v").alias("rawPrediction"), "label").coalesce(1)
+
+
+def test_scores_read_the_raw_ones_once(spark):
+    rng = np.random.default_rng(2)
+    raw = rng.normal(0, 4, (50, 7))
+    label = [int(rng.choice(7, p=np.exp(r / 2) / np.exp(r / 2).sum())) for r in raw]
+    rows = raw_scores(spark, zip(raw, label, strict=True))
+    powers = lambda t: np.exp((raw - raw.max(1, keepdims=True)) / t)
+    got = rows.select(ln.scores("rawPrediction", 1.7).alias("p"))
+    assert np.allclose([r.p for r in got.collect()], powers(1.7) / powers(1.7).sum(1, keepdims=True), atol=1e-12)
+    # named in a lambda of each class, the raw scores would be read, and all powers made, anew for each class
+    assert got._jdf.queryExecution().analyzed().toString().count("UDF(rawPrediction") == 1
+    loss = {t: np.mean([-np.log(p[n] / p.sum() + 1e-12) for p, n in zip(powers(t), label, strict=True)]) for t in ln.TEMPERATURES}
+    assert ln.temperature_of(rows) == min(loss, key=loss.get) and ln.temperature_of(rows.limit(0)) == 1.0
+
+
+@pytest.mark.parametrize("values", [[], [0.3], [0.95], [0.2, 0.99], [0.5, 0.91, 0.92, 0.93], [0.1] * 3 + [0.9] * 97, [k / 200 for k in range(201)], [0.91 + k / 10000 for k in range(300)]])
+def test_the_limit_is_that_of_all_values(spark, values):
+    rows = spark.createDataFrame([(v,) for v in values], "p double")
+    for kept in (0.5, 0.9, 0.99):
+        want = rows.agg(F.percentile("p", F.lit(1 - kept))).first()[0]
+        assert ln.limit_of(rows, kept) == (pytest.approx(min(0.9, want), abs=1e-12) if values else 0.5)
+
+
+def test_rows_of_one_file_are_dealt_and_features_are_made_once(spark, monkeypatch):
+    words = F.concat_ws(" ", F.when(F.col("id") % 2 == 0, "even").otherwise("odd"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4000)), lambda k: F.md5(F.concat("id", k.cast("string"))).substr(1, 9)), " "))
+    rows = spark.range(80).select(words.alias("text"), F.when(F.col("id") % 2 == 0, "X").otherwise("Y").alias("document_type")).coalesce(1)
+    parts, keep = {}, ln.stored
+    monkeypatch.setattr(ln, "stored", lambda df, name: parts.update({name: df.rdd.getNumPartitions()}) or keep(df, name))
+    model = ln.fit_types(rows, features=1 << 10)
+    assert parts["features"] >= 3  # 3.2 million letters, one file: a single task read and fitted them all
+    table = keep(ln.featured(ln.dealt(rows), features=1 << 10), "rows")
+    again = ln.fit_types(table, features=1 << 10, vectors="features")
+    assert (again.types, again.temperature, again.limit) == (model.types, model.temperature, pytest.approx(model.limit, abs=1e-3))
+    told = lambda out: sorted((r.text, r.document_type, round(r.confidence, 2)) for r in out.select("text", "document_type", "confidence").collect())
+    assert told(again.classify(table, vectors="features")) == told(again.classify(rows)) and "features" in again.classify(table, vectors="features").columns
+
+
 CASES = {
     "The bidder shall pay Rs. 500 to M/s. Rao & Co. by post. Dr. A. K. Sen signs (cf. Sec. 4). Is it so? Yes; No more.": ["The bidder shall pay Rs. 500 to M/s. Rao & Co. by post.", "Dr. A. K. Sen signs (cf. Sec. 4).", "Is it so?", "Yes;", "No more."],
     "Terms:\n1. Hold GST.\n2. Have e.g. PAN 3.5 years\n(a) first\n - second\n\nNext part": ["Terms:", "1. Hold GST.", "2. Have e.g. PAN 3.5 years", "(a) first", "- second", "Next part"],
